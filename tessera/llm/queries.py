@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import contributor_caps, packing, repeated_lines, splitting, tokens
+from tessera.llm import contributor_caps, near_duplicates, packing, repeated_lines, splitting, tokens
 from tessera.sources import table
 
 
@@ -17,6 +17,19 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_ranked(spark, d).where(~F.col("kept")).select("query_id", "id")
 
 
+def _chunk_texts(spark: SparkSession, d: str) -> DataFrame:
+    parts = [table(spark, d, t).select(F.lit(t).alias("tbl"), F.col("chunk_id").alias("id"), "text") for t in ("rag_chunks", "structured_chunks")]
+    return parts[0].unionByName(parts[1])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.all_pairs(*near_duplicates.similar(_chunk_texts(spark, d)))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.groups(*near_duplicates.similar(_chunk_texts(spark, d)))
+
+
 def _oversized(spark: SparkSession, d: str, unique: bool) -> DataFrame:
     return splitting.oversized(table(spark, d, "extracted_content"), table(spark, d, "structured_chunks"), table(spark, d, "size_limits"), unique)
 
@@ -48,7 +61,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(tokens.count_tokens(table(spark, d, "documents")), limits)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranked, p5_found, p5_pieces, p6_found, p6_texts, p8_ids, p9_containers)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranked, p3_found, p3_groups, p5_found, p5_pieces, p6_found, p6_texts, p8_ids, p9_containers)}
 
 _SITE = "nullif(regexp_replace(lower(regexp_extract(%s, '^\\s*[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\\.', ''), '')"
 _RANKED = f"""
