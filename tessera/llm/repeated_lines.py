@@ -100,12 +100,11 @@ def repeated_lines(chunks: DataFrame, least: int = MIN_DOCUMENTS) -> DataFrame:
     spread over all tasks.
     """
     rows = chunks.select(host(F.col("source_url")).alias("site"), "chunk_id", "text").where("site is not null and chunk_id is not null and text is not null")
-    lines = materialise(rows.mapInArrow(_lines, LINES))
-    split = lines.select("site", "chunk_id", "line_no", "line", F.size("pieces").alias("n"), F.explode(F.array_distinct("pieces")).alias("piece"))
-    often = split.select("site", "piece", "chunk_id").distinct().groupBy("site", "piece").agg(F.count("*").alias("chunks")).where(F.col("chunks") >= least).select("site", "piece")
-    kept = split.join(often, ["site", "piece"], "left_semi").groupBy("site", "chunk_id", "line_no", "line").agg(F.count("*").alias("hit"))
-    all_pieces = lines.select("site", "chunk_id", "line_no", "line", F.size(F.array_distinct("pieces")).alias("need")).distinct()
-    candidates = kept.join(all_pieces, ["site", "chunk_id", "line_no", "line"]).where("hit >= need").select("site", "chunk_id", "line_no", "line")
+    lines = materialise(rows.mapInArrow(_lines, LINES).withColumn("pieces", F.array_distinct("pieces")).withColumn("row", F.monotonically_increasing_id()))
+    split = lines.select("row", F.size("pieces").alias("n"), F.xxhash64("chunk_id").alias("chunk"), F.explode(F.transform("pieces", lambda p: F.xxhash64("site", p))).alias("piece"))
+    often = split.select("piece", "chunk").distinct().groupBy("piece").agg(F.count("*").alias("chunks")).where(F.col("chunks") >= least).select("piece")
+    whole = split.select("row", "n", "piece").join(often, "piece", "left_semi").groupBy("row", "n").agg(F.count("*").alias("hit")).where("hit = n").select("row")
+    candidates = lines.select("row", "site", "chunk_id", "line_no", "line").join(whole, "row", "left_semi")
     exact = candidates.select("site", "line", "chunk_id").distinct().groupBy("site", "line").agg(F.count("*").alias("chunks")).where(F.col("chunks") >= least).select("site", "line")
     return candidates.join(exact, ["site", "line"], "left_semi").select("site", "chunk_id", "line_no").distinct()
 
