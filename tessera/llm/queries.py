@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import contributor_caps, near_duplicates, packing, repeated_lines, splitting, tokens
+from tessera.llm import contributor_caps, languages, near_duplicates, packing, pages, repeated_lines, shells, splitting, tokens
 from tessera.sources import table
 
 
@@ -17,6 +17,30 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_ranked(spark, d).where(~F.col("kept")).select("query_id", "id")
 
 
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "captured_artifacts")
+
+
+def _labelled_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of both tables with address, declared label and declared markup language."""
+    none = F.lit(None).cast("string")
+    docs = table(spark, d, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("rec_id"), "text", "url", F.col("lang").alias("label"), none.alias("markup"), F.lit(False).alias("page"))
+    labels = table(spark, d, "content_quality").groupBy("artifact_id").agg(F.min(F.try_element_at("details", F.lit("language"))).alias("label"))
+    markup = F.nullif(F.regexp_extract(F.decode(F.substring("raw_content", 1, 300), "ISO-8859-1"), r"<html[^>]*\blang=[\"']?([^\"'> ]+)", 1), F.lit(""))
+    captured = _pages(spark, d).join(labels, "artifact_id", "left").select(F.lit("captured_artifacts").alias("tbl"), F.col("artifact_id").alias("rec_id"), F.col("text_content").alias("text"), "url", "label", markup.alias("markup"), F.lit(True).alias("page"))
+    return docs.unionByName(captured)
+
+
+def p2_languages(spark: SparkSession, d: str) -> DataFrame:
+    texts = _labelled_texts(spark, d)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("rec_id"), "text", F.col("lang").alias("label"))
+    return languages.languages(texts, languages.learn(languages.sample_texts(docs)), shells.fit_pages(_pages(spark, d)))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_languages(spark, d).where("line_no >= 0 or named is null or named <> lang").select("tbl", "rec_id", "line_no", "lang")
+
+
 def _chunk_texts(spark: SparkSession, d: str) -> DataFrame:
     parts = [table(spark, d, t).select(F.lit(t).alias("tbl"), F.col("chunk_id").alias("id"), "text") for t in ("rag_chunks", "structured_chunks")]
     return parts[0].unionByName(parts[1])
@@ -30,6 +54,11 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.groups(*near_duplicates.similar(_chunk_texts(spark, d)))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = _pages(spark, d)
+    return shells.shell_pages(rows, shells.fit_pages(rows))
+
+
 def _oversized(spark: SparkSession, d: str, unique: bool) -> DataFrame:
     return splitting.oversized(table(spark, d, "extracted_content"), table(spark, d, "structured_chunks"), table(spark, d, "size_limits"), unique)
 
@@ -52,6 +81,15 @@ def p6_texts(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.without_lines(chunks, repeated_lines.repeated_lines(chunks))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = _pages(spark, d)
+    return pages.furniture_lines(rows, shells.fit_pages(rows))
+
+
+def p7_articles(spark: SparkSession, d: str) -> DataFrame:
+    return pages.main_body(_pages(spark, d))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_texts(table(spark, d, "documents"))
 
@@ -61,7 +99,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(tokens.count_tokens(table(spark, d, "documents")), limits)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranked, p3_found, p3_groups, p5_found, p5_pieces, p6_found, p6_texts, p8_ids, p9_containers)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranked, p2_found, p2_languages, p3_found, p3_groups, p4_found, p5_found, p5_pieces, p6_found, p6_texts, p7_found, p7_articles, p8_ids, p9_containers)}
 
 _SITE = "nullif(regexp_replace(lower(regexp_extract(%s, '^\\s*[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\\.', ''), '')"
 _RANKED = f"""
