@@ -1,11 +1,11 @@
 """Problem 3: near-duplicate texts by pigeonring filtering over fingerprints.
 
-A text is the set of its distinct word triples. Its fingerprint has one byte for each of N minimum
-hashes, so that the share of equal bytes estimates the Jaccard similarity and the Hamming distance
-of two fingerprints follows the share of triples not in common. The ring is cut into SEGMENTS segments
-of WIDTH bytes. Candidates agree on one whole segment; then the chains of consecutive segments are
-checked against budgets in proportion to their length, then the full Hamming distance, and at last
-the triples themselves.
+A text is the set of its distinct word triples. Minimum hashes of the triples make two things: KEYS
+keys, each of KEY_WIDTH minimum hashes, and a fingerprint of N four-bit values on a ring of SEGMENTS
+segments. The share of equal values estimates the Jaccard similarity, so the Hamming distance of two
+fingerprints follows the share of triples not in common. Candidates agree in one key; then the chains
+of consecutive segments of the ring are checked against budgets in proportion to their length, then
+the full Hamming distance, and at last the triples themselves.
 """
 
 from __future__ import annotations
@@ -21,15 +21,15 @@ from pyspark.sql import functions as F
 
 from tessera.session import materialise
 
-SEGMENTS = 48
-WIDTH = 4
-N = SEGMENTS * WIDTH
+KEYS, KEY_WIDTH = 52, 5
+SEGMENTS, WIDTH = 16, 4
+N = SEGMENTS * WIDTH  # four-bit values of a fingerprint, two a byte
 SIMILARITY = 0.6
 #: Standard deviations of the fingerprint's estimate that a pair at the threshold may stray.
 SLACK = 5.0
 CHAIN = 8  # segments of the longest chain looked at before the full distance
 _WORD = re.compile(r"[^\W_]+")
-PRINTS = "tbl string, id string, same bigint, print binary"
+PRINTS = "tbl string, id string, same bigint, keys array<int>, print binary"
 PAIRS = "tbl string, a string, b string"
 
 
@@ -44,14 +44,16 @@ def triples(text: str) -> set[tuple[str, str, str]]:
 
 
 def budget(similarity: float = SIMILARITY) -> float:
-    """Bytes that may differ between the fingerprints of two texts at the threshold."""
-    return N * (1 - similarity) + SLACK * (N * similarity * (1 - similarity)) ** 0.5
+    """Values that may differ between the fingerprints of two texts at the threshold."""
+    equal = similarity + (1 - similarity) / 16
+    return N * (1 - equal) + SLACK * (N * equal * (1 - equal)) ** 0.5
 
 
 @lru_cache(1)
 def _hashes() -> tuple[np.ndarray, np.ndarray]:
     random = np.random.RandomState(31)
-    return random.randint(0, 2**32, N, dtype=np.uint64).astype(np.uint32) | np.uint32(1), random.randint(0, 2**32, N, dtype=np.uint64).astype(np.uint32)
+    n = max(KEYS * KEY_WIDTH, N)
+    return random.randint(0, 2**32, n, dtype=np.uint64).astype(np.uint32) | np.uint32(1), random.randint(0, 2**32, n, dtype=np.uint64).astype(np.uint32)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -72,13 +74,13 @@ class _Words(dict):
         return h
 
 
-def fingerprints(texts: list[str | None], known: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the texts that have triples, a hash of each one's set of triples, their fingerprints."""
+def fingerprints(texts: list[str | None], known: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the texts that have triples; a hash of each one's set of triples, its keys, its fingerprint."""
     found = [words(t) if t else [] for t in texts]
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     own = np.flatnonzero(sizes >= 3)
     if not len(own):
-        return own, np.zeros(0, np.int64), np.zeros((0, N), np.uint8)
+        return own, np.zeros(0, np.int64), np.zeros((0, KEYS), np.int32), np.zeros((0, N // 2), np.uint8)
     h = np.fromiter((known[w] for k in own for w in found[k]), np.uint64, int(sizes[own].sum()))
     ends = np.cumsum(sizes[own])
     t = _mix(h[:-2] + _mix(h[1:-1] + _mix(h[2:]) * np.uint64(3)) * np.uint64(5))
@@ -87,7 +89,6 @@ def fingerprints(texts: list[str | None], known: _Words) -> tuple[np.ndarray, np
         at = ends[:-1] - back
         inside[at[at < len(t)]] = False
     t = t[inside]
-    starts = np.concatenate([[0], np.cumsum(sizes[own] - 2)[:-1]])
     owner = np.repeat(np.arange(len(own)), sizes[own] - 2)
     order = np.lexsort((t, owner))
     t, owner = t[order], owner[order]
@@ -97,13 +98,18 @@ def fingerprints(texts: list[str | None], known: _Words) -> tuple[np.ndarray, np
     starts = np.searchsorted(owner, np.arange(len(own)))
     same = _mix(np.add.reduceat(_mix(t ^ np.uint64(0x5851F42D4C957F2D)), starts)).view(np.int64)
     low = (t >> np.uint64(16)).astype(np.uint32)
-    prints = np.empty((len(own), N), np.uint8)
+    x = np.empty_like(low)
+    least = np.empty((KEYS * KEY_WIDTH, len(own)), np.uint32)
     for k, (a, b) in enumerate(zip(*_hashes())):
-        x = (low ^ b) * a
-        x ^= x >> np.uint32(15)
-        x *= np.uint32(0x2C1B3C6D)
-        prints[:, k] = (np.minimum.reduceat(x, starts) * np.uint32(0x9E3779B1)) >> np.uint32(24)
-    return own, same, prints
+        np.bitwise_xor(low, b, out=x)
+        np.multiply(x, a, out=x)
+        np.minimum.reduceat(x, starts, out=least[k])
+    keys = np.zeros((KEYS, len(own)), np.uint64)
+    for k in range(KEY_WIDTH):
+        keys = _mix(keys + least[k * KEYS : (k + 1) * KEYS])
+    values = ((least[:N] * np.uint32(0x9E3779B1)) >> np.uint32(28)).astype(np.uint8)
+    prints = values[0::2] << np.uint8(4) | values[1::2]
+    return own, same, np.ascontiguousarray((keys >> np.uint64(32)).astype(np.uint32).view(np.int32).T), np.ascontiguousarray(prints.T)
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,10 +117,11 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(2).to_pylist()
         for at in range(0, len(texts), 2000):
-            own, same, prints = fingerprints(texts[at : at + 2000], known)
+            own, same, keys, prints = fingerprints(texts[at : at + 2000], known)
             take = pa.array(own + at)
-            rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(N), len(own), [None, pa.py_buffer(prints.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(same), rows], names=["tbl", "id", "same", "print"])
+            rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(N // 2), len(own), [None, pa.py_buffer(prints.tobytes())]).cast(pa.binary())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * KEYS), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(same), lists, rows], names=["tbl", "id", "same", "keys", "print"])
 
 
 def ring(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
@@ -126,7 +133,8 @@ def ring(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> np.nda
     """
     most = budget(similarity)
     each = most / SEGMENTS
-    differ = (a != b).reshape(len(a), SEGMENTS, WIDTH).sum(axis=2)
+    x = a ^ b
+    differ = (((x & 15) > 0).astype(np.int8) + ((x >> 4) > 0)).reshape(len(a), SEGMENTS, WIDTH // 2).sum(axis=2)
     alive = np.ones((len(a), SEGMENTS), bool)
     total = np.zeros((len(a), SEGMENTS), np.int64)
     for k in range(CHAIN):
@@ -140,7 +148,7 @@ def ring(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> np.nda
 def _ringed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, N) for k in (3, 4))
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, N // 2) for k in (3, 4))
             yield batch.select([0, 1, 2]).filter(pa.array(ring(a, b)))
 
 
@@ -169,14 +177,16 @@ def similar(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = items.where("id is not null and text is not null").select("tbl", "id", "text")
     prints = materialise(rows.mapInArrow(_prints, PRINTS))
     reps = prints.groupBy("tbl", "same").agg(F.min("id").alias("rep"), F.first("print").alias("print"))
-    reps = materialise(reps)
     members = prints.select("tbl", "id", "same").distinct().join(reps.select("tbl", "same", "rep"), ["tbl", "same"])
-    keys = F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda i: F.xxhash64("tbl", i, F.substring("print", i * WIDTH + 1, F.lit(WIDTH))))
-    number = reps.select("same", F.explode(keys).alias("key"))
-    pairs = number.alias("x").join(number.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.same") < F.col("y.same"))).select(F.col("x.same").alias("p"), F.col("y.same").alias("q")).distinct()
+    # A key holds the table, the place of the key and the key itself.
+    one = prints.groupBy("tbl", "same").agg(F.first("keys").alias("keys"))
+    number = one.select("same", F.hash("tbl").alias("t"), F.posexplode("keys").alias("place", "key"))
+    number = number.select("same", (F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)) + F.shiftleft((F.pmod("t", F.lit(64)) * 64 + F.col("place")).cast("long"), 32)).alias("key"))
+    pairs = materialise(number.alias("x").join(number.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.same") < F.col("y.same"))).select(F.col("x.same").alias("p"), F.col("y.same").alias("q")).distinct())
     left = reps.select(F.col("same").alias("p"), F.col("tbl"), F.col("rep").alias("r"), F.col("print").alias("pp"))
     right = reps.select(F.col("same").alias("q"), F.col("tbl").alias("t2"), F.col("rep").alias("s"), F.col("print").alias("qq"))
-    both = pairs.join(left, "p").join(right, "q").where("tbl = t2").select("tbl", F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b"), F.when(F.col("r") < F.col("s"), F.col("pp")).otherwise(F.col("qq")).alias("fa"), F.when(F.col("r") < F.col("s"), F.col("qq")).otherwise(F.col("pp")).alias("fb"))
+    ordered = F.col("r") < F.col("s")
+    both = pairs.join(left, "p").join(right, "q").where("tbl = t2").select("tbl", F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b"), F.when(ordered, F.col("pp")).otherwise(F.col("qq")).alias("fa"), F.when(ordered, F.col("qq")).otherwise(F.col("pp")).alias("fb"))
     near = materialise(both.mapInArrow(_ringed, PAIRS))
     wanted = near.select("tbl", F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = rows.join(wanted, ["tbl", "id"], "left_semi").groupBy("tbl", "id").agg(F.max("text").alias("text"))
