@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import materialise
 
-KEYS, KEY_WIDTH = 52, 5
+KEYS, KEY_WIDTH = 66, 5
 SEGMENTS, WIDTH = 16, 4
 N = SEGMENTS * WIDTH  # four-bit values of a fingerprint, two a byte
 SIMILARITY = 0.6
@@ -181,7 +181,7 @@ def similar(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     # A key holds the table, the place of the key and the key itself.
     one = prints.groupBy("tbl", "same").agg(F.first("keys").alias("keys"))
     number = one.select("same", F.hash("tbl").alias("t"), F.posexplode("keys").alias("place", "key"))
-    number = number.select("same", (F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)) + F.shiftleft((F.pmod("t", F.lit(64)) * 64 + F.col("place")).cast("long"), 32)).alias("key"))
+    number = number.select("same", (F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)) + F.shiftleft((F.pmod("t", F.lit(64)) * 128 + F.col("place")).cast("long"), 32)).alias("key"))
     pairs = materialise(number.alias("x").join(number.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.same") < F.col("y.same"))).select(F.col("x.same").alias("p"), F.col("y.same").alias("q")).distinct())
     left = reps.select(F.col("same").alias("p"), F.col("tbl"), F.col("rep").alias("r"), F.col("print").alias("pp"))
     right = reps.select(F.col("same").alias("q"), F.col("tbl").alias("t2"), F.col("rep").alias("s"), F.col("print").alias("qq"))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.llm import contributor_caps, languages, near_duplicates, packing, pages, repeated_lines, shells, splitting, tokens
+from tessera.llm import contributor_caps, languages, near_duplicates, packing, pages, repeated_lines, shells, splitting, subjects, tokens
 from tessera.sources import table
 
 
@@ -99,7 +100,24 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(tokens.count_tokens(table(spark, d, "documents")), limits)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranked, p2_found, p2_languages, p3_found, p3_groups, p4_found, p5_found, p5_pieces, p6_found, p6_texts, p7_found, p7_articles, p8_ids, p9_containers)}
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = subjects.fit(docs, table(spark, d, "subject_labels"), table(spark, d, "subjects"))
+    return subjects.subject_shares(docs, model)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_shares(spark, d).where(F.col("share") >= subjects.SHARE).select("doc_id", "subject")
+
+
+def p10_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Share of the corpus' characters by subject."""
+    sizes = table(spark, d, "documents").select("doc_id", F.length("text").alias("chars"))
+    parts = p10_shares(spark, d).join(sizes, "doc_id").groupBy("subject").agg(F.sum(F.col("share") * F.col("chars")).alias("chars"), F.count("*").alias("documents"))
+    return parts.select("subject", "documents", "chars", (F.col("chars") / F.sum("chars").over(Window.partitionBy())).alias("share"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranked, p2_found, p2_languages, p3_found, p3_groups, p4_found, p5_found, p5_pieces, p6_found, p6_texts, p7_found, p7_articles, p8_ids, p9_containers, p10_found, p10_shares, p10_corpus)}
 
 _SITE = "nullif(regexp_replace(lower(regexp_extract(%s, '^\\s*[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\\.', ''), '')"
 _RANKED = f"""
