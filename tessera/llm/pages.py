@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.llm import lexicon
 
 CONTENT, FURNITURE = 0, 1
-#: Fused score under which a block without other evidence is furniture.
+#: Fused score under which a block is furniture.
 THRESHOLD = 0.35
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*>|<!--.*?-->|([^<]+)", re.S)
 _SKIPPED = re.compile(r"<(script|style|template)\b.*?</\1\s*>", re.I | re.S)
@@ -31,12 +31,12 @@ _SEPARATORS = re.compile(r"\s*[|/·•»›>]\s*|\s{2,}|\s[-–]\s")
 
 
 @lru_cache(1)
-def _cues() -> tuple[re.Pattern, re.Pattern, frozenset]:
+def _cues() -> tuple[re.Pattern, re.Pattern, re.Pattern, frozenset]:
     starts = "|".join(f"(?:{p})" for words in lexicon.FURNITURE_STARTS.values() for p in words)
-    anywhere = "|".join(f"(?:{p})" for p in lexicon.FURNITURE_ANYWHERE)
+    anywhere = "|".join(f"(?:{p})" for p in lexicon.FURNITURE_ANYWHERE)  # looked for in lines of ordinary length
     heads = "|".join(f"(?:{p})" for p in lexicon.TEASER_HEADS)
     menu = frozenset(w for words in lexicon.MENU_WORDS.values() for w in words)
-    return re.compile(f"(?:{starts})|(?:.*(?:{anywhere}))"), re.compile(heads), menu
+    return re.compile(starts), re.compile(anywhere), re.compile(heads), menu
 
 
 def squeezed(line: str) -> str:
@@ -45,11 +45,15 @@ def squeezed(line: str) -> str:
 
 def cue(line: str) -> int:
     """2 for the head of a list of teasers, 1 for other furniture by its words, 0 for neither."""
-    furniture, heads, menu = _cues()
+    return _short_cue(line) if len(line) <= 80 else _cue(line)
+
+
+def _cue(line: str) -> int:
+    furniture, anywhere, heads, menu = _cues()
     low = _DIGITS.sub("0", line.lower())
-    if heads.match(low):
+    if len(low) <= 120 and heads.match(low):
         return 2
-    if furniture.match(low):
+    if furniture.match(low) or len(low) <= 300 and anywhere.search(low):
         return 1
     if len(low) <= 400:
         if low.strip(" .:") in menu:
@@ -60,6 +64,9 @@ def cue(line: str) -> int:
     return 0
 
 
+_short_cue = lru_cache(20_000)(_cue)  # menus and the like come again and again
+
+
 def roles(lines: list[str]) -> list[int]:
     """Role of each line by its words alone: furniture, or a teaser in a list under a head of such."""
     out, teasers = [], False
@@ -159,25 +166,31 @@ def path_scores(found: list[Block]) -> list[float]:
     Per path: text length per block, punctuation per block, and the share of text outside links; the
     ratio is averaged with the neighbours in page order and scaled by the page's best path.
     """
-    text, marks, plain, n = {}, {}, {}, {}
+    paths: dict[tuple, list] = {}
     for b in found:
-        p = b.path
+        sums = paths.setdefault(b.path, [0, 0, 0, 0])
         size = len(b.text)
-        n[p] = n.get(p, 0) + 1
-        text[p] = text.get(p, 0) + size
-        marks[p] = marks.get(p, 0) + len(_PUNCTUATION.findall(b.text))
-        plain[p] = plain.get(p, 0) + (0 if b.link else size)
-    ratio = {p: (text[p] / n[p]) * (1 + marks[p] / n[p]) * (plain[p] / text[p]) for p in n}
+        sums[0] += 1
+        sums[1] += size
+        sums[2] += len(_PUNCTUATION.findall(b.text))
+        sums[3] += 0 if b.link else size
+    ratio = {p: (size / n) * (1 + marks / n) * (plain / size) for p, (n, size, marks, plain) in paths.items()}
     own = [ratio[b.path] * (0.1 if b.link else 1.0) * min(1.0, len(b.text) / 60) for b in found]
-    smooth = [sum(own[max(0, k - 1) : k + 2]) / len(own[max(0, k - 1) : k + 2]) for k in range(len(own))]
+    before, after = [*own[:1], *own[:-1]], [*own[1:], *own[-1:]]
+    smooth = [(a + b + c) / 3 for a, b, c in zip(before, own, after)]
     best = sorted(smooth)[-max(1, len(smooth) // 10)] if smooth else 1.0
     return [min(1.0, (0.6 * s + 0.4 * o) / best) if best else 0.0 for s, o in zip(smooth, own)]
 
 
-def line_roles(text: str, raw: bytes | None) -> list[int]:
-    """Role of each line of ``text``; blank lines are content. Without markup the words decide alone."""
+def line_roles(text: str, raw: bytes | None, by_words: list[int] | None = None) -> list[int]:
+    """Role of each line of ``text``; blank lines are content.
+
+    The tag-path score of a line's block is fused with what else is known: a heading, a link or a
+    zone of furniture, words that only furniture has, a sentence, list item or cell outside links.
+    Without markup the words decide alone.
+    """
     lines = text.split("\n")
-    by_words = roles(lines)
+    by_words = by_words or roles(lines)
     if not raw:
         return by_words
     found = blocks(decode(raw))
@@ -197,16 +210,14 @@ def line_roles(text: str, raw: bytes | None) -> list[int]:
         if "title" in b.path and len(places):
             k = places[0]
             b = found[k]
+        fused = scores[k]
         if b.heading:
-            out.append(CONTENT)
-        elif b.link or b.zone or cue(line):
-            out.append(FURNITURE)
-        elif b.path and b.path[-1] in ("td", "th", "li", "dd", "dt"):
-            out.append(CONTENT)
-        elif _SENTENCE.search(line) and len(line) >= 30:
-            out.append(CONTENT)
-        else:
-            out.append(CONTENT if scores[k] >= THRESHOLD else FURNITURE)
+            fused += 2
+        if b.link or b.zone or role == FURNITURE and cue(line):
+            fused -= 2
+        if b.path and b.path[-1] in ("td", "th", "li", "dd", "dt") or len(line) >= 30 and _SENTENCE.search(line):
+            fused += THRESHOLD
+        out.append(CONTENT if fused >= THRESHOLD else FURNITURE)
     return out
 
 
@@ -224,14 +235,15 @@ def furniture_lines(pages: DataFrame, shells=None) -> DataFrame:
     shared = pages.sparkSession.sparkContext.broadcast(shells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tessera.llm.shells import is_shell
+        from tessera.llm.shells import body, is_shell
 
         for batch in batches:
             ids, numbers = [], []
             for key, text, raw in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if is_shell(text, shared.value):
+                by_words = roles(text.split("\n"))
+                if is_shell(body(text, by_words), shared.value):
                     continue
-                own = [k for k, r in enumerate(line_roles(text, raw)) if r == FURNITURE]
+                own = [k for k, r in enumerate(line_roles(text, raw, by_words)) if r == FURNITURE]
                 numbers += own
                 ids += [key] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32())], names=["artifact_id", "line_no"])

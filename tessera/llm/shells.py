@@ -35,55 +35,81 @@ def _known() -> tuple[re.Pattern, frozenset]:
     return re.compile("|".join(map(re.escape, phrases))), frozenset(w for words in lexicon.FUNCTION_WORDS.values() for w in words)
 
 
-def body(text: str) -> str:
-    """The lines of a page that aren't furniture by their words; the whole text if all are."""
+def body(text: str, by_words: list[int] | None = None) -> str:
+    """The lines of a page that aren't furniture by their words (``by_words``, where known)."""
     lines = text.split("\n")
-    kept = [squeezed(x) for x, r in zip(lines, roles(lines)) if r == CONTENT]
+    kept = [squeezed(x) for x, r in zip(lines, by_words or roles(lines)) if r == CONTENT]
     return "\n".join(x for x in kept if x)
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets and weights of the hashed word n-grams of the body, and the dense features.
+class _Words(dict):
+    """A row number for each word; the rows hold its bucket, whether it is a function word or an empty word, its length."""
+
+    def __init__(self) -> None:
+        self.rows = np.zeros((1024, 4), np.int64)
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        n = len(self)
+        if n == len(self.rows):
+            self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
+        key = xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
+        self.rows[n] = (key, word in _known()[1], word in _EMPTY_WORDS, len(word))
+        self[word] = n
+        return n
+
+    def read(self, words: list[str]) -> np.ndarray:
+        if len(self) > 50_000:
+            self.clear()
+        numbers = [self[w] for w in words]
+        return self.rows[numbers] if numbers else self.rows[:0]
+
+
+@lru_cache(1)
+def _words() -> _Words:
+    return _Words()
+
+
+def features(main: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets and weights of the hashed word n-grams of a page's body, and the dense features.
 
     Dense: log length, words per line, share of words known as function words, share of different
     words, placeholders per word, share of digits and signs, longest line, share of empty words,
     and of the title (the first line): log length and whether it has words at all.
     """
-    import xxhash
-
-    low = body(text).lower()
-    holes = len(_PLACE.findall(low))
-    w = _WORD.findall(_PLACE.sub(" ▯ ", low))
-    _, function = _known()
+    low = main.lower()
+    plain, holes = _PLACE.subn(" ▯ ", low)
+    w = _WORD.findall(plain)
+    rows = _words().read(w)
     n = max(1, len(w))
     lines = low.split("\n")
-    own = sum(x in function for x in w)
-    letters = sum(map(len, w))
+    title = _WORD.findall(lines[0])
+    different = len(np.unique(rows[:, 0]))
     dense = np.array(
         [
             math.log1p(len(low)) / 5,
             min(1.0, n / max(1, len(lines)) / 30),
-            own / n * 2,
-            len(set(w)) / n,
+            rows[:, 1].sum() / n * 2,
+            different / n,
             min(1.0, 6 * holes / (n + holes)),
-            1 - letters / max(1, len(low.replace(" ", ""))),
+            1 - rows[:, 3].sum() / max(1, len(low.replace(" ", ""))),
             min(1.0, max(map(len, lines)) / 300),
-            sum(x in _EMPTY_WORDS for x in w) / n,
+            rows[:, 2].sum() / n,
             math.log1p(len(lines[0])) / 5,
-            float(bool(_WORD.search(lines[0]))),
+            float(bool(title)),
         ]
     )
-    head = w[:600]
-    grams = ["^" + x for x in _WORD.findall(lines[0])[:20]] + head + [a + " " + b for a, b in zip(head, head[1:])] + (["▯"] * holes)
-    if not grams:
-        return np.zeros(0, np.int64), np.zeros(0), dense
-    keys = np.fromiter((xxhash.xxh32_intdigest(g.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for g in set(grams)), np.int64)
-    return keys, np.full(len(keys), 2 / math.sqrt(len(keys))), dense
+    own = rows[:, 0]
+    starts = (own[: len(title)] * 31 + 17) & (BUCKETS - 1)
+    pairs = (own[:-1] * 7919 + own[1:] * 104_729 + 5) & (BUCKETS - 1)
+    keys = np.unique(np.concatenate([own, pairs, starts, [3] * bool(holes)])).astype(np.int64)
+    return keys, np.full(len(keys), 2 / math.sqrt(max(1, len(keys)))), dense
 
 
-def weak_label(text: str, status: int | None) -> int | None:
+def weak_label(main: str, status: int | None) -> int | None:
     """1 for a shell, 0 for an article, None where the phrases and the response status don't tell."""
-    low = body(text).lower()
+    low = main.lower()
     phrase, function = _known()
     parts = [p for p in _SPLIT.split(low) if p and p.strip()]
     total = sum(map(len, parts))
@@ -116,8 +142,8 @@ class Model:
     accuracy: float  # against the weak labels of hosts not seen in training
     penalty: float
 
-    def score(self, text: str) -> float:
-        keys, values, dense = features(text)
+    def score(self, main: str) -> float:
+        keys, values, dense = features(main)
         z = float(self.weights[keys] @ values) + float(self.dense @ dense) + self.bias
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
@@ -151,8 +177,8 @@ def train(sample: list[tuple[str, int | None, str | None]]) -> Model | None:
 
     rows, labels, held = [], [], []
     for text, status, site in sample:
-        if text and text.strip() and (label := weak_label(text, status)) is not None:
-            rows.append(features(text))
+        if text and (main := body(text)) and (label := weak_label(main, status)) is not None:
+            rows.append(features(main))
             labels.append(label)
             held.append(xxhash.xxh32_intdigest((site or "").encode()) % 5 == 0)
     y, held = np.array(labels, float), np.array(held, bool)
@@ -180,13 +206,11 @@ def fit_pages(pages: DataFrame, most: int = SAMPLE) -> Model | None:
     return train([tuple(r) for r in rows.select("text_content", "status_code", host(F.col("url"))).limit(most).collect()])
 
 
-def is_shell(text: str, model: Model | None) -> bool:
-    """Whether the main part of a text is no article. A blank text is none; without a model the weak label decides."""
-    if not text.strip():
-        return False
-    if not body(text):
+def is_shell(main: str, model: Model | None) -> bool:
+    """Whether the body of a page is no article. An empty body is none; without a model the weak label decides."""
+    if not main.strip():
         return False
-    return model.score(text) > 0.5 if model else weak_label(text, None) == 1
+    return model.score(main) > 0.5 if model else weak_label(main, None) == 1
 
 
 def shell_pages(pages: DataFrame, model: Model | None) -> DataFrame:
@@ -198,7 +222,7 @@ def shell_pages(pages: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flags = pa.array([is_shell(t, shared.value) for t in batch.column(1).to_pylist()], pa.bool_())
+            flags = pa.array([is_shell(body(t), shared.value) for t in batch.column(1).to_pylist()], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(flags)], names=["artifact_id"])
 
     rows = pages.where("artifact_id is not null and text_content is not null").select(F.col("artifact_id").cast("long").alias("artifact_id"), "text_content")
