@@ -22,11 +22,12 @@ from tessera.session import materialise
 
 #: Most labelled documents and most other documents in training (documented bounds; all are scored).
 LABELLED, UNLABELLED = 2500, 2500
-BUCKETS, DIMENSIONS = 1 << 16, 8
-ROUNDS = 80
+BUCKETS, DIMENSIONS = 1 << 15, 8
+ROUNDS = 60
 SLICES = 4  # a round reads one document in so many
-RATE, DECAY = 0.05, 1e-6
-PARTITIONS = 6
+RATE, DECAY = 0.15, 1e-6
+PARTITIONS = 4
+TEACHING = (30, 30)  # rounds of each pass over the model's own labels, which go on from the pass before
 SHARE = 0.2
 SURE = 0.75  # share of a document's characters that its first subject needs to be learnt from
 _SENTENCE = re.compile(r"(?<=[^\sA-ZА-ЯЁ][.!?…])\s+|(?<=[。！？])|\n+")
@@ -150,15 +151,13 @@ def _gradient(ids: np.ndarray, ends: np.ndarray, y: np.ndarray, e: np.ndarray, w
     return grad_e, mean.T @ g, g.sum(axis=0), loss
 
 
-def train(rows: DataFrame, subjects: list[str], rounds: int = ROUNDS) -> Model:
-    """Fit on ``rows`` (ids array<int>, ends array<int>, subject int): one row a document."""
+def train(rows: DataFrame, subjects: list[str], rounds: int = ROUNDS, start: list[np.ndarray] | None = None) -> tuple[Model, list[np.ndarray]]:
+    """Fit on ``rows`` (ids array<int>, ends array<int>, subject int), one row a document, from the parameters ``start``."""
     spark = rows.sparkSession
     random = np.random.RandomState(5)
     k = len(subjects)
-    e = random.normal(0, 0.1, (BUCKETS, DIMENSIONS))
-    w = random.normal(0, 0.5, (DIMENSIONS, k))
-    b = np.full(k, -2.0)
-    params = [e, w, b]
+    params = start or [random.normal(0, 0.1, (BUCKETS, DIMENSIONS)), random.normal(0, 0.5, (DIMENSIONS, k)), np.full(k, -2.0)]
+    e, w, b = params
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for t in range(1, rounds + 1):
         shared = spark.sparkContext.broadcast([e.astype(np.float32), w, b])
@@ -195,7 +194,7 @@ def train(rows: DataFrame, subjects: list[str], rounds: int = ROUNDS) -> Model:
             m[i] = 0.9 * m[i] + 0.1 * d
             v[i] = 0.99 * v[i] + 0.01 * d**2
             p -= RATE * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.99**t)) + 1e-7)
-    return Model(subjects, (e @ w).astype(np.float32), b)
+    return Model(subjects, (e @ w).astype(np.float32), b.copy()), params
 
 
 ENCODED = "doc_id bigint, ids array<int>, ends array<int>, chars array<int>"
@@ -238,6 +237,24 @@ def shares(scores: np.ndarray, chars: np.ndarray) -> np.ndarray:
     return out / out.sum()
 
 
+def _taught(rows: DataFrame, model: Model) -> DataFrame:
+    """The documents that the model is sure of, with its own label; a hand label must agree."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, own = [], []
+            for i, (ids, ends, chars, label) in enumerate(zip(batch.column(1), batch.column(2), batch.column(3), batch.column(4).to_pylist())):
+                s = shares(shared.value.scores(ids.values.to_numpy(), ends.values.to_numpy().astype(np.int64)), chars.values.to_numpy())
+                if s.max() >= SURE and (label is None or int(s.argmax()) == label):
+                    keep.append(i)
+                    own.append(int(s.argmax()))
+            take = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(2).take(take), pa.array(own, pa.int32())], names=["ids", "ends", "subject"])
+
+    return rows.mapInArrow(judged, "ids array<int>, ends array<int>, subject int")
+
+
 def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Model | None:
     """A model from hand labels, then from documents of a bounded sample that the first model is sure of.
 
@@ -258,25 +275,13 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Model | None
     first = both.where("subject is not null").select("ids", "ends", "subject").cache()
     if not first.limit(1).count():
         return None
-    model = train(first, names)
+    model, params = train(first, names)
     first.unpersist()
-    shared = both.sparkSession.sparkContext.broadcast(model)
-
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, own = [], []
-            for i, (ids, ends, chars, label) in enumerate(zip(batch.column(1), batch.column(2), batch.column(3), batch.column(4).to_pylist())):
-                s = shares(shared.value.scores(ids.values.to_numpy(), ends.values.to_numpy().astype(np.int64)), chars.values.to_numpy())
-                if s.max() >= SURE and (label is None or int(s.argmax()) == label):
-                    keep.append(i)
-                    own.append(int(s.argmax()))
-            take = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(2).take(take), pa.array(own, pa.int32())], names=["ids", "ends", "subject"])
-
-    second = materialise(both.mapInArrow(judged, "ids array<int>, ends array<int>, subject int")).coalesce(PARTITIONS).cache()
-    if second.limit(1).count():
-        model = train(second, names)
-    second.unpersist()
+    for rounds in TEACHING:
+        own = materialise(_taught(both, model)).coalesce(PARTITIONS).cache()
+        if own.limit(1).count():
+            model, params = train(own, names, rounds, params)
+        own.unpersist()
     return model
 
 
