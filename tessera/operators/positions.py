@@ -18,7 +18,8 @@ def grouped_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column
     The rows are range-partitioned by keys *and* order, so a hot group is spread over many tasks.
     Prefix sums of the partition sizes give global positions, from which the start of the group is
     subtracted. Only one number per partition reaches the driver. ``order`` must be total for the
-    result to be defined; null keys form a group of their own. An empty input gives an empty result.
+    result to be defined; null keys form a group of their own, and
+    without keys all rows are one group. An empty input gives an empty result.
     """
     by = [F.col(k).asc_nulls_first() for k in keys]
     ranged = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
@@ -31,6 +32,8 @@ def grouped_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column
         total += n
     offset = F.element_at(F.create_map(*[F.lit(x) for pair in offsets for x in pair]), part) if offsets else F.lit(0)
     rows = rows.withColumn("__at", offset + F.col("__row").bitwiseAND(F.lit((1 << _BITS) - 1)))
+    if not keys:
+        return rows.withColumn(name, F.col("__at").cast("long")).drop("__row", "__at")
     names = [f"__key{i}" for i in range(len(keys))]
     starts = rows.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.min("__at").alias("__start"))
     same = F.lit(True)

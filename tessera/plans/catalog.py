@@ -4,5 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
-ORACLE: dict[str, str] = {}
+from tessera.plans import page_queries, ranking_queries, text_queries
+
+MODULES = (text_queries, page_queries, ranking_queries)
+QUERIES: dict[str, Callable] = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLE: dict[str, str] = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
