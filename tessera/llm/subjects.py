@@ -270,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Model | None
     n = known.count()
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // LABELLED)))) == 0) if n > LABELLED else known
     step = max(1, docs.count() // UNLABELLED)
-    picked = docs.join(F.broadcast(known), "doc_id", "left").where(F.col("subject").isNotNull() | (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(step)) == 0))  # at most LABELLED rows are broadcast
+    picked = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id", "left").where(F.col("subject").isNotNull() | (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(step)) == 0))  # at most LABELLED rows are broadcast
     both = materialise(encoded_with(picked.select("doc_id", "text", number.alias("subject"))).repartition(PARTITIONS, "doc_id"))
     first = both.where("subject is not null").select("ids", "ends", "subject").cache()
     if not first.limit(1).count():
@@ -325,4 +325,5 @@ def subject_shares(docs: DataFrame, model: Model | None) -> DataFrame:
                             found.append(float(share[j]))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names, pa.string()), pa.array(found, pa.float64())], names=["doc_id", "subject", "share"])
 
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SHARES)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    return rows.mapInArrow(run, SHARES)
