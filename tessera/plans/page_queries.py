@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import urls as U
-from tessera.operators import classify, dedup, markup
+from tessera.operators import classify, dedup, markup, media
 from tessera.plans import sql as S
 from tessera.sources import table
 
@@ -72,7 +72,22 @@ def html_markdown(spark: SparkSession, d: str) -> DataFrame:
     return markup.markdown(_pages(spark, d).select("artifact_id", "raw_content"))
 
 
-QUERIES = {f.__name__: f for f in (url_canonical, url_policy, url_dedup, blocked_addresses, document_type, acquisition_quality, page_intelligence, strategy, html_links, html_tables, html_markdown)}
+def html_images(spark: SparkSession, d: str) -> DataFrame:
+    return media.images(_pages(spark, d).select("artifact_id", F.col("canonical_url").alias("url"), "raw_content"))
+
+
+def media_names(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "rag_chunks").select("chunk_id", "source_url", "title").distinct()
+    return rows.select("chunk_id", "source_url", media.media_name(F.col("source_url"), F.col("title")).alias("file"))
+
+
+def picture_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles of pictures whose sizes follow from the ids."""
+    n = F.col("artifact_id")
+    return media.tiles(_pages(spark, d).select(n.alias("id"), (F.pmod(n * 37, F.lit(1500)) + 200).cast("int").alias("width"), (F.pmod(n * 91, F.lit(2500)) + 100).cast("int").alias("height")).distinct())
+
+
+QUERIES = {f.__name__: f for f in (url_canonical, url_policy, url_dedup, blocked_addresses, document_type, acquisition_quality, page_intelligence, strategy, html_links, html_tables, html_markdown, html_images, media_names, picture_tiles)}
 
 _P = S.path("url")
 _WAY = f"case when regexp_replace(lower({_P}), '/+$', '') = '' then '/' else regexp_replace(lower({_P}), '/+$', '') end"
@@ -128,3 +143,10 @@ ORACLE["page_intelligence"] = f"""with t as (select artifact_id, coalesce(status
   select artifact_id, case when json then 'json' when pdf then 'pdf' else 'html' end as page_type, case when json or pdf then 1.0 else round(1 - js, 2) end as static_score, case when json or pdf then 0.0 else round(js, 6) end as js_dependency_score, case when json then 1.0 when pdf then 0.0 else round(least(1, apis * 0.3::double), 2) end as api_score,
     case when json then 0.0 when pdf then 0.8 else round(vis, 2) end as visual_score, case when json then 1.0 when pdf then 0.9 else round(1 - {_NUM("blocked", 0.95)}, 2) end as quality, case when json or pdf then 0.0 else {_NUM("blocked", 0.95)} end as block_score,
     case when json or pdf then '' else array_to_string(list_filter([{", ".join(f"case when {S.any_of('low', m)} then '{n}' end" for n, m in classify.FRAMEWORKS.items())}], lambda x: x is not null), '|') end as frameworks, case when json or pdf then 0 else apis end as apis, case when json or pdf then 0 else tables end as tables_count from g"""
+
+_SLUG = "regexp_replace(regexp_replace(lower(title), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g')"
+ORACLE["media_names"] = f"""select distinct chunk_id, source_url, coalesce(case when {_SLUG} <> '' then substr({_SLUG}, 1, 60) end, 'media') || '_' || substr(sha256(source_url), 1, 8) || '.' ||
+  case when regexp_extract(source_url, '\\.([A-Za-z0-9]{{2,5}})(?:[?#]|$)', 1) <> '' then lower(regexp_extract(source_url, '\\.([A-Za-z0-9]{{2,5}})(?:[?#]|$)', 1)) else 'jpg' end as file from rag_chunks"""
+ORACLE["picture_tiles"] = """with p as (select distinct artifact_id as id, artifact_id * 37 % 1500 + 200 as w, artifact_id * 91 % 2500 + 100 as h from captured_artifacts),
+  t as (select id, w, h, unnest(range(0, greatest(0, w - 65) + 1, 448)) as x from p), u as (select *, unnest(range(0, greatest(0, h - 65) + 1, 448)) as y from t)
+  select id, x, y, least(512, w - x) as tile_width, least(512, h - y) as tile_height from u"""
