@@ -72,10 +72,6 @@ def html_markdown(spark: SparkSession, d: str) -> DataFrame:
     return markup.markdown(_pages(spark, d).select("artifact_id", "raw_content"))
 
 
-def html_images(spark: SparkSession, d: str) -> DataFrame:
-    return media.images(_pages(spark, d).select("artifact_id", F.col("canonical_url").alias("url"), "raw_content"))
-
-
 def media_names(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "rag_chunks").select("chunk_id", "source_url", "title").distinct()
     return rows.select("chunk_id", "source_url", media.media_name(F.col("source_url"), F.col("title")).alias("file"))
@@ -87,7 +83,7 @@ def picture_tiles(spark: SparkSession, d: str) -> DataFrame:
     return media.tiles(_pages(spark, d).select(n.alias("id"), (F.pmod(n * 37, F.lit(1500)) + 200).cast("int").alias("width"), (F.pmod(n * 91, F.lit(2500)) + 100).cast("int").alias("height")).distinct())
 
 
-QUERIES = {f.__name__: f for f in (url_canonical, url_policy, url_dedup, blocked_addresses, document_type, acquisition_quality, page_intelligence, strategy, html_links, html_tables, html_markdown, html_images, media_names, picture_tiles)}
+QUERIES = {f.__name__: f for f in (url_canonical, url_policy, url_dedup, blocked_addresses, document_type, acquisition_quality, page_intelligence, strategy, html_links, html_tables, html_markdown, media_names, picture_tiles)}
 
 _P = S.path("url")
 _WAY = f"case when regexp_replace(lower({_P}), '/+$', '') = '' then '/' else regexp_replace(lower({_P}), '/+$', '') end"

@@ -107,7 +107,7 @@ def test_research(spark):
     plan = research.plan_requests("insulin trial", targets[0], made)
     assert len(plan) == 8 and plan[0][0] == "pubmed" and len({s for s, _, _ in plan}) == 8
     df = spark.createDataFrame([("metformin 10.1234/x",), (None,)], "t string").select(research.entity_column(F.col("t")).alias("e"))
-    assert [[(x.kind, x.name) for x in r.e] for r in df.collect()] == [[("DOI", "10.1234/x"), ("CHEMICAL", "metformin")], []]
+    assert [[(x.kind, x.name) for x in r.e] for r in df.collect()] == [[("DOI", "10.1234/x"), ("VERSION", "10.1234"), ("CHEMICAL", "metformin")], []]
     assert spark.range(1).select(research.translated(F.lit("a b"), [("a", "x"), ("b", "y")]).alias("t")).first().t == "x y"
 
 
