@@ -30,8 +30,9 @@ def grouped_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column
     for p, n in sizes:
         offsets.append((p, total))
         total += n
-    offset = F.element_at(F.create_map(*[F.lit(x) for pair in offsets for x in pair]), part) if offsets else F.lit(0)
-    rows = rows.withColumn("__at", offset + F.col("__row").bitwiseAND(F.lit((1 << _BITS) - 1)))
+    before = df.sparkSession.createDataFrame(offsets, "__part bigint, __before bigint")
+    rows = rows.join(F.broadcast(before), part == F.col("__part"))  # one row per partition
+    rows = rows.withColumn("__at", F.col("__before") + F.col("__row").bitwiseAND(F.lit((1 << _BITS) - 1))).drop("__part", "__before")
     if not keys:
         return rows.withColumn(name, F.col("__at").cast("long")).drop("__row", "__at")
     names = [f"__key{i}" for i in range(len(keys))]
