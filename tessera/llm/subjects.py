@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 from tessera.session import materialise
 
 #: Most labelled documents and most other documents in training (documented bounds; all are scored).
-LABELLED, UNLABELLED = 2500, 2500
+LABELLED, UNLABELLED = 2500, 5000
 BUCKETS, DIMENSIONS = 1 << 15, 8
-ROUNDS = 60
-SLICES = 4  # a round reads one document in so many
+ROUNDS = 50
+SLICES = 6  # a round reads one document in so many
 RATE, DECAY = 0.15, 1e-6
 PARTITIONS = 4
-TEACHING = (30, 30)  # rounds of each pass over the model's own labels, which go on from the pass before
+#: Passes over the model's own labels, each going on from the one before: rounds, the score of a clear
+#: sentence, and the share of characters in clear sentences that a document needs to be learnt from.
+TEACHING = ((25, 0.5, 0.5), (25, 0.0, 0.4), (25, -1.0, 0.3))
 SHARE = 0.2
 SURE = 0.75  # share of a document's characters that its first subject needs to be learnt from
 _SENTENCE = re.compile(r"(?<=[^\sA-ZА-ЯЁ][.!?…])\s+|(?<=[。！？])|\n+")
@@ -217,6 +219,11 @@ def encoded(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ENCODED)
 
 
+def _smooth(held: np.ndarray) -> np.ndarray:
+    around = np.vstack([held[:1], held, held[-1:]])
+    return 0.25 * around[:-2] + 0.5 * around[1:-1] + 0.25 * around[2:]
+
+
 def shares(scores: np.ndarray, chars: np.ndarray) -> np.ndarray:
     """Share of the characters that each subject has in a document.
 
@@ -225,8 +232,7 @@ def shares(scores: np.ndarray, chars: np.ndarray) -> np.ndarray:
     nothing goes with the others of the document.
     """
     held = np.clip(scores, -2, 4)
-    around = np.vstack([held[:1], held, held[-1:]])
-    smooth = 0.25 * around[:-2] + 0.5 * around[1:-1] + 0.25 * around[2:]
+    smooth = _smooth(held)
     best = smooth.argmax(axis=1)
     sure = smooth[np.arange(len(best)), best] > 0
     out = np.zeros(scores.shape[1])
@@ -237,16 +243,22 @@ def shares(scores: np.ndarray, chars: np.ndarray) -> np.ndarray:
     return out / out.sum()
 
 
-def _taught(rows: DataFrame, model: Model) -> DataFrame:
-    """The documents that the model is sure of, with its own label; a hand label must agree."""
+def _taught(rows: DataFrame, model: Model, clear: float, least: float) -> DataFrame:
+    """The documents that the model is sure of, with its own label; a hand label must agree.
+
+    Passages in other languages get the label of their document, so what is known in one language
+    is carried to others.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, own = [], []
             for i, (ids, ends, chars, label) in enumerate(zip(batch.column(1), batch.column(2), batch.column(3), batch.column(4).to_pylist())):
-                s = shares(shared.value.scores(ids.values.to_numpy(), ends.values.to_numpy().astype(np.int64)), chars.values.to_numpy())
-                if s.max() >= SURE and (label is None or int(s.argmax()) == label):
+                scores, size = shared.value.scores(ids.values.to_numpy(), ends.values.to_numpy().astype(np.int64)), chars.values.to_numpy()
+                s = shares(scores, size)
+                told = size[_smooth(np.clip(scores, -2, 4)).max(axis=1) > clear].sum() / max(1, size.sum())
+                if s.max() >= SURE and told >= least and (label is None or int(s.argmax()) == label):
                     keep.append(i)
                     own.append(int(s.argmax()))
             take = pa.array(keep, pa.int64())
@@ -277,8 +289,8 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Model | None
         return None
     model, params = train(first, names)
     first.unpersist()
-    for rounds in TEACHING:
-        own = materialise(_taught(both, model)).coalesce(PARTITIONS).cache()
+    for rounds, clear, least in TEACHING:
+        own = materialise(_taught(both, model, clear, least)).coalesce(PARTITIONS).cache()
         if own.limit(1).count():
             model, params = train(own, names, rounds, params)
         own.unpersist()

@@ -95,7 +95,7 @@ def test_languages(spark):
     for k, (lang, s) in enumerate(SENTENCES.items()):
         other = SENTENCES["ru" if lang != "ru" else "en"]
         rows.append(("documents", k, f"{s}\n{s}\n{other}", f"https://h{k}.example/x", lang.upper(), None, False, "clash"))
-    rows += [("documents", 20, None, None, None, None, False, ""), ("documents", 21, " \n ", None, None, None, False, ""), ("documents", 22, "12 345 :", "https://a.example/", "fr-CA", None, False, ""), ("documents", 22, "12 345 :", "https://a.example/", "fr-CA", None, False, ""), ("documents", None, "x", None, None, None, False, "")]
+    rows += [("documents", 20, None, None, None, None, False, ""), ("documents", 21, " \n\u00a0\u3000", None, None, None, False, ""), ("documents", 22, "12 345 :", "https://a.example/", "fr-CA", None, False, ""), ("documents", 22, "12 345 :", "https://a.example/", "fr-CA", None, False, ""), ("documents", None, "x", None, None, None, False, "")]
     model = languages.learn([(s, lang) for lang, s in SENTENCES.items()])
     got = {(r.rec_id, r.line_no): r for r in languages.languages(spark.createDataFrame(rows, LABELLED), model, None).collect()}
     for k, lang in enumerate(SENTENCES):
