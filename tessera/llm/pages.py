@@ -27,6 +27,7 @@ _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _DIGITS = re.compile(r"\d+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 _SENTENCE = re.compile(r"[.!?…。！？][\"'»”)]*\s*$")
+_ENTRY = re.compile(r"\| \d|: \d+$")  # rows of figures are no teasers
 _SEPARATORS = re.compile(r"\s*[|/·•»›>]\s*|\s{2,}|\s[-–]\s")
 
 
@@ -79,7 +80,7 @@ def roles(lines: list[str]) -> list[int]:
         if kind:
             teasers = kind == 2
             out.append(FURNITURE)
-        elif teasers and (len(line) < 110 or line.endswith("…") or not _SENTENCE.search(line)):
+        elif teasers and line.count(" ") >= 2 and not _ENTRY.search(line) and (len(line) < 110 or line.endswith("…") or not _SENTENCE.search(line)):
             out.append(FURNITURE)
         else:
             teasers = False
