@@ -154,7 +154,7 @@ def _gradient(ids: np.ndarray, ends: np.ndarray, y: np.ndarray, e: np.ndarray, w
 
 
 def train(rows: DataFrame, subjects: list[str], rounds: int = ROUNDS, start: list[np.ndarray] | None = None) -> tuple[Model, list[np.ndarray]]:
-    """Fit on ``rows`` (ids array<int>, ends array<int>, subject int), one row a document, from the parameters ``start``."""
+    """Fit on ``rows`` (ids array<int>, ends array<int>, subject int, slice int), one row a document, from the parameters ``start``."""
     spark = rows.sparkSession
     random = np.random.RandomState(5)
     k = len(subjects)
@@ -164,11 +164,11 @@ def train(rows: DataFrame, subjects: list[str], rounds: int = ROUNDS, start: lis
     for t in range(1, rounds + 1):
         shared = spark.sparkContext.broadcast([e.astype(np.float32), w, b])
 
-        def partial(batches: Iterator[pa.RecordBatch], shared=shared, turn=t % SLICES) -> Iterator[pa.RecordBatch]:
+        def partial(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             total = None
             n = 0
             for batch in batches:
-                if not (batch := batch.take(pa.array(np.arange(turn, batch.num_rows, SLICES)))).num_rows:
+                if not batch.num_rows:
                     continue
                 ids, sizes, y = [], [], []
                 for i, s, label in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -183,7 +183,7 @@ def train(rows: DataFrame, subjects: list[str], rounds: int = ROUNDS, start: lis
                 blob = np.concatenate([total[0].ravel(), total[1].ravel(), total[2], [total[3], n]]).astype(np.float32).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["g"])
 
-        grads = [np.frombuffer(bytes(r.g), np.float32).astype(np.float64) for r in rows.mapInArrow(partial, "g binary").collect()]
+        grads = [np.frombuffer(bytes(r.g), np.float32).astype(np.float64) for r in rows.where(F.col("slice") == t % SLICES).select("ids", "ends", "subject").mapInArrow(partial, "g binary").collect()]
         shared.destroy()
         if not grads:
             break
@@ -262,9 +262,9 @@ def _taught(rows: DataFrame, model: Model, clear: float, least: float) -> DataFr
                     keep.append(i)
                     own.append(int(s.argmax()))
             take = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(2).take(take), pa.array(own, pa.int32())], names=["ids", "ends", "subject"])
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(2).take(take), pa.array(own, pa.int32()), batch.column(5).take(take)], names=["ids", "ends", "subject", "slice"])
 
-    return rows.mapInArrow(judged, "ids array<int>, ends array<int>, subject int")
+    return rows.select("doc_id", "ids", "ends", "chars", "subject", "slice").mapInArrow(judged, "ids array<int>, ends array<int>, subject int, slice int")
 
 
 def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Model | None:
@@ -283,8 +283,9 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Model | None
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // LABELLED)))) == 0) if n > LABELLED else known
     step = max(1, docs.count() // UNLABELLED)
     picked = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id", "left").where(F.col("subject").isNotNull() | (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(step)) == 0))  # at most LABELLED rows are broadcast
-    both = materialise(encoded_with(picked.select("doc_id", "text", number.alias("subject"))).repartition(PARTITIONS, "doc_id"))
-    first = both.where("subject is not null").select("ids", "ends", "subject").cache()
+    both = encoded_with(picked.select("doc_id", "text", number.alias("subject"))).withColumn("slice", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(SLICES)).cast("int"))
+    both = materialise(both.repartition(PARTITIONS, "doc_id"))
+    first = both.where("subject is not null").select("ids", "ends", "subject", "slice").cache()
     if not first.limit(1).count():
         return None
     model, params = train(first, names)
