@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,24 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, driver_memory:
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers, unless they find it through PYTHONPATH or the working folder."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    reachable = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    sc = spark.sparkContext
+    if root in map(os.path.abspath, filter(None, reachable)) or getattr(sc, "_tessera_shipped", False):
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="tessera-"), "tessera.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(os.path.join(root, "tessera")):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(base, name)
+                    z.write(path, os.path.relpath(path, root))
+    sc.addPyFile(target)
+    sc._tessera_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder that all executors reach.
 
