@@ -43,15 +43,17 @@ def _any(text: Column, markers: tuple[str, ...]) -> Column:
 def document_type(df: DataFrame) -> DataFrame:
     """Adds doc_type, accepted, reason, signals, useful_chars to rows with url, text, status_code,
     content_type, title, link_density. Null texts are empty, a null status is 200, a null density 0."""
-    low = F.lower(F.coalesce("text", F.lit("")))
+    # What several rules read is computed once, as columns: branches of a ladder share no expressions.
+    df = df.withColumns({"_low": F.lower(F.coalesce("text", F.lit(""))), "useful_chars": F.length(T.useful_text(F.col("text")))})
+    df = df.withColumns({f"_{i}": found(F.col("_low"), m) for i, m in enumerate((BLOCK_MARKERS, ERROR_MARKERS, LOGIN_MARKERS, SCRIPT_MARKERS))})
+    low, size = F.col("_low"), F.col("useful_chars")
+    blocks, errors, logins, scripts = (F.col(f"_{i}") for i in range(4))
     status = F.coalesce("status_code", F.lit(200))
     density = F.coalesce("link_density", F.lit(0.0))
     way, words = F.lower(U.path(F.coalesce("url", F.lit("")))), F.lower(U.query(F.coalesce("url", F.lit(""))))
-    useful = T.useful_text(F.col("text"))
-    size = F.length(useful)
     code = F.when(status >= 400, F.array(F.concat(F.lit("status:"), status.cast("string")))).otherwise(F.array().cast("array<string>"))
     refused = status.isin(401, 403, 429)
-    login = F.size(found(low, LOGIN_MARKERS))
+    login = F.size(logins)
     form = F.contains(low, F.lit("password")) & (F.contains(low, F.lit("email")) | F.contains(low, F.lit("username")))
     listed, asked = _any(way, U.LISTING_PATHS), _any(words, LISTING_WORDS)
     names = lambda *pairs: F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in pairs]), lambda x: x.isNotNull())
@@ -59,12 +61,12 @@ def document_type(df: DataFrame) -> DataFrame:
     odd = F.when(~F.contains(mime, F.lit("html")) & ~F.contains(mime, F.lit("text")), F.array(F.concat(F.lit("content_type:"), F.coalesce("content_type", F.lit(""))))).otherwise(F.array().cast("array<string>"))
     rules = [
         (status >= 500, "ERROR_PAGE", "HTTP_SERVER_ERROR", code),
-        (refused | _any(low, BLOCK_MARKERS), "BLOCK_PAGE", "BLOCK_OR_ACCESS_DENIED", F.concat(F.when(refused, code).otherwise(F.array().cast("array<string>")), found(low, BLOCK_MARKERS))),
-        ((status >= 400) | _any(low, ERROR_MARKERS), "ERROR_PAGE", "HTTP_OR_ERROR_PAGE", F.concat(code, found(low, ERROR_MARKERS))),
-        (_any(way, U.AUTH_PATHS) | ((login >= 3) & ((size < 1200) | form)), "LOGIN", "AUTHENTICATION_PAGE", found(low, LOGIN_MARKERS)),
+        (refused | (F.size(blocks) > 0), "BLOCK_PAGE", "BLOCK_OR_ACCESS_DENIED", F.concat(F.when(refused, code).otherwise(F.array().cast("array<string>")), blocks)),
+        ((status >= 400) | (F.size(errors) > 0), "ERROR_PAGE", "HTTP_OR_ERROR_PAGE", F.concat(code, errors)),
+        (_any(way, U.AUTH_PATHS) | ((login >= 3) & ((size < 1200) | form)), "LOGIN", "AUTHENTICATION_PAGE", logins),
         (
-            _any(low, SCRIPT_MARKERS) | ((size < 300) & low.rlike(r"<(?:div|main)[^>]+(?:id|class)=[\"'](?:root|app|__next)")),
-            "JS_SHELL", "UNRENDERED_JAVASCRIPT_SHELL", F.concat(found(low, SCRIPT_MARKERS), names(("thin_spa_shell", size < 300))),
+            (F.size(scripts) > 0) | ((size < 300) & low.rlike(r"<(?:div|main)[^>]+(?:id|class)=[\"'](?:root|app|__next)")),
+            "JS_SHELL", "UNRENDERED_JAVASCRIPT_SHELL", F.concat(scripts, names(("thin_spa_shell", size < 300))),
         ),
         (listed | asked | (density >= 0.65), "SEARCH_LISTING", "SEARCH_OR_DIRECTORY_PAGE", names(("listing_path", listed), ("listing_query", asked), ("high_link_density", density >= 0.65))),
         (way.isin("", "/") & (F.trim(F.coalesce("title", F.lit(""))) == "") & (size < 1200), "NAVIGATION", "DOMAIN_HOME_PAGE", F.array(F.lit("root_path"), F.lit("missing_title"))),
@@ -77,7 +79,7 @@ def document_type(df: DataFrame) -> DataFrame:
             c = c.when(r[0], r[pick])
         return c.otherwise(last)
 
-    return df.withColumns({"doc_type": ladder(1, F.lit("DOCUMENT")), "reason": ladder(2, F.lit("DOCUMENT_EVIDENCE_CANDIDATE")), "signals": ladder(3, odd), "useful_chars": size}).withColumn("accepted", F.col("doc_type") == "DOCUMENT")
+    return df.withColumns({"doc_type": ladder(1, F.lit("DOCUMENT")), "reason": ladder(2, F.lit("DOCUMENT_EVIDENCE_CANDIDATE")), "signals": ladder(3, odd)}).withColumn("accepted", F.col("doc_type") == "DOCUMENT").drop("_low", "_0", "_1", "_2", "_3")
 
 
 def inspect_content(df: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ def near_pairs(prints: DataFrame, distance: int = 3) -> DataFrame:
     """
     if not 0 <= distance <= 3:
         raise ValueError("four blocks find all pairs up to a distance of 3 only")
-    some = prints.where("fingerprint <> 0").select("id", "fingerprint")
+    some = materialise(prints.where("fingerprint <> 0").select("id", "fingerprint"))  # read four times
     distinct = some.select("fingerprint").distinct()
     block = distinct.select("fingerprint", F.posexplode(V.blocks(F.col("fingerprint"))).alias("b", "v"))
     close = F.bit_count(F.col("x.fingerprint").bitwiseXOR(F.col("y.fingerprint")))
@@ -88,6 +88,7 @@ def near_pairs(prints: DataFrame, distance: int = 3) -> DataFrame:
 
 def near_matches(prints: DataFrame, distance: int = 3) -> DataFrame:
     """id, n_near, near_dup_of (smallest earlier id within the distance, null if none): one row per fingerprint row."""
+    prints = materialise(prints.select("id", "fingerprint"))
     pairs = near_pairs(prints, distance)
     both = pairs.select(F.col("id_b").alias("id"), F.col("id_a").alias("other")).unionByName(pairs.select(F.col("id_a").alias("id"), F.col("id_b").alias("other")))
     found = both.groupBy("id").agg(F.count("*").alias("n_near"), F.min("other").alias("other"))
@@ -116,6 +117,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
 
 def clusters(prints: DataFrame, distance: int = 3) -> DataFrame:
     """id and cluster of every fingerprint row; a text without neighbours is its own cluster."""
+    prints = materialise(prints.select("id", "fingerprint"))
     found = components(near_pairs(prints, distance))
     return prints.select("id").join(found, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 

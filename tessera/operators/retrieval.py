@@ -9,6 +9,7 @@ from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators.positions import grouped_positions
 from tessera.operators.ranking import fuse, rerank, select_diverse
+from tessera.session import materialise
 
 DIMENSIONS, SPARSE = 384, 100_000
 
@@ -90,7 +91,7 @@ def search_passages(passages: DataFrame, queries: DataFrame, most: int = 10, per
     """
     one = passages.groupBy("id").agg(F.min(F.struct("url", "title", "text", "authority_score")).alias("r")).select("id", "r.*")
     fused = fuse(branch_scores(one, queries, 3 * most), {"dense": 0.6, "sparse": 0.4}, most=2 * most).select("query_id", "id", "fusion_score")
-    full = rerank(fused.join(one, "id").join(queries.select("query_id", "query"), "query_id"))
+    full = materialise(rerank(fused.join(one, "id").join(queries.select("query_id", "query"), "query_id")))
     short = grouped_positions(full, ["query_id"], [F.desc("rerank_score"), F.desc("fusion_score"), F.asc("id")], "place")
     chosen = select_diverse(short.withColumn("score", F.col("rerank_score")), most, per_domain=per_domain)
     return chosen.join(full.select("query_id", "id", "url", "title", "rerank_score"), ["query_id", "id"])
