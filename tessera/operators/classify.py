@@ -86,14 +86,16 @@ def inspect_content(df: DataFrame) -> DataFrame:
     """Adds is_valid, main_text_ratio, link_density, is_spam, is_navigation_only, rejection_reason to rows with text."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.transform(F.split(text, "\r\n|\n|\r"), lambda s: F.regexp_replace(s, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")), lambda s: s != "")
-    total = F.aggregate(lines, F.lit(0), lambda a, s: a + T.word_count(s))
     links = F.aggregate(F.regexp_extract_all(text, F.lit(r"\[([^\]]+)\]\([^\)]+\)"), F.lit(1)), F.lit(0), lambda a, s: a + T.word_count(s))
-    rows = df.withColumns({"_n": total, "_l": links, "_lines": F.size(lines), "_unique": F.size(F.array_distinct(lines))})
-    thin = F.length(F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")) < 80
+    rows = df.withColumn("_rows", lines)
+    total = F.aggregate("_rows", F.lit(0), lambda a, s: a + T.word_count(s))
+    short = F.length(F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")) < 80
+    flood = (F.length(text) < 500) & (F.size(found(F.lower(text), BOILERPLATE_TERMS)) >= 3)
+    rows = rows.withColumns({"_n": total, "_l": links, "_lines": F.size("_rows"), "_unique": F.size(F.array_distinct("_rows")), "_thin": short, "_flood": flood}).drop("_rows")
+    thin, flooded = F.col("_thin"), F.col("_flood")
     density = F.col("_l") / F.greatest("_n", F.lit(1))
     article = (F.col("_n") - F.col("_l") >= 350) & (F.col("_n") / F.greatest("_lines", F.lit(1)) >= 8)
     navigation = (density > 0.65) & ~article
-    flooded = (F.size(found(F.lower(text), BOILERPLATE_TERMS)) >= 3) & (F.length(text) < 500)
     spam = (F.col("_unique") / F.greatest("_lines", F.lit(1)) < 0.35) & (F.col("_lines") > 10)
     reason = F.when(thin, "THIN_CONTENT_TOO_SHORT").when(navigation, "NAVIGATION_DIRECTORY_PAGE").when(flooded, "BOILERPLATE_DOMINATED").when(spam, "REPETITIVE_SPAM_TEMPLATE").otherwise("")
     return rows.withColumns(
@@ -105,7 +107,7 @@ def inspect_content(df: DataFrame) -> DataFrame:
             "is_navigation_only": ~thin & navigation,
             "rejection_reason": reason,
         }
-    ).drop("_n", "_l", "_lines", "_unique")
+    ).drop("_n", "_l", "_lines", "_unique", "_thin", "_flood")
 
 
 def content_quality(df: DataFrame) -> DataFrame:
