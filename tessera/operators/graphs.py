@@ -48,6 +48,18 @@ def query_graph(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     return asked.join(held, "token").groupBy("query_id", "node_id").agg(F.count("*").alias("matched"))
 
 
+def search_graph(nodes: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, node_id, matched: nodes of every kind whose text holds a word of the query as a substring.
+
+    Matched counts the different words held; words are split at white space and all of them count. A
+    substring has no key to join by, so the short list of ``queries`` goes to every task.
+    """
+    asked = queries.select("query_id", F.array_distinct(T.words(F.lower("query"))).alias("words"))
+    held = nodes.select("node_id", F.lower("text").alias("text")).join(F.broadcast(asked))
+    rows = held.select("query_id", "node_id", F.size(F.filter("words", lambda w: F.contains(F.col("text"), w))).cast("bigint").alias("matched"))
+    return rows.where("matched > 0")
+
+
 def expand(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """url and depth of every page reached from ``seeds`` (url) over ``links`` (source, target) in at most ``depth`` steps."""
     reached = materialise(seeds.select("url").distinct().withColumn("depth", F.lit(0)))

@@ -140,11 +140,17 @@ def kg_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kg_query(spark: SparkSession, d: str) -> DataFrame:
+    """First lines only and by equal tokens, as its SQL has it; ``kg_search`` searches all nodes."""
     asked = spark.createDataFrame(list(enumerate(S.QUERIES)), "query_id int, query string")
     return graphs.query_graph(_graph(spark, d)[0].where("kind = 'DOCUMENT'"), asked)
 
 
-QUERIES = {f.__name__: f for f in (token_estimate, token_counts, text_cleaning, markdown_cleaning, sentence_rows, exact_dedup, simhash, shingle_simhash, near_dup_pairs, near_dup_clusters, near_dup_ratio, document_dedup, content_filter, content_quality, document_relevance, paragraph_chunks, structured_chunks, bounded_chunks, sparse_vectors, pseudo_vectors, cosine_topk, cosine_centre, kg_nodes, kg_edges, kg_query)}
+def kg_search(spark: SparkSession, d: str) -> DataFrame:
+    asked = spark.createDataFrame(list(enumerate(S.QUERIES)), "query_id int, query string")
+    return graphs.search_graph(_graph(spark, d)[0], asked)
+
+
+QUERIES = {f.__name__: f for f in (token_estimate, token_counts, text_cleaning, markdown_cleaning, sentence_rows, exact_dedup, simhash, shingle_simhash, near_dup_pairs, near_dup_clusters, near_dup_ratio, document_dedup, content_filter, content_quality, document_relevance, paragraph_chunks, structured_chunks, bounded_chunks, sparse_vectors, pseudo_vectors, cosine_topk, cosine_centre, kg_nodes, kg_edges, kg_query, kg_search)}
 
 _SIM = S.simhash("documents", "doc_id", "list_slice(" + S.tokens("text") + ", 1, 10000)")
 _PAIRS = f"select a.id as id_a, b.id as id_b, bit_count(xor(a.u, b.u)) as distance from ({_SIM}) a join ({_SIM}) b on a.id < b.id and a.u <> 0 and b.u <> 0 and bit_count(xor(a.u, b.u)) <= 3"
