@@ -14,12 +14,31 @@ from tessera.session import materialise
 DIMENSIONS, SPARSE = 384, 100_000
 
 
-def pseudo_vectors(df: DataFrame, id_column: str = "id", dimensions: int = DIMENSIONS) -> DataFrame:
-    """id, bucket, value: hashed word counts of each text at length one, one row per bucket in use."""
+def _unit_vectors(df: DataFrame, id_column: str, dimensions: int) -> DataFrame:
     words = df.select(F.col(id_column).alias("id"), F.explode(T.words(F.lower("text"))).alias("w"))
     counts = words.groupBy("id", "w").agg(F.count("*").alias("n")).groupBy("id", V.bucket(F.col("w"), dimensions).alias("bucket")).agg(F.sum("n").alias("n"))
     norms = counts.groupBy("id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return counts.join(norms, "id").select("id", "bucket", F.round(F.col("n") / F.col("norm"), 6).alias("value"))
+    return counts.join(norms, "id").select("id", "bucket", (F.col("n") / F.col("norm")).alias("value"))
+
+
+def pseudo_vectors(df: DataFrame, id_column: str = "id", dimensions: int = DIMENSIONS) -> DataFrame:
+    """id, bucket, value: hashed word counts of each text at length one, one row per bucket in use."""
+    return _unit_vectors(df, id_column, dimensions).select("id", "bucket", F.round("value", 6).alias("value"))
+
+
+def semantic_score(df: DataFrame, key: str = "canonical", dimensions: int = DIMENSIONS) -> DataFrame:
+    """Adds semantic to rows with a unique ``key``, query, title, snippet: the cosine of the hashed word
+    vectors of the query and of "title. snippet", 0 where they share no bucket.
+
+    An inner product over buckets; its values aren't rounded before the sum, so that four places hold.
+    """
+    rows = materialise(df)  # read three times
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("snippet", F.lit("")))
+    held = _unit_vectors(rows.select(F.struct(F.col(key).alias("k"), "query").alias("id"), text.alias("text")), "id", dimensions)
+    held = held.select("id.k", F.col("id.query").alias("query"), "bucket", "value")
+    asked = _unit_vectors(rows.select("query").distinct().select("query", F.col("query").alias("text")), "query", dimensions).select(F.col("id").alias("query"), "bucket", F.col("value").alias("q"))
+    near = held.join(asked, ["query", "bucket"]).groupBy("k").agg(F.round(F.least(F.lit(1.0), F.sum(F.col("value") * F.col("q"))), 4).alias("semantic"))
+    return rows.join(near, F.col(key) == F.col("k"), "left").drop("k").withColumn("semantic", F.coalesce("semantic", F.lit(0.0)))
 
 
 def sparse_vectors(df: DataFrame, id_column: str = "id", buckets: int = SPARSE) -> DataFrame:

@@ -69,10 +69,9 @@ def candidate_merge(spark: SparkSession, d: str) -> DataFrame:
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     rows = ranking.merge_candidates(_candidates(spark, d)).withColumn("query", F.lit(S.QUERIES[0]))
     rows = ranking.lexical_score(rows)
-    rows = ranking.authority_prior(rows)
+    rows = retrieval.semantic_score(ranking.authority_prior(rows))
     return rows.withColumns(
         {
-            "semantic": F.lit(0.5),
             "freshness": ranking.freshness(F.col("published_at"), F.lit("HIGH"), 2025),
             "cost": ranking.acquisition_cost(F.col("url"), F.col("domain")),
         }

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.operators import graphs
-from tessera.plans import catalog, text_queries
+import hashlib
+import math
+from collections import Counter
+
+from tessera.operators import graphs, retrieval
+from tessera.plans import catalog, ranking_queries, text_queries
 from tessera.plans import sql as S
 
 
@@ -19,3 +23,22 @@ def test_kg_search_equals_brute_force(spark, tiny):
     want = sorted((i, n.node_id, m) for i, q in enumerate(S.QUERIES) for n in nodes if (m := sum(w in n.text.lower() for w in set(q.lower().split()))))
     got = sorted((r.query_id, r.node_id, r.matched) for r in catalog.QUERIES["kg_search"](spark, tiny).collect())
     assert got == want and {n.split(":")[0] for _, n, _ in got} > {"doc"}
+
+
+def _cosine(a: str, b: str) -> float:
+    x, y = (Counter(int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % retrieval.DIMENSIONS for w in t.lower().split()) for t in (a, b))
+    size = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+    return sum(v * y[k] for k, v in x.items()) / size if size else 0.0
+
+
+def test_pool_scores_hold_the_similarity_of_each_candidate(spark, tiny):
+    rows = ranking_queries._scored(spark, tiny).collect()
+    assert rows and all(abs(r.semantic - _cosine(r.query, f"{r.title}. {r.snippet}")) <= 0.000051 for r in rows)
+    assert len({r.semantic for r in rows}) > 1
+
+
+def test_similarity_of_blank_and_unlike_candidates(spark):
+    rows = [("a", "Alpha beta", "alpha", "beta gamma"), ("b", "Alpha beta", "", ""), ("c", "Alpha beta", None, "nothing of it"), ("d", "alpha beta", "x", "alpha beta")]
+    got = retrieval.semantic_score(spark.createDataFrame(rows, "canonical string, query string, title string, snippet string"))
+    want = {k: _cosine(q, f"{t or ''}. {s or ''}") for k, q, t, s in rows}
+    assert {r.canonical: r.semantic for r in got.collect()} == {k: round(v, 4) for k, v in want.items()} and want["d"] > want["a"] > want["b"] == 0
