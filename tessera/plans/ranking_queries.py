@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import urls as U
 from tessera.operators import dedup, evidence, graphs, metrics, ranking, retrieval
 from tessera.plans import sql as S
+from tessera.session import materialise
 from tessera.sources import table
 
 HIT = ["id", "query_id", "chunk_id", "url", "title", "text", "source_type", "score", "authority_score", "goal_ids"]
@@ -146,6 +147,7 @@ def evidence_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lineage(spark: SparkSession, d: str) -> DataFrame:
+    """Without near-duplicate clusters, as its SQL has it; ``lineage_copies`` has them."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.col("doc_id").alias("source_id"), U.authority(F.col("url")).alias("domain"), F.sha2("text", 256).alias("content_hash"), F.lit(0).alias("cluster"))
     return evidence.lineage(docs).select("source_id", "relation")
 
@@ -155,6 +157,25 @@ def independent_sources(spark: SparkSession, d: str) -> DataFrame:
     return evidence.independent_sources(evidence.lineage(docs))
 
 
+def _related_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with their relation; clusters are numbered above 0, documents alone have none."""
+    docs = table(spark, d, "documents")
+    found = dedup.clusters(dedup.simhash(docs))
+    several = found.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
+    numbered = several.crossJoin(F.broadcast(several.agg(F.min("cluster").alias("least"))))  # one row
+    places = found.join(numbered, "cluster").select(F.col("id").alias("seq"), (F.col("cluster") - F.col("least") + 1).alias("cluster"))
+    rows = docs.select(F.col("doc_id").alias("seq"), F.col("doc_id").alias("source_id"), U.authority(F.col("url")).alias("domain"), F.sha2("text", 256).alias("content_hash"))
+    return evidence.lineage(materialise(rows.join(places, "seq", "left")))  # read five times
+
+
+def lineage_copies(spark: SparkSession, d: str) -> DataFrame:
+    return _related_copies(spark, d).select("source_id", "relation")
+
+
+def independent_sources_copies(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.independent_sources(_related_copies(spark, d))
+
+
 def source_quality(spark: SparkSession, d: str) -> DataFrame:
     rows = hits(spark, d).select(F.col("url").alias("source_id"), "url", "title", "source_type", F.col("score").alias("relevance_score"), "text")
     return evidence.source_quality(rows).withColumn("missing", F.array_join("missing", ","))
@@ -237,7 +258,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         rrf_fusion, weighted_rrf, rerank, late_interaction, mmr_select, filtered_hits, candidate_merge, pool_rank, authority_join, source_classes, information_gain, claim_rows, claim_status, goal_coverage,
-        research_progress, research_gaps, evidence_match, lineage, independent_sources, source_quality, ir_metrics, source_diversity, domain_stats, latency_ewma, provider_health, telemetry_summary, run_rates,
+        research_progress, research_gaps, evidence_match, lineage, independent_sources, lineage_copies, independent_sources_copies, source_quality, ir_metrics, source_diversity, domain_stats, latency_ewma, provider_health, telemetry_summary, run_rates,
         running_totals, budget_admission, domain_turns, link_expansion, r1_search_passages,
     )
 }

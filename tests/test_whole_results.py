@@ -42,3 +42,14 @@ def test_similarity_of_blank_and_unlike_candidates(spark):
     got = retrieval.semantic_score(spark.createDataFrame(rows, "canonical string, query string, title string, snippet string"))
     want = {k: _cosine(q, f"{t or ''}. {s or ''}") for k, q, t, s in rows}
     assert {r.canonical: r.semantic for r in got.collect()} == {k: round(v, 4) for k, v in want.items()} and want["d"] > want["a"] > want["b"] == 0
+
+
+def test_edited_copies_on_other_hosts_are_syndicated(spark, tmp_path):
+    text = " ".join(f"word{i} of line{i % 7}" for i in range(400))
+    other, third = (" ".join(f"{w}{i}" for i in range(300)) for w in ("other", "third"))
+    docs = [(0, "https://a.example/1", text), (1, "https://b.example/1", text + " edited"), (2, "https://c.example/1", other), (3, "https://d.example/1", third), (4, "https://e.example/1", None), (5, "https://a.example/2", text + " again")]
+    spark.createDataFrame(docs, "doc_id bigint, url string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.source_id: r.relation for r in catalog.QUERIES["lineage_copies"](spark, str(tmp_path)).collect()}
+    alone = "INDEPENDENT_CORROBORATION"
+    assert got == {0: "PRIMARY_SOURCE", 1: "SYNDICATED_COPY", 2: alone, 3: alone, 4: alone, 5: "SAME_PUBLISHER"}
+    assert catalog.QUERIES["independent_sources_copies"](spark, str(tmp_path)).first().independent_sources == 4
