@@ -1,11 +1,14 @@
-"""Problem 3: near-duplicate texts by pigeonring filtering over fingerprints.
-
-A text is the set of its distinct word triples. Minimum hashes of the triples make two things: KEYS
-keys, each of KEY_WIDTH minimum hashes, and a fingerprint of N four-bit values on a ring of SEGMENTS
-segments. The share of equal values estimates the Jaccard similarity, so the Hamming distance of two
-fingerprints follows the share of triples not in common. Candidates agree in one key; then the chains
-of consecutive segments of the ring are checked against budgets in proportion to their length, then
-the full Hamming distance, and at last the triples themselves.
+"""Near-duplicate texts by pigeonring filtering over fingerprints.
+
+A text is the set of its distinct word triples. Its fingerprint lies on a ring of SEGMENTS segments of
+WIDTH minimum hashes of the triples; a segment differs between two texts if any of its hashes does. At
+the threshold a segment differs with probability 1 - SIMILARITY ** WIDTH, and the BUDGET of differing
+segments a segment lies above that. By the pigeonring principle a pair within the budget on the whole
+ring has a start from which every chain of 1, 2, 3, ... consecutive segments is within the budget in
+proportion to its length. The chains of up to CHAIN segments are the index of the search: with at most
+0, 1, 2, 2 differing segments of 1, 2, 3, 4, a viable chain has its first segment equal and one of
+the three after it, which makes three join keys a start. Two texts share a key if and only if they have
+a viable chain. Candidates then pass the full Hamming check, and at last the triples are compared.
 """
 
 from __future__ import annotations
@@ -16,20 +19,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import materialise
 
-KEYS, KEY_WIDTH = 66, 5
-SEGMENTS, WIDTH = 16, 4
-N = SEGMENTS * WIDTH  # four-bit values of a fingerprint, two a byte
+SEGMENTS, WIDTH = 24, 2
+N = SEGMENTS * WIDTH  # minimum hashes of a fingerprint, 16 bits each
 SIMILARITY = 0.6
-#: Standard deviations of the fingerprint's estimate that a pair at the threshold may stray.
-SLACK = 5.0
-CHAIN = 8  # segments of the longest chain looked at before the full distance
+BUDGET = 0.7499  # differing segments a segment
+CHAIN = 4  # segments of the longest chain that the index looks at
+#: Standard deviations that the fingerprint of a pair at the threshold may stray in the full check.
+SLACK = 4.0
+#: Texts of one key that are compared in one task; a key with more is cut into blocks.
+BLOCK = 2_000
 _WORD = re.compile(r"[^\W_]+")
-PRINTS = "tbl string, id string, same bigint, keys array<int>, print binary"
+PRINTS = "tbl string, id string, same bigint, print binary, short binary"
+KEYS = "no bigint, key bigint"
 PAIRS = "tbl string, a string, b string"
 
 
@@ -43,8 +49,8 @@ def triples(text: str) -> set[tuple[str, str, str]]:
     return set(zip(w, w[1:], w[2:]))
 
 
-def budget(similarity: float = SIMILARITY) -> float:
-    """Values that may differ between the fingerprints of two texts at the threshold."""
+def most_apart(similarity: float = SIMILARITY) -> float:
+    """Four-bit values that may differ between the fingerprints of two texts at the threshold."""
     equal = similarity + (1 - similarity) / 16
     return N * (1 - equal) + SLACK * (N * equal * (1 - equal)) ** 0.5
 
@@ -52,8 +58,7 @@ def budget(similarity: float = SIMILARITY) -> float:
 @lru_cache(1)
 def _hashes() -> tuple[np.ndarray, np.ndarray]:
     random = np.random.RandomState(31)
-    n = max(KEYS * KEY_WIDTH, N)
-    return random.randint(0, 2**32, n, dtype=np.uint64).astype(np.uint32) | np.uint32(1), random.randint(0, 2**32, n, dtype=np.uint64).astype(np.uint32)
+    return random.randint(0, 2**32, N, dtype=np.uint64).astype(np.uint32) | np.uint32(1), random.randint(0, 2**32, N, dtype=np.uint64).astype(np.uint32)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -74,13 +79,13 @@ class _Words(dict):
         return h
 
 
-def fingerprints(texts: list[str | None], known: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the texts that have triples; a hash of each one's set of triples, its keys, its fingerprint."""
+def fingerprints(texts: list[str | None], known: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the texts that have triples; a hash of each one's set of triples, its fingerprint (N values)."""
     found = [words(t) if t else [] for t in texts]
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     own = np.flatnonzero(sizes >= 3)
     if not len(own):
-        return own, np.zeros(0, np.int64), np.zeros((0, KEYS), np.int32), np.zeros((0, N // 2), np.uint8)
+        return own, np.zeros(0, np.int64), np.zeros((0, N), np.uint16)
     h = np.fromiter((known[w] for k in own for w in found[k]), np.uint64, int(sizes[own].sum()))
     ends = np.cumsum(sizes[own])
     t = _mix(h[:-2] + _mix(h[1:-1] + _mix(h[2:]) * np.uint64(3)) * np.uint64(5))
@@ -99,17 +104,62 @@ def fingerprints(texts: list[str | None], known: _Words) -> tuple[np.ndarray, np
     same = _mix(np.add.reduceat(_mix(t ^ np.uint64(0x5851F42D4C957F2D)), starts)).view(np.int64)
     low = (t >> np.uint64(16)).astype(np.uint32)
     x = np.empty_like(low)
-    least = np.empty((KEYS * KEY_WIDTH, len(own)), np.uint32)
+    least = np.empty((N, len(own)), np.uint32)
     for k, (a, b) in enumerate(zip(*_hashes())):
         np.bitwise_xor(low, b, out=x)
         np.multiply(x, a, out=x)
         np.minimum.reduceat(x, starts, out=least[k])
-    keys = np.zeros((KEYS, len(own)), np.uint64)
-    for k in range(KEY_WIDTH):
-        keys = _mix(keys + least[k * KEYS : (k + 1) * KEYS])
-    values = ((least[:N] * np.uint32(0x9E3779B1)) >> np.uint32(28)).astype(np.uint8)
-    prints = values[0::2] << np.uint8(4) | values[1::2]
-    return own, same, np.ascontiguousarray((keys >> np.uint64(32)).astype(np.uint32).view(np.int32).T), np.ascontiguousarray(prints.T)
+    values = (least * np.uint32(0x9E3779B1)) >> np.uint32(16)
+    return own, same, np.ascontiguousarray(values.astype(np.uint16).T)
+
+
+def shortened(values: np.ndarray) -> np.ndarray:
+    """Four bits of each value, two values a byte."""
+    four = (values >> np.uint16(12)).astype(np.uint8)
+    return four[:, 0::2] << np.uint8(4) | four[:, 1::2]
+
+
+def segment_values(values: np.ndarray) -> np.ndarray:
+    """One number for each segment of the ring."""
+    parts = values.reshape(len(values), SEGMENTS, WIDTH).astype(np.uint64)
+    out = np.zeros((len(values), SEGMENTS), np.uint64)
+    for k in range(WIDTH):
+        out = out << np.uint64(16) | parts[:, :, k]
+    return out
+
+
+def viable(differ: np.ndarray, chain: int = CHAIN) -> np.ndarray:
+    """Starts (pair by segment) from which every chain of up to ``chain`` segments is within the budget.
+
+    ``differ`` says which segments of a pair differ. A pair with at most BUDGET * SEGMENTS differing
+    segments has such a start for every ``chain``.
+    """
+    alive, total = np.ones(differ.shape, bool), np.zeros(differ.shape, np.int64)
+    for k in range(chain):
+        total += np.roll(differ, -k, axis=1)
+        alive &= total <= BUDGET * (k + 1)
+    return alive
+
+
+def chain_keys(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Join keys (48 bits) of fingerprints: equal for two texts if and only if they have a viable chain.
+
+    A key holds the table, the start, which later segment of the chain is equal too, and both values.
+    """
+    ring = segment_values(values)
+    start = np.arange(SEGMENTS, dtype=np.uint64)
+    first = _mix(ring + (start + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + table[:, None])
+    out = [_mix(first + np.roll(ring, -k, axis=1) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k)) for k in range(1, CHAIN)]
+    return (np.concatenate(out, axis=1) >> np.uint64(16)).view(np.int64)
+
+
+def _fixed(rows: np.ndarray) -> pa.Array:
+    width = rows.shape[1] * rows.itemsize
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
+
+
+def _array(column: pa.Array, kind: type, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,39 +167,26 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(2).to_pylist()
         for at in range(0, len(texts), 2000):
-            own, same, keys, prints = fingerprints(texts[at : at + 2000], known)
+            own, same, values = fingerprints(texts[at : at + 2000], known)
             take = pa.array(own + at)
-            rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(N // 2), len(own), [None, pa.py_buffer(prints.tobytes())]).cast(pa.binary())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * KEYS), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(same), lists, rows], names=["tbl", "id", "same", "keys", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(same), _fixed(values), _fixed(shortened(values))], names=["tbl", "id", "same", "print", "short"])
 
 
-def ring(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """Which pairs of fingerprints pass: some start on the ring has all its chains of up to CHAIN
-    segments within budgets in proportion to their length, and the full distance is within budget.
-
-    A pair whose full distance is within budget always has such a start (the cyclic sums of budget
-    minus difference are not negative in total), so the chains lose nothing that the distance keeps.
-    """
-    most = budget(similarity)
-    each = most / SEGMENTS
-    x = a ^ b
-    differ = (((x & 15) > 0).astype(np.int8) + ((x >> 4) > 0)).reshape(len(a), SEGMENTS, WIDTH // 2).sum(axis=2)
-    alive = np.ones((len(a), SEGMENTS), bool)
-    total = np.zeros((len(a), SEGMENTS), np.int64)
-    for k in range(CHAIN):
-        total += np.roll(differ, -k, axis=1)
-        alive &= total <= each * (k + 1) + 1e-9
-    passed = alive.any(axis=1)
-    passed[passed] = differ[passed].sum(axis=1) <= most
-    return passed
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            table = np.asarray(batch.column(1)).view(np.uint64)
+            keys = chain_keys(_array(batch.column(2), np.uint16, N), table)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), keys.shape[1])), pa.array(keys.ravel())], names=["no", "key"])
 
 
-def _ringed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    most = most_apart()
     for batch in batches:
         if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, N // 2) for k in (3, 4))
-            yield batch.select([0, 1, 2]).filter(pa.array(ring(a, b)))
+            x = _array(batch.column(3), np.uint8, N // 2) ^ _array(batch.column(4), np.uint8, N // 2)
+            differ = ((x & 15) > 0).sum(axis=1) + ((x >> 4) > 0).sum(axis=1)
+            yield batch.select([0, 1, 2]).filter(pa.array(differ <= most))
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,6 +202,26 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1, 2]).filter(pa.array(ok, pa.bool_()))
 
 
+def candidates(classes: DataFrame) -> DataFrame:
+    """Pairs p < q of ``classes`` (no, tbl, print) that have a viable chain.
+
+    Most keys have one text and are dropped after one pass over the sorted keys. A key with more than
+    BLOCK texts is cut into blocks and each pair of blocks is a task of its own, so that no task
+    compares more than 2 * BLOCK texts of a key. No join here may broadcast: Spark sizes these tables
+    by their files, which don't tell how many keys come out of a row.
+    """
+    keyed = classes.select("no", F.xxhash64("tbl").alias("t"), "print").mapInArrow(_keys, KEYS)
+    counted = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("no"), blocks).cast("int")
+    tiled = counted.select("no", "key", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    tiled = materialise(tiled.select("no", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+    x, y = tiled.hint("merge").alias("x"), tiled.alias("y")
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    once = (F.col("x.no") < F.col("y.no")) & ((F.col("x.i") == F.col("x.j")) | (F.col("x.block") != F.col("y.block")))
+    return x.join(y, met & once).select(F.col("x.no").alias("p"), F.col("y.no").alias("q")).distinct()
+
+
 def similar(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes of equal triple sets, and the similar pairs of class representatives.
 
@@ -176,51 +233,49 @@ def similar(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     rows = items.where("id is not null and text is not null").select("tbl", "id", "text")
     prints = materialise(rows.mapInArrow(_prints, PRINTS))
-    reps = prints.groupBy("tbl", "same").agg(F.min("id").alias("rep"), F.first("print").alias("print"))
-    members = prints.select("tbl", "id", "same").distinct().join(reps.select("tbl", "same", "rep"), ["tbl", "same"])
-    # A key holds the table, the place of the key and the key itself.
-    one = prints.groupBy("tbl", "same").agg(F.first("keys").alias("keys"))
-    number = one.select("same", F.hash("tbl").alias("t"), F.posexplode("keys").alias("place", "key"))
-    number = number.select("same", (F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)) + F.shiftleft((F.pmod("t", F.lit(64)) * 128 + F.col("place")).cast("long"), 32)).alias("key"))
-    pairs = materialise(number.alias("x").join(number.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.same") < F.col("y.same"))).select(F.col("x.same").alias("p"), F.col("y.same").alias("q")).distinct())
-    left = reps.select(F.col("same").alias("p"), F.col("tbl"), F.col("rep").alias("r"), F.col("print").alias("pp"))
-    right = reps.select(F.col("same").alias("q"), F.col("tbl").alias("t2"), F.col("rep").alias("s"), F.col("print").alias("qq"))
-    ordered = F.col("r") < F.col("s")
-    both = pairs.join(left, "p").join(right, "q").where("tbl = t2").select("tbl", F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b"), F.when(ordered, F.col("pp")).otherwise(F.col("qq")).alias("fa"), F.when(ordered, F.col("qq")).otherwise(F.col("pp")).alias("fb"))
-    near = materialise(both.mapInArrow(_ringed, PAIRS))
+    classes = prints.groupBy("tbl", "same").agg(F.min("id").alias("rep"), F.first("print").alias("print"), F.first("short").alias("short"))
+    classes = materialise(classes.withColumn("no", F.monotonically_increasing_id()))
+    members = prints.select("tbl", "id", "same").distinct().join(classes.select("tbl", "same", "rep").hint("merge"), ["tbl", "same"])
+    left = classes.select(F.col("no").alias("p"), "tbl", F.col("rep").alias("r"), F.col("short").alias("x"))
+    right = classes.select(F.col("no").alias("q"), F.col("tbl").alias("t2"), F.col("rep").alias("s"), F.col("short").alias("y"))
+    both = candidates(classes).join(left.hint("merge"), "p").join(right.hint("merge"), "q").where("tbl = t2 and r <> s")
+    near = materialise(both.select("tbl", F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b"), "x", "y").mapInArrow(_near, PAIRS))
     wanted = near.select("tbl", F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = rows.join(wanted, ["tbl", "id"], "left_semi").groupBy("tbl", "id").agg(F.max("text").alias("text"))
-    full = near.join(texts.select("tbl", F.col("id").alias("a"), F.col("text").alias("x")), ["tbl", "a"]).join(texts.select("tbl", F.col("id").alias("b"), F.col("text").alias("y")), ["tbl", "b"])
+    texts = rows.join(wanted.hint("merge"), ["tbl", "id"], "left_semi").groupBy("tbl", "id").agg(F.max("text").alias("text"))
+    full = near.join(texts.select("tbl", F.col("id").alias("a"), F.col("text").alias("x")).hint("merge"), ["tbl", "a"])
+    full = full.join(texts.select("tbl", F.col("id").alias("b"), F.col("text").alias("y")).hint("merge"), ["tbl", "b"])
     links = materialise(full.select("tbl", "a", "b", "x", "y").mapInArrow(_verified, PAIRS))
     return members, links
 
 
 def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """Every pair (tbl, chunk_a, chunk_b): copies within a class, and members of linked classes."""
-    copies = members.alias("x").join(members.alias("y"), (F.col("x.tbl") == F.col("y.tbl")) & (F.col("x.same") == F.col("y.same")) & (F.col("x.id") < F.col("y.id")))
+    own = members.hint("merge")
+    copies = own.alias("x").join(members.alias("y"), (F.col("x.tbl") == F.col("y.tbl")) & (F.col("x.same") == F.col("y.same")) & (F.col("x.id") < F.col("y.id")))
     copies = copies.select("x.tbl", F.col("x.id").alias("chunk_a"), F.col("y.id").alias("chunk_b"))
-    left, right = (members.select("tbl", F.col("rep").alias(k), F.col("id").alias(v)) for k, v in (("a", "p"), ("b", "q")))
+    left, right = (members.select("tbl", F.col("rep").alias(k), F.col("id").alias(v)).hint("merge") for k, v in (("a", "p"), ("b", "q")))
     linked = links.join(left, ["tbl", "a"]).join(right, ["tbl", "b"]).where("p <> q").select("tbl", F.least("p", "q").alias("chunk_a"), F.greatest("p", "q").alias("chunk_b"))
     return copies.unionByName(linked).distinct()
 
 
-def groups(members: DataFrame, links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def groups(members: DataFrame, links: DataFrame) -> DataFrame:
     """tbl, id, group (the smallest id reachable), links (texts linked to it, copies of itself among them).
 
-    Connected components by passing on the smallest label and jumping to the label's label; each round
-    is written to the shared folder. Ids without a link are groups of their own.
+    Connected components by passing on the smallest label and jumping to the label's label, until
+    nothing changes; each round is written to the shared folder. Ids without a link are groups of
+    their own.
     """
     edges = materialise(links.select("tbl", "a", "b").unionByName(links.select("tbl", F.col("b").alias("a"), F.col("a").alias("b"))))
     sizes = members.groupBy("tbl", "rep").agg(F.count("*").alias("n"))
     label = materialise(edges.select("tbl", "a").distinct().withColumn("label", F.col("a")))
-    for _ in range(most_rounds):
-        least = edges.join(label.select("tbl", F.col("a").alias("b"), F.col("label").alias("other")), ["tbl", "b"]).groupBy("tbl", "a").agg(F.min("other").alias("other"))
-        step = label.join(least, ["tbl", "a"]).select("tbl", "a", "label", F.least("label", "other").alias("next"))
+    while True:
+        least = edges.join(label.select("tbl", F.col("a").alias("b"), F.col("label").alias("other")).hint("merge"), ["tbl", "b"]).groupBy("tbl", "a").agg(F.min("other").alias("other"))
+        step = label.join(least.hint("merge"), ["tbl", "a"]).select("tbl", "a", "label", F.least("label", "other").alias("next"))
         jump = label.select("tbl", F.col("a").alias("next"), F.col("label").alias("far"))
-        step = materialise(step.join(jump, ["tbl", "next"], "left").select("tbl", "a", "label", F.least("next", F.coalesce("far", "next")).alias("next")))
+        step = materialise(step.join(jump.hint("merge"), ["tbl", "next"], "left").select("tbl", "a", "label", F.least("next", F.coalesce("far", "next")).alias("next")))
         label = step.select("tbl", "a", F.col("next").alias("label"))
-        if step.where("next <> label").limit(1).count() == 0:
+        if not step.where("next <> label").limit(1).count():
             break
-    degree = edges.join(sizes.withColumnRenamed("rep", "b"), ["tbl", "b"]).groupBy("tbl", "a").agg(F.sum("n").alias("linked"))
-    out = members.join(sizes, ["tbl", "rep"]).join(label.withColumnRenamed("a", "rep"), ["tbl", "rep"], "left").join(degree.withColumnRenamed("a", "rep"), ["tbl", "rep"], "left")
+    degree = edges.join(sizes.withColumnRenamed("rep", "b").hint("merge"), ["tbl", "b"]).groupBy("tbl", "a").agg(F.sum("n").alias("linked"))
+    out = members.join(sizes.hint("merge"), ["tbl", "rep"]).join(label.withColumnRenamed("a", "rep").hint("merge"), ["tbl", "rep"], "left").join(degree.withColumnRenamed("a", "rep").hint("merge"), ["tbl", "rep"], "left")
     return out.select("tbl", "id", F.coalesce("label", "rep").alias("group"), (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("links"))

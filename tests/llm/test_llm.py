@@ -156,15 +156,40 @@ def test_many_copies(spark):
     assert got == {f"c{i:03d}": ("c000", 59) for i in range(60)} | {"z": ("z", 0)}
 
 
-def test_ring_keeps_what_the_distance_keeps():
+def ring_pairs(n=3000):
     rng = np.random.RandomState(3)
-    a = rng.randint(0, 256, (400, near_duplicates.N // 2)).astype(np.uint8)
-    b = a.copy()
-    for k in range(400):
-        b[k, rng.permutation(a.shape[1])[: k % 33]] ^= 0x33
-    x = a ^ b
-    total = ((x & 15) > 0).sum(axis=1) + ((x >> 4) > 0).sum(axis=1)
-    assert (near_duplicates.ring(a, b) == (total <= near_duplicates.budget())).all()
+    a = rng.randint(0, 65536, (n, near_duplicates.N)).astype(np.uint16)
+    b = np.where(rng.rand(n, near_duplicates.N) < rng.rand(n, 1), a, a ^ np.uint16(0x3333))
+    differ = near_duplicates.segment_values(a) != near_duplicates.segment_values(b)
+    return a, b, differ
+
+
+def test_keys_agree_where_a_chain_is_viable():
+    a, b, differ = ring_pairs()
+    table = np.zeros(len(a), np.uint64)
+    shared = (near_duplicates.chain_keys(a, table) == near_duplicates.chain_keys(b, table)).any(axis=1)
+    alive = near_duplicates.viable(differ).any(axis=1)
+    assert (shared == alive).all() and 0 < alive.sum() < len(a)
+    within = differ.sum(axis=1) <= near_duplicates.BUDGET * near_duplicates.SEGMENTS
+    for chain in (1, 2, near_duplicates.CHAIN, near_duplicates.SEGMENTS):
+        assert near_duplicates.viable(differ, chain).any(axis=1)[within].all()  # the principle: no such pair is lost
+    assert near_duplicates.viable(differ, 1).any(axis=1).sum() > alive.sum()  # longer chains rule pairs out
+
+
+def test_hot_key_is_cut_into_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    shared = " ".join(f"s{i}" for i in range(40))
+    rows = [("rag_chunks", f"c{i:02d}", f"{shared} {rng.random()} x{i}", 0) for i in range(40)]
+    monkeypatch.setattr(near_duplicates, "BLOCK", 7)
+    got = [tuple(r) for r in near_duplicates.all_pairs(*near_duplicates.similar(spark.createDataFrame(rows, TEXTS))).collect()]
+    assert len(got) == len(set(got)) == 40 * 39 // 2
+
+
+def test_long_chain_of_links(spark):
+    ids = [f"i{k:03d}" for k in range(130)]
+    members = spark.createDataFrame([("t", i, 1, i) for i in ids], "tbl string, id string, same bigint, rep string")
+    links = spark.createDataFrame([("t", a, b) for a, b in zip(ids, ids[1:])], near_duplicates.PAIRS)
+    assert {r.group for r in near_duplicates.groups(members, links).collect()} == {"i000"}
 
 
 def test_no_chunks(spark):
