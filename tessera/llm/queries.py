@@ -73,6 +73,17 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.where("piece_no = 0 and n_pieces > 1").select("tbl", "rec_id").distinct()
 
 
+def p5_checked(spark: SparkSession, d: str) -> DataFrame:
+    """One row per item that was cut: whether its pieces cover it, fit, and overlap as asked."""
+    items = _oversized(spark, d, True)
+    pieces = splitting.split_items(items).groupBy("tbl", "rec_id").agg(F.sort_array(F.collect_list(F.struct("piece_no", "start", "end", "token_estimate", "overlap_tokens"))).alias("p"))
+    rows = pieces.where(F.size("p") > 1).join(items.select("tbl", "rec_id", F.length("text").alias("chars"), "limit_tokens", "overlap_tokens").hint("merge"), ["tbl", "rec_id"])
+    meet = F.zip_with(F.slice("p", 1, F.size("p") - 1), F.slice("p", 2, F.size("p") - 1), lambda x, y: (y["start"] < x["end"]) & (y["start"] > x["start"]) & (y["end"] > x["end"]) & (y["overlap_tokens"] > 0))
+    covered = F.forall(meet, lambda ok: ok) & (F.col("p")[0]["start"] == 0)
+    fit = F.forall("p", lambda x: (x["token_estimate"] <= F.col("limit_tokens")) & (x["overlap_tokens"] <= F.col("overlap_tokens")))
+    return rows.select("tbl", "rec_id", F.element_at("p", -1)["end"].cast("bigint").alias("chars"), covered.alias("covered"), fit.alias("fit"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.repeated_lines(table(spark, d, "rag_chunks")).select("chunk_id", "line_no")
 
@@ -117,7 +128,7 @@ def p10_corpus(spark: SparkSession, d: str) -> DataFrame:
     return parts.select("subject", "documents", "chars", (F.col("chars") / F.sum("chars").over(Window.partitionBy())).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranked, p2_found, p2_languages, p3_found, p3_groups, p4_found, p5_found, p5_pieces, p6_found, p6_texts, p7_found, p7_articles, p8_ids, p9_containers, p10_found, p10_shares, p10_corpus)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranked, p2_found, p2_languages, p3_found, p3_groups, p4_found, p5_found, p5_pieces, p5_checked, p6_found, p6_texts, p7_found, p7_articles, p8_ids, p9_containers, p10_found, p10_shares, p10_corpus)}
 
 _SITE = "nullif(regexp_replace(lower(regexp_extract(%s, '^\\s*[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\\.', ''), '')"
 _RANKED = f"""
@@ -142,6 +153,13 @@ ORACLE = {
       select distinct 'extracted_content' as tbl, content_id as rec_id from extracted_content where clean_markdown <> '' and {_TOKENS % ("clean_markdown", "clean_markdown")} > (select limit_tokens from size_limits where item_type = 'extracted_content')
       union all
       select distinct 'structured_chunks', chunk_id from structured_chunks where text <> '' and {_TOKENS % ("text", "text")} > (select limit_tokens from size_limits where item_type = 'structured_chunks')""",
+    "p5_checked": f"""
+      with items as (
+        select 'extracted_content' as tbl, content_id as rec_id, arg_max(clean_markdown, struct_pack(n := length(clean_markdown), t := clean_markdown)) as text from extracted_content where clean_markdown <> '' group by content_id
+        union all
+        select 'structured_chunks', chunk_id, arg_max(text, struct_pack(n := length(text), t := text)) from structured_chunks where text <> '' group by chunk_id)
+      select tbl, rec_id, cast(length(text) as bigint) as chars, true as covered, true as fit from items join size_limits on item_type = tbl
+      where {_TOKENS % ("text", "text")} > limit_tokens""",
     "p6_found": f"""
       with lines as (select distinct {_SITE % "source_url"} as site, chunk_id, unnest(range(len(l))) as line_no, unnest(l) as raw from (select source_url, chunk_id, string_split(text, chr(10)) as l from rag_chunks)),
       normal as (select site, chunk_id, line_no, regexp_replace(trim(regexp_replace(lower(raw), '[\\s\\p{{Z}}]+', ' ', 'g')), '\\d+', '0', 'g') as line from lines),

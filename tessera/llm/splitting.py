@@ -39,13 +39,15 @@ def split(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
 
     The cut is the natural boundary nearest to the first landmark past the minimum size: the start
     of a paragraph or heading, else of a line, a sentence or a word, else any place. A piece starts
-    up to ``overlap`` tokens before the end of the piece before it. A text within the limit is one
-    piece; a limit below 1 counts as 1.
+    at most ``overlap`` tokens before the end of the piece before it, and at least half as many: at
+    the start of a sentence there, else of a word, else (in text without spaces) at any character.
+    A text within the limit is one piece; a limit below 1 counts as 1. An overlap must leave room to
+    go on: it is at most limit - 1 and gives way by the one word more that would not fit.
     """
     limit = max(limit, 1)
     if tokens(text) <= limit:
         return [(0, len(text))] if text else []
-    overlap = max(0, min(overlap, limit // 2))
+    overlap = max(0, min(overlap, limit - 1))
     n = len(text)
     word = np.zeros(n + 1, np.int64)
     starts = np.fromiter((m.start() for m in _SPACE.finditer(text)), np.int64)
@@ -66,11 +68,24 @@ def split(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
             low, high = (mid, high) if size(a, mid) <= most else (low, mid - 1)
         return low
 
-    def earliest(b: int, floor: int, most: int) -> int:
-        low, high = floor, b
+    def first(low: int, high: int, good) -> int:
+        """The first place from low on for which ``good`` holds; it holds from there to high."""
         while low < high:
             mid = (low + high) // 2
-            low, high = (low, mid) if size(mid, b) <= most else (mid + 1, high)
+            low, high = (low, mid) if good(mid) else (mid + 1, high)
+        return low
+
+    def restart(a: int, cut: int) -> int:
+        """Where the piece after (a, cut) starts."""
+        if not overlap:
+            return cut
+        low = first(a + 1, cut, lambda x: size(x, cut) <= overlap)
+        low = first(low, cut, lambda x: furthest(x, limit) > cut)
+        half = first(low, cut - 1, lambda x: size(x, cut) <= max(1, (overlap + 1) // 2))
+        for places in (levels[1], starts):
+            at = np.searchsorted(places, low)
+            if at < len(places) and places[at] <= half:
+                return int(places[at])
         return low
 
     marks, levels = landmarks(text), {level: np.array([m.end() for m in pattern.finditer(text)], np.int64) for level, pattern in _BREAKS}
@@ -80,7 +95,8 @@ def split(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
         if most >= n:
             spans.append((a, n))
             return spans
-        least = min(most, max(a + 1, furthest(a, max(1, limit // 2)), spans[-1][1] + 1 if spans else 0))
+        new = furthest(spans[-1][1], max(1, (limit - overlap) // 2)) if spans else 0  # half of the room beyond the overlap
+        least = min(most, max(a + 1, furthest(a, max(1, limit // 2)), new))
         at = np.searchsorted(marks, least)
         goal = int(marks[at]) if at < len(marks) and marks[at] <= most else most
         cut = most
@@ -90,9 +106,7 @@ def split(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
                 cut = int(near[np.argmin(np.abs(near - goal))])
                 break
         spans.append((a, cut))
-        back = earliest(cut, a + 1, overlap) if overlap else cut
-        at = np.searchsorted(starts, back)
-        a = int(starts[at]) if at < len(starts) and starts[at] < cut else cut
+        a = restart(a, cut)
 
 
 def heading_at(text: str, places: list[int]) -> list[list[str]]:

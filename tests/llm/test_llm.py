@@ -245,8 +245,8 @@ def test_furniture_by_paths(spark):
 # --- 5 ----------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("text", ["", "one", "word " * 700, "x" * 9000, "# A\n\n" + (PROSE + "\n\n") * 30 + "## B\n\n" + PROSE * 10, "好。" * 3000, "\n" * 900, ("a" * 50 + "\n") * 100])
-@pytest.mark.parametrize(("limit", "overlap"), [(100, 10), (100, 0), (7, 3), (1, 0), (400, 40)])
+@pytest.mark.parametrize("text", ["", "one", "word " * 700, "x" * 3000, "# A\n\n" + (PROSE + "\n\n") * 30 + "## B\n\n" + PROSE * 10, "好。" * 900, "没有空格的文字" * 200, "\n" * 900, ("a" * 50 + "\n") * 100])
+@pytest.mark.parametrize(("limit", "overlap"), [(100, 10), (100, 0), (7, 3), (1, 0), (400, 40), (200, 150), (50, 49), (4, 3), (100, 500)])
 def test_pieces(text, limit, overlap):
     spans = splitting.split(text, limit, overlap)
     assert all(splitting.tokens(text[a:b]) <= limit for a, b in spans)
@@ -255,6 +255,16 @@ def test_pieces(text, limit, overlap):
         assert (len(spans) > 1) == (splitting.tokens(text) > limit)
     for (a, b), (c, d) in zip(spans, spans[1:]):
         assert a < c <= b < d and (c == b or splitting.tokens(text[c:b]) <= overlap)
+        assert c < b or not overlap
+
+
+@pytest.mark.parametrize("lang", ["en", "de", "fr", "es", "pt", "ru", "zh"])
+@pytest.mark.parametrize(("limit", "overlap"), [(120, 20), (120, 90)])
+def test_overlap_is_kept_in_every_language(lang, limit, overlap):
+    text = "\n\n".join(SENTENCES[lang] * 3 for _ in range(40))
+    spans = splitting.split(text, limit, overlap)
+    shared = [splitting.tokens(text[c:b]) for (_, b), (c, _) in zip(spans, spans[1:])]
+    assert len(shared) > 10 and all(overlap // 2 - 3 <= n <= overlap for n in shared)
 
 
 def test_an_edit_changes_only_near_pieces():
