@@ -8,7 +8,8 @@ ring has a start from which every chain of 1, 2, 3, ... consecutive segments is
 proportion to its length. The chains of up to CHAIN segments are the index of the search: with at most
 0, 1, 2, 2 differing segments of 1, 2, 3, 4, a viable chain has its first segment equal and one of
 the three after it, which makes three join keys a start. Two texts share a key if and only if they have
-a viable chain. Candidates then pass the full Hamming check, and at last the triples are compared.
+a viable chain. Pairs that share one pass, still inside the join, a check of their numbers of triples
+and the full Hamming check over all minimum hashes; at last the triples themselves are compared.
 """
 
 from __future__ import annotations
@@ -19,22 +20,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import materialise
 
 SEGMENTS, WIDTH = 24, 2
-N = SEGMENTS * WIDTH  # minimum hashes of a fingerprint, 16 bits each
+N = SEGMENTS * WIDTH  # minimum hashes of a fingerprint, 16 bits each; 4 bits of each in the full check
+SHORT = N // 16  # 64-bit numbers that hold the four-bit values
 SIMILARITY = 0.6
 BUDGET = 0.7499  # differing segments a segment
 CHAIN = 4  # segments of the longest chain that the index looks at
 #: Standard deviations that the fingerprint of a pair at the threshold may stray in the full check.
-SLACK = 4.0
+SLACK = 3.5
 #: Texts of one key that are compared in one task; a key with more is cut into blocks.
 BLOCK = 2_000
 _WORD = re.compile(r"[^\W_]+")
-PRINTS = "tbl string, id string, same bigint, print binary, short binary"
+PRINTS = "tbl string, id string, same bigint, size int, print binary, " + ", ".join(f"s{k} bigint" for k in range(SHORT))
 KEYS = "no bigint, key bigint"
 PAIRS = "tbl string, a string, b string"
 
@@ -79,13 +81,13 @@ class _Words(dict):
         return h
 
 
-def fingerprints(texts: list[str | None], known: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the texts that have triples; a hash of each one's set of triples, its fingerprint (N values)."""
+def fingerprints(texts: list[str | None], known: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the texts that have triples; of each a hash of its set of triples, the set's size, its fingerprint (N values)."""
     found = [words(t) if t else [] for t in texts]
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     own = np.flatnonzero(sizes >= 3)
     if not len(own):
-        return own, np.zeros(0, np.int64), np.zeros((0, N), np.uint16)
+        return own, np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros((0, N), np.uint16)
     h = np.fromiter((known[w] for k in own for w in found[k]), np.uint64, int(sizes[own].sum()))
     ends = np.cumsum(sizes[own])
     t = _mix(h[:-2] + _mix(h[1:-1] + _mix(h[2:]) * np.uint64(3)) * np.uint64(5))
@@ -110,13 +112,13 @@ def fingerprints(texts: list[str | None], known: _Words) -> tuple[np.ndarray, np
         np.multiply(x, a, out=x)
         np.minimum.reduceat(x, starts, out=least[k])
     values = (least * np.uint32(0x9E3779B1)) >> np.uint32(16)
-    return own, same, np.ascontiguousarray(values.astype(np.uint16).T)
+    return own, same, np.diff(starts, append=len(t)).astype(np.int32), np.ascontiguousarray(values.astype(np.uint16).T)
 
 
 def shortened(values: np.ndarray) -> np.ndarray:
-    """Four bits of each value, two values a byte."""
+    """Four bits of each value in SHORT 64-bit numbers a fingerprint."""
     four = (values >> np.uint16(12)).astype(np.uint8)
-    return four[:, 0::2] << np.uint8(4) | four[:, 1::2]
+    return np.ascontiguousarray(four[:, 0::2] << np.uint8(4) | four[:, 1::2]).view(np.int64)
 
 
 def segment_values(values: np.ndarray) -> np.ndarray:
@@ -167,9 +169,12 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(2).to_pylist()
         for at in range(0, len(texts), 2000):
-            own, same, values = fingerprints(texts[at : at + 2000], known)
-            take = pa.array(own + at)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(same), _fixed(values), _fixed(shortened(values))], names=["tbl", "id", "same", "print", "short"])
+            own, same, size, values = fingerprints(texts[at : at + 2000], known)
+            take, short = pa.array(own + at), shortened(values)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(same), pa.array(size), _fixed(values), *(pa.array(short[:, k]) for k in range(SHORT))],
+                names=["tbl", "id", "same", "size", "print", *(f"s{k}" for k in range(SHORT))],
+            )
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,46 +185,62 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), keys.shape[1])), pa.array(keys.ravel())], names=["no", "key"])
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    most = most_apart()
-    for batch in batches:
-        if batch.num_rows:
-            x = _array(batch.column(3), np.uint8, N // 2) ^ _array(batch.column(4), np.uint8, N // 2)
-            differ = ((x & 15) > 0).sum(axis=1) + ((x >> 4) > 0).sum(axis=1)
-            yield batch.select([0, 1, 2]).filter(pa.array(differ <= most))
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[str, set] = {}  # the sets of the texts met last; pairs come sorted by one side
 
+    def of(text: str) -> set:
+        if (found := held.get(text)) is None:
+            if len(held) >= 2000:
+                held.clear()
+            held[text] = found = triples(text)
+        return found
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kept: tuple[str | None, set] = (None, set())
     for batch in batches:
         ok = []
         for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-            if kept[0] != x:
-                kept = (x, triples(x))
-            p, q = kept[1], triples(y)
+            p, q = of(x), of(y)
             both = len(p & q)
             ok.append(both >= SIMILARITY * (len(p) + len(q) - both))
         yield batch.select([0, 1, 2]).filter(pa.array(ok, pa.bool_()))
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Pairs p < q of ``classes`` (no, tbl, print) that have a viable chain.
+def _differ(x: str, y: str) -> Column:
+    """How many four-bit values of two fingerprints differ."""
+    total = F.lit(0)
+    for k in range(SHORT):
+        d = F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}"))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
+        total = total + F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
+def classes_of(prints: DataFrame, *columns: str) -> DataFrame:
+    """tbl, same, rep, no and ``columns`` of one row of each class of equal triple sets, the one with the smallest id."""
+    first = prints.groupBy("tbl", "same").agg(F.min(F.struct("id", "no", *columns)).alias("r"))
+    return first.select("tbl", "same", F.col("r.id").alias("rep"), "r.no", *(f"r.{c}" for c in columns))
+
+
+def candidates(prints: DataFrame) -> DataFrame:
+    """Pairs p < q (no) of the classes of ``prints`` that have a viable chain and pass the full checks.
 
-    Most keys have one text and are dropped after one pass over the sorted keys. A key with more than
-    BLOCK texts is cut into blocks and each pair of blocks is a task of its own, so that no task
-    compares more than 2 * BLOCK texts of a key. No join here may broadcast: Spark sizes these tables
-    by their files, which don't tell how many keys come out of a row.
+    Most keys have one text and are dropped after one pass over the sorted keys; what the full checks
+    need joins the rest. A key with more than BLOCK texts is cut into blocks and each pair of blocks
+    is a task of its own, so that no task compares more than 2 * BLOCK texts of a key. No join here may
+    broadcast: Spark sizes these tables by their files, which don't tell how many keys come of a row.
     """
-    keyed = classes.select("no", F.xxhash64("tbl").alias("t"), "print").mapInArrow(_keys, KEYS)
+    keyed = classes_of(prints, "print").select("no", F.xxhash64("tbl").alias("t"), "print").mapInArrow(_keys, KEYS)
     counted = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    short = [f"s{k}" for k in range(SHORT)]
+    counted = counted.join(classes_of(prints, "size", *short).select("no", "size", *short).hint("merge"), "no")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("no"), blocks).cast("int")
-    tiled = counted.select("no", "key", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    tiled = materialise(tiled.select("no", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+    tiled = counted.withColumn("block", F.pmod(F.xxhash64("no"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    tiled = tiled.select("no", "key", "size", *short, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     x, y = tiled.hint("merge").alias("x"), tiled.alias("y")
     met = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
     once = (F.col("x.no") < F.col("y.no")) & ((F.col("x.i") == F.col("x.j")) | (F.col("x.block") != F.col("y.block")))
-    return x.join(y, met & once).select(F.col("x.no").alias("p"), F.col("y.no").alias("q")).distinct()
+    sizes = F.least("x.size", "y.size") >= SIMILARITY * F.greatest("x.size", "y.size")
+    return x.join(y, met & once & sizes & (_differ("x", "y") <= most_apart())).select(F.col("x.no").alias("p"), F.col("y.no").alias("q")).distinct()
 
 
 def similar(items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -232,14 +253,13 @@ def similar(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     search as one text. Two texts of one (tbl, id) would count as two texts of that id.
     """
     rows = items.where("id is not null and text is not null").select("tbl", "id", "text")
-    prints = materialise(rows.mapInArrow(_prints, PRINTS))
-    classes = prints.groupBy("tbl", "same").agg(F.min("id").alias("rep"), F.first("print").alias("print"), F.first("short").alias("short"))
-    classes = materialise(classes.withColumn("no", F.monotonically_increasing_id()))
-    members = prints.select("tbl", "id", "same").distinct().join(classes.select("tbl", "same", "rep").hint("merge"), ["tbl", "same"])
-    left = classes.select(F.col("no").alias("p"), "tbl", F.col("rep").alias("r"), F.col("short").alias("x"))
-    right = classes.select(F.col("no").alias("q"), F.col("tbl").alias("t2"), F.col("rep").alias("s"), F.col("short").alias("y"))
-    both = candidates(classes).join(left.hint("merge"), "p").join(right.hint("merge"), "q").where("tbl = t2 and r <> s")
-    near = materialise(both.select("tbl", F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b"), "x", "y").mapInArrow(_near, PAIRS))
+    prints = materialise(rows.mapInArrow(_prints, PRINTS).withColumn("no", F.monotonically_increasing_id()))
+    reps = classes_of(prints)
+    members = materialise(prints.select("tbl", "id", "same").distinct().join(reps.select("tbl", "same", "rep").hint("merge"), ["tbl", "same"]))
+    left = reps.select(F.col("no").alias("p"), "tbl", F.col("rep").alias("r")).hint("merge")
+    right = reps.select(F.col("no").alias("q"), F.col("tbl").alias("t2"), F.col("rep").alias("s")).hint("merge")
+    both = candidates(prints).join(left, "p").join(right, "q").where("tbl = t2 and r <> s")
+    near = materialise(both.select("tbl", F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")))
     wanted = near.select("tbl", F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = rows.join(wanted.hint("merge"), ["tbl", "id"], "left_semi").groupBy("tbl", "id").agg(F.max("text").alias("text"))
     full = near.join(texts.select("tbl", F.col("id").alias("a"), F.col("text").alias("x")).hint("merge"), ["tbl", "a"])
