@@ -95,11 +95,12 @@ def p6_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     rows = _pages(spark, d)
-    return pages.furniture_lines(rows, shells.fit_pages(rows))
+    return pages.furniture_lines(rows, pages.fit_lines(rows), shells.fit_pages(rows))
 
 
 def p7_articles(spark: SparkSession, d: str) -> DataFrame:
-    return pages.main_body(_pages(spark, d))
+    rows = _pages(spark, d)
+    return pages.main_body(rows, pages.fit_lines(rows))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -235,13 +235,45 @@ def test_furniture_by_paths(spark):
     html = "<html><head><meta charset='utf-8'><title>T of it</title></head><body><div><li><a href='/a'>Home</a></li><li><a href='/b'>Maps</a></li></div><div><h1>Maps of old</h1><p>{0}</p><li>Sheets</li><table><tr><td>A</td><td>1</td></tr></table><p>{0} More.</p></div><footer><p>Some words at the end.</p></footer></body></html>"
     text = f"Home\nMaps\nMaps of old\n{PROSE}\nSheets\nA | 1\n{PROSE} More.\nSome words at the end."
     rows = [(1, text, bytearray(html.format(PROSE).encode()), 200, None, 0), (1, text, bytearray(html.format(PROSE).encode()), 200, None, 0), (2, None, None, None, None, 0), (3, "", None, None, None, 0), (4, "Home\nMaps of old\n" + PROSE, bytearray(b"<p>broken <div"), None, None, 0)]
-    df = spark.createDataFrame(rows, PAGES)
+    df = spark.createDataFrame(rows, PAGES).withColumn("canonical_url", F.col("url"))
     got = {(r.artifact_id, r.line_no) for r in pages.furniture_lines(df).collect()}
-    assert got == {(1, 0), (1, 1), (1, 7), (4, 0)}
+    assert got == {(1, 0), (1, 1), (1, 7)}  # page 4: nothing in its markup, no model, one page only
     main = {r.artifact_id: (r.main_text, r.main_text_ratio) for r in pages.main_body(df).distinct().collect()}
     assert main[1][0].startswith("Maps of old\n") and 0.9 < main[1][1] < 1 and main[2] == (None, None) and main[3] == ("", None)
 
 
+LAYOUT = "<html><head><title>{title}</title></head><body><!-- {long} --><div><li><a href='/a'>Home | Contact | Archive | Help</a></li></div><div><h1>{title}</h1><p>By A. Writer | 7 min read</p><p>{prose}</p><p>{prose}</p></div><div><p>We use cookies to measure visits and to remember your settings. {footer}</p><p>\u00a9 2011 Some Press. All rights reserved.</p></div></body></html>"
+
+
+def layout_rows(n):
+    rng = random.Random(4)
+    for k in range(n):
+        prose = [f"The {rng.choice(['first', 'second', 'third'])} results of survey {k} were compared with the {rng.choice(['records', 'sheets', 'maps'])} of the archive of place {rng.random()}, and no difference was found between them." for _ in range(2)]
+        title, footer = f"A title about topic {k}", "Every visit counts, " * 20  # a long footer is still one
+        markup = LAYOUT.format(title=title, prose="{0}", footer=footer, long="x" * 5000).replace("<p>{0}</p><p>{0}</p>", f"<p>{prose[0]}</p><p>{prose[1]}</p>")
+        text = "\n".join(["Home | Contact | Archive | Help", title, "By A. Writer | 7 min read", *prose, f"We use cookies to measure visits and to remember your settings. {footer}".strip(), "\u00a9 2011 Some Press. All rights reserved."])
+        yield k, text, bytearray(markup.encode("utf-16" if k == 7 else "utf-8")) if k % 10 else None, 200, f"https://h{k % 9}.example/{k}", f"https://h{k % 9}.example/{k}"
+
+
+def test_words_are_learnt_from_tag_paths(spark, monkeypatch):
+    for name in ("FURNITURE_STARTS", "MENU_WORDS"):
+        monkeypatch.setattr(pages.lexicon, name, {})
+    monkeypatch.setattr(pages.lexicon, "FURNITURE_ANYWHERE", ())
+    rows = [r for r in layout_rows(60) if r[0] != 7]
+    df = spark.createDataFrame(rows, "artifact_id bigint, text_content string, raw_content binary, status_code int, url string, canonical_url string")
+    model = pages.fit_lines(df)
+    assert model.agreement > 0.9
+    got = {(r.artifact_id, r.line_no) for r in pages.furniture_lines(df, model).collect()}
+    assert got == {(r[0], k) for r in rows for k in (0, 2, 5, 6)}  # pages without markup among them
+    assert pages.fit_lines(df.where("false")) is None and pages.furniture_lines(df.where("false")).count() == 0
+    main = {r.artifact_id: r for r in pages.main_body(df, model).collect()}
+    assert main[0].main_text == "\n".join(rows[0][1].split("\n")[k] for k in (1, 3, 4)) and 0 < main[0].main_text_ratio < 1
+
+
+def test_charset_after_a_long_preamble():
+    assert pages.decode(b"<!-- " + b"x" * 5000 + "--><meta charset='cp1251'><p>год".encode("cp1251")).endswith("год")
+
+
 # --- 5 ----------------------------------------------------------------------------------------
 
 
