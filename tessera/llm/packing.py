@@ -86,31 +86,30 @@ def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[i
 
     unit = max(1, -(-capacity // UNITS))
     units = capacity // unit
-    if units >= 3:
-        need = np.zeros(units + 1, np.int64)
-        by_unit: dict[int, list[int]] = {}
-        for n in sorted(left, reverse=True):
-            u = -(-n // unit)
-            if u <= units:
-                need[u] += left[n]
-                by_unit.setdefault(u, []).append(n)
-        rows = patterns(units)
-        for row, times in zip(rows, repeat_counts(rows, need)):
-            todo = int(times)
-            while todo:
-                chosen, usage = [], {}
-                for u in row:
-                    if u:
-                        n = next(n for n in by_unit[int(u)] if left[n] > usage.get(n, 0))
-                        usage[n] = usage.get(n, 0) + 1
-                        chosen.append(n)
-                m = min([todo, *(left[n] // k for n, k in usage.items())])
-                for n in chosen:
-                    take(n, m, base)
-                if space := capacity - sum(chosen):
-                    free.setdefault(space, []).append([base, m])
-                base += m
-                todo -= m
+    need = np.zeros(units + 1, np.int64)
+    by_unit: dict[int, list[int]] = {}
+    for n in sorted(left, reverse=True):
+        u = -(-n // unit)
+        if u <= units:
+            need[u] += left[n]
+            by_unit.setdefault(u, []).append(n)
+    rows = patterns(units)
+    for row, times in zip(rows, repeat_counts(rows, need)):
+        todo = int(times)
+        while todo:
+            chosen, usage = [], {}
+            for u in row:
+                if u:
+                    n = next(n for n in by_unit[int(u)] if left[n] > usage.get(n, 0))
+                    usage[n] = usage.get(n, 0) + 1
+                    chosen.append(n)
+            m = min([todo, *(left[n] // k for n, k in usage.items())])
+            for n in chosen:
+                take(n, m, base)
+            if space := capacity - sum(chosen):
+                free.setdefault(space, []).append([base, m])
+            base += m
+            todo -= m
     spaces = np.zeros(capacity + 1, bool)
     spaces[list(free)] = True
     for n in sorted(left, reverse=True):
@@ -158,7 +157,7 @@ def pack(sizes: DataFrame, capacities: dict[str, int]) -> DataFrame:
     """A container of each capacity for each document of ``sizes`` (doc_id, n_tokens).
 
     A document larger than the capacity is cut into full pieces and a rest; nothing else is split.
-    Documents of size 0 or null go to container 0. Repeated rows are packed like other items. The
+    Documents of size 0 or null take no space: their container is -1. Repeated rows are packed like other items. The
     driver sees only the histogram of lengths, at most one row per length and capacity. No
     capacities, or no rows, give an empty result.
     """
@@ -198,5 +197,5 @@ def pack(sizes: DataFrame, capacities: dict[str, int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([arrays[f.name] for f in SCHEMA], names=SCHEMA.names)
 
     ranked = grouped_positions(some, ["container_type", "n_tokens"], [F.col("doc_id"), F.col("piece_no")])
-    empty = parts.where("n_tokens <= 0").select("container_type", F.lit(0).cast("long").alias("container_id"), "doc_id", "piece_no", "first_token", "n_tokens")
+    empty = parts.where("n_tokens <= 0").select("container_type", F.lit(-1).cast("long").alias("container_id"), "doc_id", "piece_no", "first_token", "n_tokens")
     return ranked.mapInArrow(place, SCHEMA).unionByName(empty)

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.llm import contributor_caps, languages, near_duplicates, packing, pages, repeated_lines, shells, splitting, subjects, tokens
+from tessera.session import materialise
 from tessera.sources import table
 
 
@@ -107,6 +108,23 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_texts(table(spark, d, "documents"))
 
 
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The round trip: text of every document from its ids."""
+    return tokens.decode_texts(tokens.encode_texts(table(spark, d, "documents")))
+
+
+def p9_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Of each container type: documents packed, documents whose pieces don't add up, containers over the capacity."""
+    sizes = tokens.count_tokens(table(spark, d, "documents"))
+    limits = {r.item_type: r.limit_tokens for r in table(spark, d, "size_limits").where(F.col("item_type").startswith("container_")).collect()}
+    placed = materialise(packing.pack(sizes, limits))
+    whole = placed.groupBy("container_type", "doc_id").agg(F.sum("n_tokens").alias("placed")).join(sizes.select("doc_id", "n_tokens").hint("merge"), "doc_id")
+    docs = whole.groupBy("container_type").agg(F.count("*").alias("documents"), F.sum((F.col("placed") != F.col("n_tokens")).cast("bigint")).alias("torn"))
+    full = placed.where("container_id >= 0").groupBy("container_type", "container_id").agg(F.sum("n_tokens").alias("filled"))
+    capacity = F.element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("container_type"))
+    return docs.join(full.groupBy("container_type").agg(F.sum((F.col("filled") > capacity).cast("bigint")).alias("overfull")), "container_type")
+
+
 def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     limits = {r.item_type: r.limit_tokens for r in table(spark, d, "size_limits").where(F.col("item_type").startswith("container_")).collect()}
     return packing.pack(tokens.count_tokens(table(spark, d, "documents")), limits)
@@ -129,7 +147,7 @@ def p10_corpus(spark: SparkSession, d: str) -> DataFrame:
     return parts.select("subject", "documents", "chars", (F.col("chars") / F.sum("chars").over(Window.partitionBy())).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranked, p2_found, p2_languages, p3_found, p3_groups, p4_found, p5_found, p5_pieces, p5_checked, p6_found, p6_texts, p7_found, p7_articles, p8_ids, p9_containers, p10_found, p10_shares, p10_corpus)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranked, p2_found, p2_languages, p3_found, p3_groups, p4_found, p5_found, p5_pieces, p5_checked, p6_found, p6_texts, p7_found, p7_articles, p8_ids, p8_decoded, p9_containers, p9_checked, p10_found, p10_shares, p10_corpus)}
 
 _SITE = "nullif(regexp_replace(lower(regexp_extract(%s, '^\\s*[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\\.', ''), '')"
 _RANKED = f"""
@@ -161,6 +179,8 @@ ORACLE = {
         select 'structured_chunks', chunk_id, arg_max(text, struct_pack(n := length(text), t := text)) from structured_chunks where text <> '' group by chunk_id)
       select tbl, rec_id, cast(length(text) as bigint) as chars, true as covered, true as fit from items join size_limits on item_type = tbl
       where {_TOKENS % ("text", "text")} > limit_tokens""",
+    "p8_decoded": "select doc_id, coalesce(text, '') as text from documents",
+    "p9_checked": "select item_type as container_type, (select count(*) from documents) as documents, 0 as torn, 0 as overfull from size_limits where item_type like 'container_%'",
     "p6_found": f"""
       with lines as (select distinct {_SITE % "source_url"} as site, chunk_id, unnest(range(len(l))) as line_no, unnest(l) as raw from (select source_url, chunk_id, string_split(text, chr(10)) as l from rag_chunks)),
       normal as (select site, chunk_id, line_no, regexp_replace(trim(regexp_replace(lower(raw), '[\\s\\p{{Z}}]+', ' ', 'g')), '\\d+', '0', 'g') as line from lines),

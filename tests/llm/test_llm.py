@@ -364,6 +364,12 @@ def test_encoding_equals_the_library(spark):
     got = {r.doc_id: r.ids for r in tokens.encode_texts(df).collect()}
     want = t.encode_batch([x or "" for x in texts], add_special_tokens=False)
     assert [got[k] for k in range(len(texts))] == [w.ids for w in want]
+    coded = tokens.encode_texts(df, offsets=True)
+    coder = tokens.encoder(tokens.VOCABULARY)
+    for r in coded.collect():
+        raw = (texts[r.doc_id] or "").encode()
+        assert [raw[a:b] for a, b in zip(r.offsets, [*r.offsets[1:], len(raw)])] == [coder.bytes[k] for k in r.ids]
+    assert {r.doc_id: r.text for r in tokens.decode_texts(coded).collect()} == {k: t or "" for k, t in enumerate(texts)}
     counts = {r.doc_id: r.n_tokens for r in tokens.count_tokens(df).collect()}
     assert counts == {k: len(v) for k, v in got.items()}
     assert tokens.encode_texts(df.where("false")).count() == 0
@@ -391,6 +397,7 @@ def test_pack(spark):
     got = packing.pack(df, {"small": 10, "large": 30, "none": 0}).collect()
     for kind, capacity in (("small", 10), ("large", 30)):
         own = [r for r in got if r.container_type == kind]
+        assert all((r.container_id == -1) == (not r.n_tokens) for r in own)
         filled, total = defaultdict(int), defaultdict(int)
         for r in own:
             filled[r.container_id] += r.n_tokens
