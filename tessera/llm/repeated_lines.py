@@ -1,4 +1,12 @@
-"""Problem 6: lines repeated across the documents of one site."""
+"""Problem 6: lines repeated across the documents of one site, by content-defined pieces.
+
+Landmarks are the places of a text whose rolling hash over the last WINDOW characters has its lower bits
+clear; line ends are no landmarks, and pieces run across them. Landmarks whose window lies inside a line
+depend on that line alone, so a piece between two of them comes back wherever the line does. Each line
+is represented by the one of its own pieces with the smallest hash. Pieces are counted by different
+chunks per site, those repeated excessively are cut, and with them the lines that they represent, after
+an exact count of the whole line. A line too short to have a piece of its own stands for itself.
+"""
 
 from __future__ import annotations
 
@@ -13,14 +21,15 @@ from pyspark.sql import functions as F
 from tessera.functions.urls import host
 from tessera.session import materialise
 
-WINDOW = 8  # characters in the rolling hash
-PIECE = 64  # mean characters between landmarks
+WINDOW = 4  # characters in the rolling hash
+PIECE = 8  # mean characters between landmarks
+SALTS = 16  # parts of a hot piece or line in the joins
 MIN_DOCUMENTS = 6
 _DIGITS = re.compile(r"\d+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _GEAR = np.random.RandomState(977).randint(0, 2**32, 4096, dtype=np.uint64).astype(np.uint32)
-LINES = "site string, chunk_id string, line_no int, line bigint, pieces array<bigint>"
+LINES = "site string, chunk_id string, line_no int, line bigint, piece bigint, short boolean"
 
 
 def normal(line: str) -> str:
@@ -40,33 +49,30 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def pieces(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each normalised line; hashes of its content-defined pieces, and the line of each piece.
-
-    Line ends are landmarks; inside a line a landmark is a place whose rolling hash over WINDOW
-    characters of that line has its lower bits clear.
-    """
+    """Of each normalised line of a text: its hash, the hash of the piece that represents it, and whether it is short."""
     text = "\n".join(lines) + "\n"
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     n = len(c)
     ends = np.flatnonzero(c == 10)
     starts = np.concatenate([[0], ends[:-1] + 1])
-    inside = np.arange(n) - np.repeat(starts, ends - starts + 1)
     g = _GEAR[c % 4096]
     h = np.zeros(n, np.uint32)
     for k in range(WINDOW):
         h[k:] += g[: n - k] << np.uint32(k)
-    cut = (h >> np.uint32(12)) % PIECE == 0
-    cut &= inside >= WINDOW
-    cut[ends] = False
+    marks = np.flatnonzero((h >> np.uint32(12)) % PIECE == 0) + 1  # a piece starts after a landmark
     prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum((c.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), dtype=np.uint64)])
     inverse = _powers(_INVERSE, n + 1)
     whole = _mixed((prefix[ends] - prefix[starts]) * inverse[starts])
-    a = np.sort(np.concatenate([starts, np.flatnonzero(cut) + 1]))
+    a, b = marks[:-1], marks[1:]
     line = np.searchsorted(starts, a, side="right") - 1
-    b = np.minimum(np.concatenate([a[1:], [n]]), ends[line])
-    full = b > a
-    a, b, line = a[full], b[full], line[full]
-    return whole, _mixed((prefix[b] - prefix[a]) * inverse[a]), line
+    own = (a - starts[line] >= WINDOW) & (b <= ends[line])
+    a, b, line = a[own], b[own], line[own]
+    found = _mixed((prefix[b] - prefix[a]) * inverse[a])
+    best = np.full(len(lines), np.iinfo(np.int64).max)
+    np.minimum.at(best, line, found)
+    short = np.ones(len(lines), bool)
+    short[line] = False
+    return whole, np.where(short, whole, best), short
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,33 +86,39 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         owner.append(i)
                         number.append(k)
                         lines.append(line)
-            if not lines:
-                continue
-            whole, found, of = pieces(lines)
-            offsets = np.searchsorted(of, np.arange(len(lines) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([site[i] for i in owner], pa.string()), pa.array([chunk[i] for i in owner], pa.string()), pa.array(number, pa.int32()), pa.array(whole), pa.ListArray.from_arrays(pa.array(offsets), pa.array(found))],
-                names=["site", "chunk_id", "line_no", "line", "pieces"],
-            )
+            if lines:
+                whole, found, short = pieces(lines)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([site[i] for i in owner], pa.string()), pa.array([chunk[i] for i in owner], pa.string()), pa.array(number, pa.int32()), pa.array(whole), pa.array(found), pa.array(short)],
+                    names=["site", "chunk_id", "line_no", "line", "piece", "short"],
+                )
+
+
+def _often(rows: DataFrame, key: str, least: int) -> DataFrame:
+    """The values of ``key`` that occur in at least ``least`` chunks, once for each salt."""
+    found = rows.select(key, "chunk").distinct().groupBy(key).agg(F.count("*").alias("chunks")).where(F.col("chunks") >= least)
+    return found.select(key, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).hint("merge")
+
+
+def represented_lines(chunks: DataFrame) -> DataFrame:
+    """site, chunk_id, line_no, the hashes line and piece (with the site), short, chunk, salt of each non-blank line."""
+    rows = chunks.select(host(F.col("source_url")).alias("site"), "chunk_id", "text").where("site is not null and chunk_id is not null and text is not null")
+    lines = rows.mapInArrow(_lines, LINES).withColumn("line", F.xxhash64("site", "line")).withColumn("piece", F.xxhash64("site", "piece", "short"))
+    chunk = F.xxhash64("chunk_id")
+    return lines.withColumn("chunk", chunk).withColumn("salt", F.pmod(chunk, F.lit(SALTS)).cast("int"))
 
 
 def repeated_lines(chunks: DataFrame, least: int = MIN_DOCUMENTS) -> DataFrame:
     """Lines whose content occurs in at least ``least`` different chunk_ids of one site.
 
-    Columns: site, chunk_id, line_no. Pieces that occur in too few chunks of the site rule out their
-    lines; the lines left, all of whose pieces repeat, are counted exactly. Blank lines, null texts
-    and rows without chunk_id or site take no part; repeated rows count once. Counting runs on
-    (site, piece, chunk) keys with partial aggregation, so a site that holds a third of the rows is
-    spread over all tasks.
+    Columns: site, chunk_id, line_no, short. Blank lines, null texts and rows without chunk_id or site
+    take no part; repeated rows count once. Counting runs on (site, piece, chunk) keys with partial
+    aggregation, and a piece that a third of all chunks have is joined in SALTS parts.
     """
-    rows = chunks.select(host(F.col("source_url")).alias("site"), "chunk_id", "text").where("site is not null and chunk_id is not null and text is not null")
-    lines = materialise(rows.mapInArrow(_lines, LINES).withColumn("pieces", F.array_distinct("pieces")).withColumn("row", F.monotonically_increasing_id()))
-    split = lines.select("row", F.size("pieces").alias("n"), F.xxhash64("chunk_id").alias("chunk"), F.explode(F.transform("pieces", lambda p: F.xxhash64("site", p))).alias("piece"))
-    often = split.select("piece", "chunk").distinct().groupBy("piece").agg(F.count("*").alias("chunks")).where(F.col("chunks") >= least).select("piece")
-    whole = split.select("row", "n", "piece").join(often, "piece", "left_semi").groupBy("row", "n").agg(F.count("*").alias("hit")).where("hit = n").select("row")
-    candidates = lines.select("row", "site", "chunk_id", "line_no", "line").join(whole, "row", "left_semi")
-    exact = candidates.select("site", "line", "chunk_id").distinct().groupBy("site", "line").agg(F.count("*").alias("chunks")).where(F.col("chunks") >= least).select("site", "line")
-    return candidates.join(exact, ["site", "line"], "left_semi").select("site", "chunk_id", "line_no").distinct()
+    lines = materialise(represented_lines(chunks))
+    candidates = lines.join(_often(lines, "piece", least), ["piece", "salt"], "left_semi")
+    kept = candidates.join(_often(candidates, "line", least), ["line", "salt"], "left_semi")
+    return kept.select("site", "chunk_id", "line_no", "short").distinct()
 
 
 def without_lines(chunks: DataFrame, found: DataFrame) -> DataFrame:
