@@ -28,15 +28,14 @@ def _labelled_texts(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit(None).cast("string")
     docs = table(spark, d, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("rec_id"), "text", "url", F.col("lang").alias("label"), none.alias("markup"), F.lit(False).alias("page"))
     labels = table(spark, d, "content_quality").groupBy("artifact_id").agg(F.min(F.try_element_at("details", F.lit("language"))).alias("label"))
-    markup = F.nullif(F.regexp_extract(F.decode(F.substring("raw_content", 1, 300), "ISO-8859-1"), r"<html[^>]*\blang=[\"']?([^\"'> ]+)", 1), F.lit(""))
+    markup = F.nullif(F.regexp_extract(F.decode("raw_content", "ISO-8859-1"), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([^\"'>\s]+)", 1), F.lit(""))
     captured = _pages(spark, d).join(labels, "artifact_id", "left").select(F.lit("captured_artifacts").alias("tbl"), F.col("artifact_id").alias("rec_id"), F.col("text_content").alias("text"), "url", "label", markup.alias("markup"), F.lit(True).alias("page"))
     return docs.unionByName(captured)
 
 
 def p2_languages(spark: SparkSession, d: str) -> DataFrame:
     texts = _labelled_texts(spark, d)
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("rec_id"), "text", F.col("lang").alias("label"))
-    return languages.languages(texts, languages.learn(languages.sample_texts(docs)), shells.fit_pages(_pages(spark, d)))
+    return languages.languages(texts, languages.learn(languages.sample_texts(texts)), shells.fit_pages(_pages(spark, d)))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -108,7 +108,11 @@ def features(main: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def weak_label(main: str, status: int | None) -> int | None:
-    """1 for a shell, 0 for an article, None where the phrases and the response status don't tell."""
+    """1 for a shell, 0 for an article, None where the phrases and the response status don't tell.
+
+    Filler has no phrase of its own. It is known by what all of it has in common: a sentence that says
+    the same few words again and again, or a text without the function words of any language.
+    """
     low = main.lower()
     phrase, function = _known()
     parts = [p for p in _SPLIT.split(low) if p and p.strip()]

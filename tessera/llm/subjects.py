@@ -26,7 +26,7 @@ BUCKETS, DIMENSIONS = 1 << 15, 8
 ROUNDS = 50
 SLICES = 6  # a round reads one document in so many
 RATE, DECAY = 0.15, 1e-6
-PARTITIONS = 4
+PARTITIONS = 4  # of the sample, whose size is bounded; scoring runs on all partitions of the documents
 #: Passes over the model's own labels, each going on from the one before: rounds, the score of a clear
 #: sentence, and the share of characters in clear sentences that a document needs to be learnt from.
 TEACHING = ((25, 0.5, 0.5), (25, 0.0, 0.4), (25, -1.0, 0.3))
@@ -154,14 +154,18 @@ def _gradient(ids: np.ndarray, ends: np.ndarray, y: np.ndarray, e: np.ndarray, w
 
 
 def train(rows: DataFrame, subjects: list[str], rounds: int = ROUNDS, start: list[np.ndarray] | None = None) -> tuple[Model, list[np.ndarray]]:
-    """Fit on ``rows`` (ids array<int>, ends array<int>, subject int, slice int), one row a document, from the parameters ``start``."""
+    """Fit on ``rows`` (ids array<int>, ends array<int>, subject array<int>, slice int), one row a document, from the parameters ``start``.
+
+    Every subject of a document is a target of its own. A round reads one of the slices that have rows.
+    """
     spark = rows.sparkSession
     random = np.random.RandomState(5)
     k = len(subjects)
     params = start or [random.normal(0, 0.1, (BUCKETS, DIMENSIONS)), random.normal(0, 0.5, (DIMENSIONS, k)), np.full(k, -2.0)]
     e, w, b = params
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    for t in range(1, rounds + 1):
+    slices = sorted(r.slice for r in rows.select("slice").distinct().collect())  # at most SLICES
+    for t in range(1, rounds + 1 if slices else 1):
         shared = spark.sparkContext.broadcast([e.astype(np.float32), w, b])
 
         def partial(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -174,8 +178,8 @@ def train(rows: DataFrame, subjects: list[str], rounds: int = ROUNDS, start: lis
                 for i, s, label in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                     ids.append(i.values.to_numpy())
                     sizes += np.diff(s, prepend=0).tolist()
-                    y += [label] * len(s)
-                target = np.eye(k)[np.array(y)]
+                    y += [np.isin(np.arange(k), label)] * len(s)
+                target = np.array(y, float)
                 parts = _gradient(np.concatenate(ids), np.cumsum(sizes), target, *shared.value)
                 n += len(y)
                 total = parts if total is None else tuple(a + c for a, c in zip(total, parts))
@@ -183,10 +187,8 @@ def train(rows: DataFrame, subjects: list[str], rounds: int = ROUNDS, start: lis
                 blob = np.concatenate([total[0].ravel(), total[1].ravel(), total[2], [total[3], n]]).astype(np.float32).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["g"])
 
-        grads = [np.frombuffer(bytes(r.g), np.float32).astype(np.float64) for r in rows.where(F.col("slice") == t % SLICES).select("ids", "ends", "subject").mapInArrow(partial, "g binary").collect()]
+        grads = [np.frombuffer(bytes(r.g), np.float32).astype(np.float64) for r in rows.where(F.col("slice") == slices[t % len(slices)]).select("ids", "ends", "subject").mapInArrow(partial, "g binary").collect()]
         shared.destroy()
-        if not grads:
-            break
         g = np.sum(grads, axis=0)
         n = max(1.0, g[-1])
         cut = np.cumsum([e.size, w.size, b.size])
@@ -258,32 +260,31 @@ def _taught(rows: DataFrame, model: Model, clear: float, least: float) -> DataFr
                 scores, size = shared.value.scores(ids.values.to_numpy(), ends.values.to_numpy().astype(np.int64)), chars.values.to_numpy()
                 s = shares(scores, size)
                 told = size[_smooth(np.clip(scores, -2, 4)).max(axis=1) > clear].sum() / max(1, size.sum())
-                if s.max() >= SURE and told >= least and (label is None or int(s.argmax()) == label):
+                if s.max() >= SURE and told >= least and (label is None or int(s.argmax()) in label):
                     keep.append(i)
-                    own.append(int(s.argmax()))
+                    own.append([int(s.argmax())])
             take = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(2).take(take), pa.array(own, pa.int32()), batch.column(5).take(take)], names=["ids", "ends", "subject", "slice"])
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(2).take(take), pa.array(own, pa.list_(pa.int32())), batch.column(5).take(take)], names=["ids", "ends", "subject", "slice"])
 
-    return rows.select("doc_id", "ids", "ends", "chars", "subject", "slice").mapInArrow(judged, "ids array<int>, ends array<int>, subject int, slice int")
+    return rows.select("doc_id", "ids", "ends", "chars", "subject", "slice").mapInArrow(judged, "ids array<int>, ends array<int>, subject array<int>, slice int")
 
 
 def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Model | None:
     """A model from hand labels, then from documents of a bounded sample that the first model is sure of.
 
-    Of a document's labels the most frequent counts (ties: the smallest); labels outside ``subjects``
-    and null ones are left out. None without labels.
+    All different labels of a document count; labels outside ``subjects`` and null ones are left out.
+    None without labels.
     """
     names = sorted(r.subject for r in subjects.select("subject").distinct().collect() if r.subject is not None)
     if not names:
         return None
-    known = labels.where(F.col("subject").isin(names)).groupBy("doc_id", "subject").agg(F.count("*").alias("n"))
-    known = known.groupBy("doc_id").agg(F.max_by("subject", F.struct("n", F.expr("-ascii(subject)"))).alias("subject"))
     number = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("subject")).cast("int") - 1
+    known = labels.where(F.col("subject").isin(names)).groupBy("doc_id").agg(F.sort_array(F.collect_set(number)).alias("subject"))  # a set of subjects, few by definition
     n = known.count()
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // LABELLED)))) == 0) if n > LABELLED else known
     step = max(1, docs.count() // UNLABELLED)
     picked = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id", "left").where(F.col("subject").isNotNull() | (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(step)) == 0))  # at most LABELLED rows are broadcast
-    both = encoded_with(picked.select("doc_id", "text", number.alias("subject"))).withColumn("slice", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(SLICES)).cast("int"))
+    both = encoded_with(picked.select("doc_id", "text", "subject")).withColumn("slice", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(SLICES)).cast("int"))
     both = materialise(both.repartition(PARTITIONS, "doc_id"))
     first = both.where("subject is not null").select("ids", "ends", "subject", "slice").cache()
     if not first.limit(1).count():

@@ -434,8 +434,8 @@ def test_subjects_on_held_out_documents(spark):
             text[4:] = [sentence(other) for _ in range(4)]
             truth[i].add(other)
         docs.append((i, " ".join(text), "clash"))
-        if i < 90 and i % 5 != 4:
-            labels.append((i, main))
+        if i < 90:
+            labels += [(i, x) for x in sorted(truth[i])]  # documents with two subjects have two labels
     docs += [(900, None, ""), (901, "  ", ""), (902, "12 34", ""), (None, sentence("law"), "")]
     labels += [(0, None), (1, "no subject"), (5000, "law")]
     d = spark.createDataFrame(docs, "doc_id bigint, text string, subject string")
@@ -446,6 +446,8 @@ def test_subjects_on_held_out_documents(spark):
     held = [i for i in range(90, 300)]
     assert sum(got[i] == truth[i] for i in held) / len(held) > 0.9
     assert not {900, 901, 902, None} & set(got)
+    few = subjects.fit(d, spark.createDataFrame(labels[:3], "doc_id bigint, subject string"), spark.createDataFrame([(s,) for s in terms], "subject string"))
+    assert few is not None  # fewer labelled documents than slices
     empty = spark.createDataFrame([], "doc_id bigint, subject string")
     assert subjects.fit(d, empty, spark.createDataFrame([("law",)], "subject string")) is None
     assert subjects.subject_shares(d, None).count() == 0
