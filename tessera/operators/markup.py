@@ -21,7 +21,7 @@ def decoded(raw: bytes | None) -> str:
     """The text of a page in the charset that it declares; bytes that don't fit are replaced."""
     if not raw:
         return ""
-    named = _CHARSET.search(raw[:1024])
+    named = _CHARSET.search(raw)
     try:
         return raw.decode(named[1].decode("ascii", "replace") if named else "utf-8", "replace")
     except LookupError:

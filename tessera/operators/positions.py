@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,8 @@ def grouped_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column
 
     The rows are range-partitioned by keys *and* order, so a hot group is spread over many tasks.
     Prefix sums of the partition sizes give global positions, from which the start of the group is
-    subtracted. Only one number per partition reaches the driver. ``order`` must be total for the
+    subtracted; starts join on partition and keys, so a hot group stays spread. Only one number per
+    partition reaches the driver. ``order`` must be total for the
     result to be defined; null keys form a group of their own, and
     without keys all rows are one group. An empty input gives an empty result.
     """
@@ -36,8 +38,13 @@ def grouped_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column
     if not keys:
         return rows.withColumn(name, F.col("__at").cast("long")).drop("__row", "__at")
     names = [f"__key{i}" for i in range(len(keys))]
-    starts = rows.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.min("__at").alias("__start"))
-    same = F.lit(True)
-    for k, n in zip(keys, names):
-        same = same & F.col(k).eqNullSafe(F.col(n))
-    return rows.join(starts, same).withColumn(name, (F.col("__at") - F.col("__start")).cast("long")).drop("__row", "__at", "__start", *names)
+    here = rows.groupBy(part.alias("__part"), *[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.min("__at").alias("__from"))
+    whole = here.groupBy(*[F.col(n).alias(f"{n}_") for n in names]).agg(F.min("__from").alias("__start"))  # a row a group and partition
+    starts = here.join(whole, _equal(names, [f"{n}_" for n in names])).select("__part", "__start", *names)
+    rows = rows.join(starts, (part == F.col("__part")) & _equal(keys, names))
+    return rows.withColumn(name, (F.col("__at") - F.col("__start")).cast("long")).drop("__row", "__at", "__start", "__part", *names)
+
+
+def _equal(left: Sequence[str], right: Sequence[str]) -> Column:
+    """Equality of columns by pairs, where null equals null."""
+    return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right)])

@@ -66,6 +66,11 @@ def near_dup_ratio(spark: SparkSession, d: str) -> DataFrame:
     return rows.agg(F.count("*").alias("documents"), F.count("near_dup_of").alias("near_duplicates"), F.round(F.count("near_dup_of") / F.count("*"), 6).alias("ratio"))
 
 
+def near_dup_12(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours up to a Hamming distance of 12, of pairs of words."""
+    return dedup.near_matches(dedup.shingle_simhash(_docs(spark, d)), 12)
+
+
 def document_dedup(spark: SparkSession, d: str) -> DataFrame:
     return dedup.document_dedup(_docs(spark, d))
 
@@ -150,12 +155,20 @@ def kg_search(spark: SparkSession, d: str) -> DataFrame:
     return graphs.search_graph(_graph(spark, d)[0], asked)
 
 
-QUERIES = {f.__name__: f for f in (token_estimate, token_counts, text_cleaning, markdown_cleaning, sentence_rows, exact_dedup, simhash, shingle_simhash, near_dup_pairs, near_dup_clusters, near_dup_ratio, document_dedup, content_filter, content_quality, document_relevance, paragraph_chunks, structured_chunks, bounded_chunks, sparse_vectors, pseudo_vectors, cosine_topk, cosine_centre, kg_nodes, kg_edges, kg_query, kg_search)}
+QUERIES = {f.__name__: f for f in (token_estimate, token_counts, text_cleaning, markdown_cleaning, sentence_rows, exact_dedup, simhash, shingle_simhash, near_dup_pairs, near_dup_clusters, near_dup_ratio, near_dup_12, document_dedup, content_filter, content_quality, document_relevance, paragraph_chunks, structured_chunks, bounded_chunks, sparse_vectors, pseudo_vectors, cosine_topk, cosine_centre, kg_nodes, kg_edges, kg_query, kg_search)}
 
-_SIM = S.simhash("documents", "doc_id", "list_slice(" + S.tokens("text") + ", 1, 10000)")
+_SIM = S.simhash("documents", "doc_id", S.tokens("text"))
 _PAIRS = f"select a.id as id_a, b.id as id_b, bit_count(xor(a.u, b.u)) as distance from ({_SIM}) a join ({_SIM}) b on a.id < b.id and a.u <> 0 and b.u <> 0 and bit_count(xor(a.u, b.u)) <= 3"
 
+_SHINGLES = S.simhash("documents", "doc_id", "case when len(w) < 2 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end", f"(select *, list_filter({S.tokens('text')}, lambda t: length(t) > 1) as w from documents)")
+
 ORACLE = {
+    "near_dup_12": f"""with s as ({_SHINGLES}), p as (select a.id as x, b.id as y from s a join s b on a.id < b.id and a.u <> 0 and b.u <> 0 and bit_count(xor(a.u, b.u)) <= 12),
+        e as (select x as id, y as other from p union all select y, x from p)
+        select s.id, count(other) as n_near, case when min(other) < s.id then min(other) end as near_dup_of from s left join e on s.id = e.id group by s.id""",
+    "near_dup_clusters": f"""with recursive s as (select id from ({_SIM})), p as ({_PAIRS}), e as (select id_a as x, id_b as y from p union all select id_b, id_a from p),
+        r(id, seen) as (select id, id from s union select r.id, e.y from r join e on r.seen = e.x)
+        select id, min(seen) as cluster from r group by id""",
     "token_estimate": f"select doc_id, {S.word_count('text')} as words, {S.token_estimate('text')} as tokens from documents",
     "token_counts": f"select source, token, count(*) as n from (select source, unnest({S.tokens('text')}) as token from documents) group by source, token",
     "text_cleaning": f"""select doc_id, md5({S.sanitised('text')}) as sanitised, md5({S.useful('text')}) as useful,
@@ -166,11 +179,11 @@ ORACLE = {
           select doc_id, unnest(range(len(l))) as k, {S.trimmed('unnest(l)')} as s from (select doc_id, string_split(regexp_replace(text, '([.!?])[\\s\\x0B]+', '\\1' || chr(1), 'g'), chr(1)) as l from documents where text is not null)) where length(s) > 30) where n <= 3""",
     "exact_dedup": "select doc_id as id, sha256(text) as content_hash, min(doc_id) over (partition by text) as first_id, doc_id > min(doc_id) over (partition by text) as is_duplicate from documents where text is not null",
     "simhash": f"select id, fingerprint from ({_SIM})",
-    "shingle_simhash": "select id, fingerprint from (" + S.simhash("documents", "doc_id", f"list_slice(case when len(w) < 2 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end, 1, 10000)", f"(select *, list_filter({S.tokens('text')}, lambda t: length(t) > 1) as w from documents)") + ")",
+    "shingle_simhash": f"select id, fingerprint from ({_SHINGLES})",
     "near_dup_pairs": _PAIRS,
     "near_dup_ratio": f"with s as (select id from ({_SIM})), p as ({_PAIRS}) select count(*) as documents, count(o) as near_duplicates, round(count(o) / count(*), 6) as ratio from (select s.id, (select min(id_a) from p where p.id_b = s.id) as o from s)",
     "document_dedup": f"""with e as (select doc_id, text, doc_id > min(doc_id) over (partition by text) as dup from documents where text is not null),
-        s as ({S.simhash('e', 'doc_id', 'list_slice(' + S.tokens('text') + ', 1, 10000)', '(select * from e where not dup)')}),
+        s as ({S.simhash('e', 'doc_id', S.tokens('text'), '(select * from e where not dup)')}),
         p as (select a.id as x, b.id as y from s a join s b on a.id < b.id and a.u <> 0 and b.u <> 0 and bit_count(xor(a.u, b.u)) <= 3)
         select doc_id, dup as is_exact_dup, (select count(*) from p where x = doc_id or y = doc_id) as n_near, (select min(x) from p where y = doc_id) as near_dup_of from e""",
     "content_filter": f"""with t as (select doc_id, coalesce(text, '') as text from documents),

@@ -45,8 +45,9 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder that all executors reach.
 
-    A cluster names it in ``spark.checkpoint.dir``; a temporary folder is used only where the
-    setting is absent, that is in local tests.
+    A cluster names it in ``spark.checkpoint.dir``; a temporary folder serves only a local master, that
+    is tests. On any other master a missing setting is an error: each machine would write to its own
+    disk.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
@@ -56,11 +57,18 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     current = sc.getCheckpointDir()
     if current is None:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors reach")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         current = sc.getCheckpointDir()
     return current.rstrip("/")
 
 
+#: Spark takes the size of a file for that of its rows when it decides on a broadcast; rows are larger.
+COMPRESSION = 10
+_FACTOR = "spark.sql.sources.fileCompressionFactor"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -71,6 +79,8 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
+    if int(float(spark.conf.get(_FACTOR, "1.0"))) < COMPRESSION:
+        spark.conf.set(_FACTOR, str(float(COMPRESSION)))
     return spark.read.schema(df.schema).parquet(path)
 
 

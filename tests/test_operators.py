@@ -24,16 +24,48 @@ def test_positions_equal_a_plain_sort(spark):
     assert sorted(r.position for r in grouped_positions(df, [], [F.col("i")]).collect()) == list(range(500))
 
 
-def test_near_pairs_equal_brute_force(spark):
+def _prints():
     rng = random.Random(2)
     base = [rng.getrandbits(63) for _ in range(30)]
-    prints = [(i, base[i % 30] ^ sum(1 << rng.randrange(63) for _ in range(i // 30))) for i in range(150)] + [(500, 0), (501, 0), (502, base[0])]
+    return [(i, base[i % 30] ^ sum({1 << rng.randrange(63) for _ in range(i // 30 * 3)}) ^ ((1 << 63) if i % 2 else 0)) for i in range(150)] + [(500, 0), (501, 0), (502, base[0]), (503, base[0])]
+
+
+@pytest.mark.parametrize("distance", [0, 3, 6, 12])
+def test_near_pairs_equal_brute_force(spark, distance):
+    prints = [(i, f - (1 << 64) if f >> 63 else f) for i, f in _prints()]
     df = spark.createDataFrame(prints, "id bigint, fingerprint bigint")
-    got = {(r.id_a, r.id_b): r.distance for r in dedup.near_pairs(df).collect()}
-    want = {(a, b): (f ^ g).bit_count() for a, f in prints for b, g in prints if a < b and f and g and (f ^ g).bit_count() <= 3}
-    assert got == want
+    apart = lambda f, g: ((f ^ g) & (1 << 64) - 1).bit_count()
+    want = {(a, b): apart(f, g) for a, f in prints for b, g in prints if a < b and f and g and apart(f, g) <= distance}
+    rows = dedup.near_pairs(df, distance).collect()
+    assert len(rows) == len(want) and {(r.id_a, r.id_b): r.distance for r in rows} == want
+    near = {r.id: (r.n_near, r.near_dup_of) for r in dedup.near_matches(df, distance).collect()}
+    assert near == {i: (sum(i in p for p in want), min((a for a, b in want if b == i), default=None)) for i, _ in prints}
+    label = {i: i for i, _ in prints}
+    for _ in prints:
+        for a, b in want:
+            label[a] = label[b] = min(label[a], label[b])
+    assert {r.id: r.cluster for r in dedup.clusters(df, distance).collect()} == label
     with pytest.raises(ValueError):
-        dedup.near_pairs(df, 4)
+        dedup.near_pairs(df, 16)
+
+
+def test_clusters_grow_batch_by_batch(spark):
+    prints = [(i, f - (1 << 64) if f >> 63 else f) for i, f in _prints()]
+    random.Random(5).shuffle(prints)
+    schema = "id bigint, fingerprint bigint"
+    known = spark.createDataFrame([], schema + ", cluster bigint")
+    for at in range(0, len(prints), 52):
+        known = dedup.incremental_clusters(known, spark.createDataFrame(prints[at : at + 52], schema), 6)
+    whole = dedup.clusters(spark.createDataFrame(prints, schema), 6)
+    assert {r.id: r.cluster for r in known.collect()} == {r.id: r.cluster for r in whole.collect()}
+
+
+def test_whole_texts_are_folded(spark):
+    words = " ".join(f"w{i}" for i in range(12_000))
+    df = spark.createDataFrame([(1, words), (2, words + " tail" * 9_000), (3, words), (4, " ")], "doc_id bigint, text string")
+    got = {r.id: r.fingerprint for r in dedup.simhash(df).collect()}
+    head = {r.id: r.fingerprint for r in dedup.simhash(df, most=10_000).collect()}
+    assert got[1] == got[3] != got[2] and head[1] == head[2] and set(got) == {1, 2, 3}
 
 
 def test_simhash_examples(spark):
@@ -44,9 +76,9 @@ def test_simhash_examples(spark):
 
 
 def test_components(spark):
-    df = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 101), (105, 101)], "id_a bigint, id_b bigint")
+    df = spark.createDataFrame([(i, i + 1) for i in range(90)] + [(100, 101), (105, 101)], "id_a bigint, id_b bigint")
     got = {r.id: r.cluster for r in dedup.components(df).collect()}
-    assert got == {i: 0 for i in range(21)} | {100: 100, 101: 100, 105: 100}
+    assert got == {i: 0 for i in range(91)} | {100: 100, 101: 100, 105: 100}
 
 
 @pytest.mark.parametrize(
