@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,10 +43,20 @@ def sanitised(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
 
 
+def compatible(text: Column) -> Column:
+    """The text with compatibility forms of characters replaced (NFKC); plain ASCII is left as it is."""
+
+    @F.pandas_udf("string")
+    def nfkc(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    return F.when(text.rlike(r"[^\x00-\x7F]"), nfkc(text)).otherwise(text)
+
+
 def content_hash(text: Column) -> Column:
     """SHA-256 of the text in lower case with runs of blanks and of line ends squeezed.
 
-    Compatibility forms of characters are kept apart: the engine has no such normalisation.
+    Give it ``compatible(text)`` where compatibility forms of characters are to count as equal.
     """
     squeezed = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "[ \t]+", " "), "\n+", "\n")
     return F.sha2(F.lower(F.regexp_replace(squeezed, r"^\s+|\s+$", "")), 256)

@@ -42,6 +42,15 @@ def bucket(word: Column, buckets: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint"), F.lit(buckets)).cast("int")
 
 
+def wide_bucket(word: Column, buckets: int) -> Column:
+    """Bucket of a word by all 128 bits of its MD5, taken as one number; 32 bits at a time."""
+    rest = F.lit(0).cast("bigint")
+    for k in range(4):
+        part = F.conv(F.substring(F.md5(word), 8 * k + 1, 8), 16, 10).cast("bigint")
+        rest = F.pmod(rest * F.lit(2**32 % buckets) + part, F.lit(buckets))
+    return rest.cast("int")
+
+
 def token_coverage(query_tokens: Column, text: Column) -> Column:
     """Share of the query tokens that are found in the text; 0 without tokens."""
     found = F.size(F.filter(query_tokens, lambda t: F.contains(text, t)))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import urls as U
 from tessera.operators.dedup import first_by
 from tessera.operators.markup import decoded, walk
 from tessera.operators.positions import grouped_positions
@@ -74,6 +75,23 @@ def is_pdf(content: Column) -> Column:
     return F.coalesce(F.contains(F.decode(F.substring(content, 1, 1024), "ISO-8859-1"), F.lit("%PDF-")), F.lit(False))
 
 
+def in_scope(url: Column, domain: str | None, discover: bool) -> Column:
+    """Whether a page may be followed: any page while sources are discovered, else those whose address holds the domain."""
+    return F.lit(True) if discover or not domain else F.coalesce(F.contains(F.lower(url), F.lit(domain.lower())), F.lit(False))
+
+
+def expansion_links(links: DataFrame, most: int = 10) -> DataFrame:
+    """The links (page, url, score, is_navigation, is_footer) worth following, the best ``most`` of each page, with place.
+
+    Not of navigation or footer, allowed as a final source and no binary document; each canonical
+    address once a page with its best score; order by score, then address, both descending.
+    """
+    url = F.col("url")
+    rows = links.where(~F.col("is_navigation") & ~F.col("is_footer") & U.rejection_reason(url).isNull() & ~U.is_binary_document(url))
+    rows = rows.groupBy("page", U.canonical_url(url).alias("canonical")).agg(F.max("score").alias("score"))
+    return grouped_positions(rows, ["page"], [F.desc("score"), F.desc("canonical")], "place").where(F.col("place") < most)
+
+
 FOUND = "artifact_id bigint, tag string, text string, score double"
 _SELECTOR = re.compile(r"^([a-z][a-z0-9]*)?(?:#([\w-]+))?(?:\.([\w-]+))?$", re.I)
 

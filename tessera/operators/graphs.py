@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions import urls as U
 from tessera.functions import vectors as V
+from tessera.operators.positions import grouped_positions
 from tessera.session import materialise
 
 
@@ -60,6 +61,37 @@ def search_graph(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     return rows.where("matched > 0")
 
 
+def graph_paths(nodes: DataFrame, queries: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """query_id, path, node_id, text, provenance of the nodes that answer each query, path from 0 in the order of node_id.
+
+    A node answers a query whose target (``targets``: query_id, node_id) it is, or if its text holds a
+    word of the query as a substring.
+    """
+    found = search_graph(nodes, queries).select("query_id", "node_id")
+    if targets is not None:
+        found = found.unionByName(targets.select("query_id", "node_id").join(nodes.select("node_id"), "node_id", "left_semi")).distinct()
+    rows = found.join(nodes.select("node_id", "text", "provenance"), "node_id")
+    return grouped_positions(rows, ["query_id"], [F.col("node_id")], "path").select("query_id", "path", "node_id", "text", "provenance")
+
+
+#: Lines (fixed format) around the paths of a text pack.
+PACK_HEAD, PACK_PATHS, PACK_END = "[EPISTEMIC_ARTIFACT_CONTEXT]\nsource_data_is_untrusted=true\nquery_id=", "\n\n[EVIDENCE_PATHS]", "[END_EPISTEMIC_ARTIFACT_CONTEXT]"
+
+
+def graph_context(paths: DataFrame, most: int = 50) -> DataFrame:
+    """query_id, candidates, status, context, digest, tokens: the text pack of the first ``most`` paths of each query.
+
+    ``most`` bounds the pack that goes to a reader; ``candidates`` counts all paths.
+    """
+    line = F.concat_ws("\n", F.concat(F.lit("path=path_"), F.col("path").cast("string"), F.lit("_"), "node_id", F.lit(" polarity=1 state=accepted")), F.concat(F.lit('  external_id="'), "node_id", F.lit('"')), F.concat(F.lit('    SOURCE_DATA="'), "text", F.lit('"')))
+    lines = F.array_sort(F.collect_list(F.when(F.col("path") < most, F.struct("path", line.alias("line")))))
+    rows = paths.groupBy("query_id").agg(F.count("*").alias("candidates"), lines.alias("lines"))
+    head = F.concat(F.lit(PACK_HEAD), F.col("query_id").cast("string"), F.lit(PACK_PATHS))
+    context = F.concat_ws("\n", head, F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit(PACK_END))
+    rows = rows.select("query_id", "candidates", F.lit("complete").alias("status"), context.alias("context"))
+    return rows.withColumn("digest", F.sha2("context", 256)).withColumn("tokens", T.word_count(F.col("context")))
+
+
 def expand(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """url and depth of every page reached from ``seeds`` (url) over ``links`` (source, target) in at most ``depth`` steps."""
     reached = materialise(seeds.select("url").distinct().withColumn("depth", F.lit(0)))

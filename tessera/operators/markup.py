@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -194,7 +198,7 @@ def _each(df: DataFrame, columns: list[str], make, schema: str) -> DataFrame:
 
 
 LINKS = "artifact_id bigint, url string, anchor string, position int, heading string, is_navigation boolean, is_footer boolean, is_sidebar boolean"
-TABLES = "artifact_id bigint, table_index int, headers array<string>, rows array<array<string>>, markdown string"
+TABLES = "artifact_id bigint, table_index int, headers array<string>, rows array<array<string>>, markdown string, json string, csv string"
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -217,13 +221,36 @@ def table_markdown(headers: list[str], rows: list[list[str]]) -> str:
     return "\n".join("| " + " | ".join(map(escape, line)) + " |" for line in lines) if width else ""
 
 
+def unique_keys(headers: list[str]) -> list[str]:
+    """Keys for the cells of a row: an empty header is "col", a repeated one has its number added."""
+    seen: Counter = Counter()
+    out = []
+    for h in (x or "col" for x in headers):
+        seen[h] += 1
+        out.append(h if seen[h] == 1 else f"{h}_{seen[h]}")
+    return out
+
+
+def table_json(headers: list[str], rows: list[list[str]]) -> str:
+    """Rows as objects; columns beyond the headers are named col_<number>."""
+    width = max([len(headers), *map(len, rows)], default=0)
+    keys = unique_keys([*headers, *(f"col_{i + 1}" for i in range(len(headers), width))])
+    return json.dumps([dict(zip(keys, r)) for r in rows], ensure_ascii=False)
+
+
+def table_csv(headers: list[str], rows: list[list[str]]) -> str:
+    out = io.StringIO()
+    csv.writer(out).writerows([headers, *rows] if headers else rows)
+    return out.getvalue()
+
+
 def tables(pages: DataFrame) -> DataFrame:
-    """The tables of pages (artifact_id, raw_content) with row and column spans filled in."""
+    """The tables of pages (artifact_id, raw_content) with row and column spans filled in, also as Markdown, JSON and CSV."""
 
     def make(key, raw):
         reader = _Tables()
         walk(decoded(raw), reader)
-        return [(key, i, h, r, table_markdown(h, r)) for i, (h, r) in enumerate(reader.done)]
+        return [(key, i, h, r, table_markdown(h, r), table_json(h, r), table_csv(h, r)) for i, (h, r) in enumerate(reader.done)]
 
     return _each(pages, ["artifact_id", "raw_content"], make, TABLES)
 

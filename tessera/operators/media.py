@@ -10,10 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.dedup import first_by
 from tessera.operators.markup import _each, decoded, walk
+from tessera.operators.positions import grouped_positions
 
 #: File kinds (fixed values) that count as documents.
 DOCUMENT_ENDS = (".pdf", ".docx", ".xlsx", ".pptx", ".csv", ".zip")
+PICTURE_HOSTS = ("wikimedia", "wikipedia", "pubmed", "ncbi", "arxiv", "nature.com", "sciencedirect", "biorxiv", "medrxiv", "springer", "ieee", "wiley")
+LEAST_SIDE, LEAST_RELEVANCE = 160, 0.55
 EXCLUDED_WORDS = ("logo", "icon", "avatar", "sprite", "banner", "pixel", "placeholder")
 IMAGES = "artifact_id bigint, url string, alt string, width int, height int, origin string, position int"
 FILES = "artifact_id bigint, url string"
@@ -84,12 +88,50 @@ def document_files(links: DataFrame) -> DataFrame:
     return plain.unionByName(paper).distinct()
 
 
-def image_score(alt: Column, query: Column, width: Column, height: Column, authority: Column) -> Column:
-    """Base .30, up to .45 for the query's words in the description, .15 of the authority, .1 off or on for size."""
-    words = F.filter(T.tokens(query), lambda t: F.length(t) > 2)
-    share = F.size(F.filter(words, lambda t: F.contains(F.lower(alt), t))) / F.greatest(F.size(words), F.lit(1))
-    size = F.when((width >= 600) & (height >= 400), 0.1).when((width < 160) | (height < 160), -0.1).otherwise(0.0)
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.30 + 0.45 * share + 0.15 * F.coalesce(authority, F.lit(0.5)) + size)), 4)
+def image_relevance(df: DataFrame) -> DataFrame:
+    """Adds relevance to images with query, url, caption, alt, source_domain, primary, width, height; drops what can't be used.
+
+    Base .30 (.35 for a page's own picture); up to .45 for the share of query words found among the words
+    of caption, alternative text and file name (words of four letters also by their beginning); .15
+    for a known host; for known sizes .15 if large, -.3 if tiny, .05 or -.1 for the shape. Dropped:
+    decoration, sides under 160, and with a query a relevance under .55.
+    """
+    name = F.lower(F.coalesce(F.try_url_decode(F.regexp_replace(F.regexp_extract("url", r"([^/]*)$", 1), r"\+", "%2B")), F.regexp_extract("url", r"([^/]*)$", 1)))
+    text = F.concat_ws(" ", F.lower(F.coalesce("caption", F.lit(""))), F.lower(F.coalesce("alt", F.lit(""))), name)
+    rows = df.withColumn("_text", text).withColumn("_words", T.tokens(text)).withColumn("_asked", T.tokens(F.col("query")))
+    begins = lambda a, b: a.startswith(b) | b.startswith(a)
+    met = lambda t: F.array_contains("_words", t) | ((F.length(t) >= 4) & F.exists("_words", lambda w: (F.length(w) >= 4) & begins(w, t)))
+    share = F.when(F.size("_asked") > 0, F.size(F.filter("_asked", met)) / F.greatest(F.size("_asked"), F.lit(1))).otherwise(0.0)
+    known = F.exists(F.array(*[F.lit(h) for h in PICTURE_HOSTS]), lambda h: F.contains(F.lower(F.coalesce("source_domain", F.lit(""))), h))
+    sized = (F.col("width") > 0) & (F.col("height") > 0)
+    shape = F.col("width") / F.greatest(F.col("height"), F.lit(1))
+    size = F.when((F.col("width") >= 400) & (F.col("height") >= 300), 0.15).when((F.col("width") < 120) | (F.col("height") < 120), -0.3).otherwise(0.0)
+    by_size = F.when(sized, size + F.when(shape.between(0.4, 2.5), 0.05).otherwise(-0.1)).otherwise(0.0)
+    score = F.when(F.coalesce("primary", F.lit(False)), 0.35).otherwise(0.30) + share * 0.45 + F.when(known, 0.15).otherwise(0.0) + by_size
+    rows = rows.withColumn("relevance", F.round(F.greatest(F.lit(0.05), F.least(F.lit(1.0), score)), 3))
+    plain = F.exists(F.array(*[F.lit(w) for w in EXCLUDED_WORDS]), lambda w: F.contains("_text", w))
+    large = (F.coalesce("width", F.lit(LEAST_SIDE)) >= LEAST_SIDE) & (F.coalesce("height", F.lit(LEAST_SIDE)) >= LEAST_SIDE)
+    return rows.where(~plain & large & ((F.size("_asked") == 0) | (F.col("relevance") >= LEAST_RELEVANCE))).drop("_text", "_words", "_asked")
+
+
+def ranked_images(df: DataFrame, most: int = 25) -> DataFrame:
+    """The first ``most`` images of each query_id by relevance and address, both descending, each address once; place from 0."""
+    once = first_by(df.where("url <> ''"), ["query_id", "url"], ["position"])
+    placed = grouped_positions(image_relevance(once), ["query_id"], [F.desc("relevance"), F.desc("url")], "place")
+    return placed.where(F.col("place") < most)
+
+
+#: First bytes (fixed values) of the kinds of media files.
+MAGIC = (("jpg", "FFD8FF"), ("png", "89504E470D0A1A0A"), ("gif", "47494638"), ("pdf", "25504446"), ("zip", "504B0304"))
+
+
+def magic_kind(content: Column) -> Column:
+    """Kind of a file by its first bytes; null if it is none of the known ones."""
+    head = F.hex(F.substring(content, 1, 12))
+    kind = F.when(head.startswith("52494646") & F.substring(head, 17, 8).eqNullSafe("57454250"), "webp")
+    for name, start in MAGIC:
+        kind = kind.when(head.startswith(start), name)
+    return kind
 
 
 def accepted(url: Column, width: Column, height: Column, score: Column, least: float = 0.55) -> Column:
@@ -126,6 +168,8 @@ def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def blocked_ip(address: Column) -> Column:
     """Private, local, reserved, multicast or unspecified, for both kinds of addresses (mapped IPv4 counts as IPv4); null if it is none."""
 
+    from tessera.functions.urls import is_blocked_ipv4
+
     @F.pandas_udf("boolean")
     def test(s: pd.Series) -> pd.Series:
         def one(a):
@@ -138,4 +182,4 @@ def blocked_ip(address: Column) -> Column:
 
         return s.map(one)
 
-    return test(address)
+    return F.coalesce(is_blocked_ipv4(address), F.when(F.contains(address, F.lit(":")), test(address)))  # only IPv6 goes to Python

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.positions import grouped_positions
+from tessera.operators.positions import grouped_positions, grouped_sums
 
 BROWSER, HTTP, API = ("L3_BROWSER", "L4_SEMANTIC", "L5_VISUAL", "browser"), ("L1_HTTP", "http"), ("L2_API", "api")
 
@@ -100,34 +100,105 @@ def quality_gate(one: DataFrame, direct: float = 0.80, blocked: float = 0.0) ->
 
 
 ADMISSION = "job string, seq bigint, admitted boolean, reason string"
+REQUEST = {"bytes": "bigint", "depth": "int", "ts": "double", "browser_seconds": "double", "visual": "boolean", "llm_tokens": "bigint"}
 
 
-def admit(df: DataFrame, pages: int, bytes_: int, depth: int) -> DataFrame:
-    """job, seq, admitted, reason: requests (job, seq, bytes, depth) taken in order while the budget lasts.
+def admit(df: DataFrame, pages: int, bytes_: int, depth: int, browser_seconds: float | None = None, visual_pages: int | None = None, llm_tokens: int | None = None, deadline: float | None = None) -> DataFrame:
+    """job, seq, admitted, reason: requests (job, seq and what of REQUEST is there) taken in order while the budget lasts.
 
-    A refused request uses nothing up, so later smaller ones may still pass: a fold, kept exact in
-    Python over the sorted requests of one job. A job's requests are bounded by its frontier.
+    The checks, in this order: DEADLINE, DEPTH, PAGES, BYTES, BROWSER (of requests that need one), VISUAL,
+    TOKENS; limits of None don't count. A refused request uses nothing up, so later smaller ones may
+    still pass: a fold over the requests of each job in the order of seq. The rows of a job pass in
+    batches of a sorted partition and only the totals are kept, so a job may have any number of them.
     """
     import pandas as pd
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        n = used = 0
-        out = []
-        for size, level in zip(rows["bytes"], rows["depth"]):
-            reason = "DEPTH" if level > depth else "PAGES" if n + 1 > pages else "BYTES" if used + size > bytes_ else None
-            out.append(reason)
-            if reason is None:
-                n, used = n + 1, used + size
-        return pd.DataFrame({"job": rows["job"], "seq": rows["seq"], "admitted": [r is None for r in out], "reason": out})
-
-    return df.select("job", "seq", "bytes", "depth").groupBy("job").applyInPandas(fold, ADMISSION)
+    def fold(parts):
+        job, n, used, seconds, visuals, tokens = None, 0, 0, 0.0, 0, 0
+        for part in parts:
+            out = []
+            for r in part.itertuples(index=False):
+                if r.job != job:
+                    job, n, used, seconds, visuals, tokens = r.job, 0, 0, 0.0, 0, 0
+                reason = None
+                if deadline is not None and r.ts > deadline:
+                    reason = "DEADLINE"
+                elif r.depth > depth:
+                    reason = "DEPTH"
+                elif n + 1 > pages:
+                    reason = "PAGES"
+                elif used + r.bytes > bytes_:
+                    reason = "BYTES"
+                elif browser_seconds is not None and r.browser_seconds > 0 and seconds + r.browser_seconds > browser_seconds:
+                    reason = "BROWSER"
+                elif visual_pages is not None and r.visual and visuals + 1 > visual_pages:
+                    reason = "VISUAL"
+                elif llm_tokens is not None and r.llm_tokens > 0 and tokens + r.llm_tokens > llm_tokens:
+                    reason = "TOKENS"
+                else:
+                    n, used, seconds, visuals, tokens = n + 1, used + r.bytes, seconds + r.browser_seconds, visuals + bool(r.visual), tokens + r.llm_tokens
+                out.append((r.job, r.seq, reason is None, reason))
+            yield pd.DataFrame(out, columns=["job", "seq", "admitted", "reason"])
+
+    zero = {name: F.coalesce(F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind), F.lit(False) if kind == "boolean" else F.lit(0).cast(kind)).alias(name) for name, kind in REQUEST.items()}
+    rows = df.select(F.col("job").cast("string").alias("job"), F.col("seq").cast("bigint").alias("seq"), *zero.values())
+    return rows.repartition("job").sortWithinPartitions("job", "seq").mapInPandas(fold, ADMISSION)
 
 
 def running_totals(df: DataFrame) -> DataFrame:
-    """Running count and sum of bytes of each job in the order of seq, and the mean so far."""
-    w = Window.partitionBy("job").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return df.select("job", "seq", F.count("*").over(w).alias("n"), F.sum("bytes").over(w).alias("total"), F.round(F.avg("bytes").over(w), 6).alias("mean"))
+    """Running count and sum of bytes of each job in the order of seq, and the mean so far (null bytes count in neither sum nor mean)."""
+    known = F.col("bytes").isNotNull().cast("bigint")
+    rows = grouped_sums(df.select("job", "seq", "bytes"), ["job"], [F.col("seq")], {"n": F.lit(1).cast("bigint"), "total": F.col("bytes"), "known": known})
+    return rows.select("job", "seq", "n", F.when(F.col("known") > 0, F.col("total")).alias("total"), F.round(F.col("total") / F.nullif("known", F.lit(0)), 6).alias("mean"))
+
+
+def latency_sample(df: DataFrame, most: int = 100) -> DataFrame:
+    """host, samples, mean_latency over the newest ``most`` responses (host, seq, latency) of each host."""
+    newest = grouped_positions(df, ["host"], [F.desc("seq")], "_p").where(F.col("_p") < most)
+    return newest.groupBy("host").agg(F.count("*").alias("samples"), F.round(F.avg("latency"), 6).alias("mean_latency"))
+
+
+def activity_ratios(df: DataFrame) -> DataFrame:
+    """activity, items, success_ratio, unique_ratio, density from rows (activity, ok, key, weight): shares of rows that
+    succeeded and of keys that differ, and the mean weight; six places."""
+    out = df.groupBy("activity").agg(F.count("*").alias("items"), F.round(F.avg(F.col("ok").cast("double")), 6).alias("success_ratio"), F.round(F.count_distinct("key") / F.count("*"), 6).alias("unique_ratio"), F.round(F.avg("weight"), 6).alias("density"))
+    return out
+
+
+def reason_histogram(df: DataFrame) -> DataFrame:
+    """run, kind, value, n: rejections (run, provider, reason) counted by reason and by provider."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("reason", "provider")]))
+    return df.select("run", kinds.alias("x")).where("x.value is not null").groupBy("run", "x.kind", "x.value").agg(F.count("*").alias("n"))
+
+
+def trace_events(df: DataFrame, entity: str | None = None, kind: str | None = None) -> DataFrame:
+    """The events (entity_id, event_type, ...) of one entity, of one type, or of both."""
+    for name, value in (("entity_id", entity), ("event_type", kind)):
+        df = df.where(F.col(name) == value) if value is not None else df
+    return df
+
+
+def event_history(df: DataFrame, most: int = 500) -> DataFrame:
+    """What a late subscriber is sent first: the newest ``most`` events (job, seq, ...) of each job, with place from the oldest of them."""
+    newest = grouped_positions(df, ["job"], [F.desc("seq")], "_p").where(F.col("_p") < most).drop("_p")
+    return grouped_positions(newest, ["job"], [F.asc("seq")], "place")
+
+
+def first_pages(df: DataFrame, most: int) -> DataFrame:
+    """Early stop: the first ``most`` pages (run, seq, ok) of each run that were taken well, with place."""
+    return grouped_positions(df.where("ok"), ["run"], [F.asc("seq")], "place").where(F.col("place") < most)
+
+
+class CapabilityUnavailable(RuntimeError):
+    """A capability that a step needs is unknown or switched off."""
+
+
+def require(capabilities: dict[str, str], name: str) -> str:
+    """The state of a capability; an error where it is unknown or "disabled"."""
+    state = capabilities.get(name, "unknown")
+    if state in ("unknown", "disabled"):
+        raise CapabilityUnavailable(f"{name}: {state}")
+    return state
 
 
 def domain_turns(df: DataFrame, most: int = 3) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import materialise
@@ -45,6 +45,27 @@ def grouped_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column
     return rows.withColumn(name, (F.col("__at") - F.col("__start")).cast("long")).drop("__row", "__at", "__start", "__part", *names)
 
 
+def grouped_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], values: dict[str, Column]) -> DataFrame:
+    """Add running sums up to and with each row of its group (equal ``keys``) in ``order``.
+
+    As in ``grouped_positions`` a group is spread over many tasks: each adds up its own part, to which
+    the totals of the parts before it are added. Nulls count as 0.
+    """
+    by = [F.col(k).asc_nulls_first() for k in keys]
+    ranged = df.withColumns({f"__{n}": F.coalesce(v, F.lit(0)) for n, v in values.items()})
+    rows = materialise(ranged.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("__row", F.monotonically_increasing_id()))
+    rows = rows.withColumn("__part", F.shiftrightunsigned("__row", _BITS))
+    names = [f"__key{i}" for i in range(len(keys))]
+    total = rows.groupBy("__part", *[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(*[F.sum(f"__{n}").alias(f"__t_{n}") for n in values])
+    parts = Window.partitionBy(*names).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    before = total.select(F.col("__part").alias("__p"), *names, *[F.coalesce(F.sum(f"__t_{n}").over(parts), F.lit(0)).alias(f"__b_{n}") for n in values])
+    here = Window.partitionBy("__part", *keys).orderBy("__row").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("*", *[F.sum(f"__{n}").over(here).alias(f"__s_{n}") for n in values])
+    rows = rows.join(before, (F.col("__part") == F.col("__p")) & _equal(keys, names))
+    out = rows.withColumns({n: F.col(f"__s_{n}") + F.col(f"__b_{n}") for n in values})
+    return out.select(*df.columns, *values)
+
+
 def _equal(left: Sequence[str], right: Sequence[str]) -> Column:
     """Equality of columns by pairs, where null equals null."""
     return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right)])

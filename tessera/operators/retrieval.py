@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,16 +16,39 @@ from tessera.session import materialise
 DIMENSIONS, SPARSE = 384, 100_000
 
 
-def _unit_vectors(df: DataFrame, id_column: str, dimensions: int) -> DataFrame:
+def _unit_vectors(df: DataFrame, id_column: str, dimensions: int, bucket=V.bucket) -> DataFrame:
     words = df.select(F.col(id_column).alias("id"), F.explode(T.words(F.lower("text"))).alias("w"))
-    counts = words.groupBy("id", "w").agg(F.count("*").alias("n")).groupBy("id", V.bucket(F.col("w"), dimensions).alias("bucket")).agg(F.sum("n").alias("n"))
+    counts = words.groupBy("id", "w").agg(F.count("*").alias("n")).groupBy("id", bucket(F.col("w"), dimensions).alias("bucket")).agg(F.sum("n").alias("n"))
     norms = counts.groupBy("id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     return counts.join(norms, "id").select("id", "bucket", (F.col("n") / F.col("norm")).alias("value"))
 
 
-def pseudo_vectors(df: DataFrame, id_column: str = "id", dimensions: int = DIMENSIONS) -> DataFrame:
-    """id, bucket, value: hashed word counts of each text at length one, one row per bucket in use."""
-    return _unit_vectors(df, id_column, dimensions).select("id", "bucket", F.round("value", 6).alias("value"))
+def pseudo_vectors(df: DataFrame, id_column: str = "id", dimensions: int = DIMENSIONS, wide: bool = False) -> DataFrame:
+    """id, bucket, value: hashed word counts of each text at length one, one row per bucket in use.
+
+    Buckets follow from 32 bits of a word's hash, or from all 128 (``wide``).
+    """
+    return _unit_vectors(df, id_column, dimensions, V.wide_bucket if wide else V.bucket).select("id", "bucket", F.round("value", 6).alias("value"))
+
+
+def tile_vectors(df: DataFrame, dimensions: int = 128) -> DataFrame:
+    """id and vector of each tile (id, content): a random direction of length one that follows from the content's hash.
+
+    Equal contents have equal vectors, different ones are nearly at right angles. Null content gives null.
+    """
+
+    @F.pandas_udf("array<double>")
+    def directions(seeds: pd.Series) -> pd.Series:
+        def one(seed):
+            if seed is None or pd.isna(seed):
+                return None
+            v = np.random.default_rng(int(seed)).standard_normal(dimensions)
+            return v / np.linalg.norm(v)
+
+        return seeds.map(one)
+
+    seed = F.conv(F.substring(F.sha2("content", 256), 1, 8), 16, 10).cast("bigint")
+    return df.select("id", directions(seed).alias("vector"))
 
 
 def semantic_score(df: DataFrame, key: str = "canonical", dimensions: int = DIMENSIONS) -> DataFrame:

@@ -7,10 +7,12 @@ name and ranked together. A body that can't be parsed gives no rows.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.dedup import first_by
+from tessera.operators.positions import grouped_positions
 
 CANDIDATE = ["query_id", "goal_id", "provider", "provider_rank", "url", "title", "snippet", "source_type", "published_at", "authority_prior"]
 
@@ -126,7 +128,112 @@ def general(answers: DataFrame, most: int = 20) -> DataFrame:
     return _rows(kept, "general", x["url"], F.coalesce(x["title"], F.lit("")), F.substring(F.coalesce(x["snippet"], F.lit("")), 1, 400), role, F.lit(None), F.lit(0.85))
 
 
-READERS = {f.__name__: f for f in (openalex, crossref, semantic_scholar, arxiv, europe_pmc, pubmed, wikipedia, github, general)}
+def regional(answers: DataFrame, most: int = 20) -> DataFrame:
+    """Two regional academic hubs; their answers come as rows of their own. The limit keeps the first hub first."""
+    x, empty = F.col("x"), F.lit("")
+    one = _items(answers, "response struct<docs:array<struct<uri_s:string,title_s:array<string>,abstract_s:array<string>,producedDateY_i:int,doiId_s:string>>>", "j.response.docs")
+    title = F.coalesce(F.try_element_at(x["title_s"], F.lit(1)), F.lit("HAL Research Document"))
+    text = F.concat(F.lit("[HAL EU Repository] "), F.substring(F.coalesce(F.try_element_at(x["abstract_s"], F.lit(1)), empty), 1, 300))
+    first = _rows(one, "regional", _first(F.concat(F.lit("https://doi.org/"), _first(x["doiId_s"])), x["uri_s"]), title, text, F.lit("PRIMARY_RESEARCH"), x["producedDateY_i"], F.lit(0.91))
+    two = _items(answers, "articles array<struct<link:string,name:string,annotation:string,year:int,journal:string>>", "j.articles")
+    link = F.when(x["link"].startswith("/"), F.concat(F.lit("https://cyberleninka.ru"), x["link"])).otherwise(x["link"])
+    text = F.concat(F.lit("["), F.coalesce(_first(x["journal"]), F.lit("КиберЛенинка")), F.lit(", "), F.coalesce(x["year"].cast("string"), empty), F.lit("] "), F.substring(F.coalesce(x["annotation"], empty), 1, 300))
+    second = _rows(two, "regional", link, F.coalesce(_first(x["name"]), F.lit("Научная статья")), text, F.lit("PRIMARY_RESEARCH"), x["year"], F.lit(0.90))
+    both = first.withColumn("hub", F.lit(0)).unionByName(second.withColumn("hub", F.lit(1)))
+    return grouped_positions(both, ["query_id", "goal_id"], [F.col("hub"), F.col("provider_rank"), F.col("url")], "_p").where(F.col("_p") < most).drop("hub", "_p")
+
+
+class _Results:
+    """Results of a page in either of two layouts: titles and snippets in blocks, or two columns of a table."""
+
+    def __init__(self) -> None:
+        self.blocks: list[list] = []  # address, title, snippet, number of the snippet
+        self.links: list[list[str]] = []
+        self.snippets: list[list[str]] = []
+        self.title: list[str] | None = None
+        self.number = 0
+
+    def start(self, tag, attrs, above):
+        names = attrs.get("class", "").split()
+        if tag == "a" and "result-link" in names:
+            self.links.append([attrs.get("href", ""), ""])
+        elif tag == "td" and "result-snippet" in names:
+            self.snippets.append(["", ""])
+        elif tag == "a" and any("result__title" in a.get("class", "").split() for _, a in above):
+            self.title = [attrs.get("href", ""), ""]
+        if "result__snippet" in names:
+            self.number += 1
+            self.blocks.append([*(self.title or ("", "")), "", self.number])  # without a title the address is empty
+            self.title = None
+
+    def text(self, data, above):
+        inside = {name for _, a in above for name in a.get("class", "").split()}
+        if "result-link" in inside:
+            self.links[-1][1] += data
+        elif "result-snippet" in inside:
+            self.snippets[-1][1] += data
+        elif "result__snippet" in inside:
+            self.blocks[-1][2] += data
+        elif "result__title" in inside and self.title is not None:
+            self.title[1] += data
+
+    def end(self, tag, attrs, above):
+        pass
+
+    def rows(self) -> list[tuple[str, str, str, int]]:
+        tidy = lambda x: " ".join(x.split())
+        if any(href for href, *_ in self.blocks):
+            return [(href, tidy(title), tidy(text), n) for href, title, text, n in self.blocks if href]
+        texts = [tidy(t) for _, t in self.snippets]
+        return [(href, tidy(title), texts[k] if k < len(texts) else "", k + 1) for k, (href, title) in enumerate(self.links)]
+
+
+def web_results(answers: DataFrame, most: int = 20) -> DataFrame:
+    """Result pages (HTML) in the block layout, else in the table layout; redirects unwrapped, http addresses off the engine's own host."""
+    from tessera.functions.urls import unwrapped
+    from tessera.operators.markup import walk
+
+    schema = "query_id string, goal_id string, href string, title string, snippet string, pos int"
+
+    def run(parts):
+        for part in parts:
+            out = []
+            for query, goal, body in zip(part["query_id"], part["goal_id"], part["body"]):
+                reader = _Results()
+                walk(body or "", reader)
+                out += [(query, goal, *row) for row in reader.rows()]
+            yield pd.DataFrame(out, columns=["query_id", "goal_id", "href", "title", "snippet", "pos"])
+
+    rows = answers.select("query_id", "goal_id", "body").mapInPandas(run, schema).withColumn("url", unwrapped(F.col("href")))
+    rows = rows.where(F.col("url").startswith("http") & ~F.contains("url", F.lit("duckduckgo.com")))
+    rows = rows.select("query_id", "goal_id", (F.col("pos") - 1).alias("pos"), "url", "title", "snippet")
+    kept = grouped_positions(rows, ["query_id", "goal_id"], [F.col("pos")], "_p").where(F.col("_p") < most)
+    return _rows(kept, "web_search", F.col("url"), F.col("title"), F.substring("snippet", 1, 300), F.lit("OFFICIAL_DOC"), F.lit(None), F.lit(0.70))
+
+
+IMAGE = ["query_id", "url", "caption", "alt", "width", "height", "source_domain", "license", "author"]
+
+
+def image_answers(answers: DataFrame) -> DataFrame:
+    """Image candidates of a media archive (files with descriptions) and of an encyclopedia (lead pictures of articles)."""
+    plain = lambda c: F.trim(F.regexp_replace(c, "<[^>]+>", ""))
+    value = "struct<value:string>"
+    meta = ",".join(f"{n}:{value}" for n in ("ObjectName", "ImageDescription", "LicenseShortName", "UsageTerms", "Artist", "Author", "Credit"))
+    schema = f"query struct<pages:map<string,struct<title:string,imageinfo:array<struct<url:string,width:int,height:int,extmetadata:struct<{meta}>>>,thumbnail:struct<source:string,width:int,height:int>>>>"
+    rows = answers.select("query_id", F.explode(F.map_values(F.from_json("body", schema)["query"]["pages"])).alias("x"))
+    info, thumb = F.try_element_at(F.col("x.imageinfo"), F.lit(1)), F.col("x.thumbnail")
+    title = F.coalesce(F.col("x.title"), F.lit(""))
+    name = F.replace(F.replace(title, F.lit("File:"), F.lit("")), F.lit("_"), F.lit(" "))
+    told = lambda *names: _first(*[info["extmetadata"][n]["value"] for n in names])
+    caption = F.coalesce(_first(F.substring(plain(F.coalesce(told("ObjectName", "ImageDescription"), name)), 1, 200)), name)
+    licence = F.coalesce(_first(F.trim(told("LicenseShortName", "UsageTerms"))), F.lit("UNKNOWN_LICENSE"))
+    author = F.coalesce(_first(plain(told("Artist", "Author", "Credit"))), F.lit("UNKNOWN_AUTHOR"))
+    files = rows.select("query_id", info["url"].alias("url"), caption.alias("caption"), name.alias("alt"), info["width"].alias("width"), info["height"].alias("height"), F.lit("commons.wikimedia.org").alias("source_domain"), licence.alias("license"), author.alias("author"))
+    leads = rows.select("query_id", thumb["source"].alias("url"), F.concat(title, F.lit(" - Main Diagram/Photo")).alias("caption"), title.alias("alt"), thumb["width"].alias("width"), thumb["height"].alias("height"), F.lit("en.wikipedia.org").alias("source_domain"), F.lit("CC BY-SA 4.0").alias("license"), F.lit("Wikipedia Contributors").alias("author"))
+    return files.unionByName(leads).where("url <> ''").select(*IMAGE)
+
+
+READERS = {f.__name__: f for f in (openalex, crossref, semantic_scholar, arxiv, europe_pmc, pubmed, wikipedia, github, general, regional, web_results)}
 
 
 def discover(answers: dict[str, DataFrame], domain: str | None = None, opt_in: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -167,5 +274,13 @@ def open_access(pages: DataFrame, by_doi: DataFrame, by_title: DataFrame) -> Dat
 
 
 def json_lines(spark, path: str, schema: str) -> DataFrame:
-    """JSON lines with a declared schema; lines that don't parse are dropped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """JSON lines with a declared schema; a line that doesn't parse has nulls and stands in ``_corrupt_record``."""
+    return spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
+
+
+def pool(preferred: DataFrame, found: DataFrame, fallback: str) -> DataFrame:
+    """Preferred and found addresses (url, pos) in order, each once; ``fallback`` alone where there is none."""
+    some = merged_seeds(preferred, found)
+    spare = some.sparkSession.createDataFrame([(fallback, 2, 0)], "url string, origin int, pos int")
+    none = some.limit(1).agg(F.count("*").alias("n")).where("n = 0").select()
+    return some.unionByName(spare.join(none).select("url", "origin", "pos"))  # one row at most on either side

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions.urls import authority
 from tessera.operators.dedup import first_by
+from tessera.operators.positions import grouped_positions
 
 
 def dataset_rows(chunks: DataFrame, query: str, domain: str | None = None) -> DataFrame:
@@ -44,7 +45,7 @@ def notes(documents: DataFrame, query: str, captured: str) -> DataFrame:
     title = F.coalesce(F.when(F.col("title") != "", F.col("title")), F.concat(F.lit("Source "), F.col("n").cast("string")))
     net, text = authority(F.coalesce("url", F.lit(""))), F.coalesce(F.when(F.col("markdown") != "", F.col("markdown")), F.lit("No content extracted."))
     name = F.concat(F.lpad(F.col("n").cast("string"), 2, "0"), F.lit("_"), T.slug(title))
-    lines = [F.lit("---"), F.concat(F.lit("title: "), F.to_json(F.array(title)).substr(2, 10_000)), F.concat(F.lit("source_url: "), F.col("url")), F.concat(F.lit("domain: "), net), F.lit(f"date_captured: {captured}"), F.lit("---"), F.lit(""), F.concat(F.lit("# "), title), F.lit(""), text, F.lit(""), F.lit(f"- [[00_Index|Back to index: {query}]]")]
+    lines = [F.lit("---"), F.lit(""), F.concat(F.lit("source_url: "), F.col("url")), F.concat(F.lit("domain: "), net), F.lit(f"date_captured: {captured}"), F.lit("---"), F.lit(""), F.concat(F.lit("# "), title), F.lit(""), text, F.lit(""), F.lit(f"- [[00_Index|Back to index: {query}]]")]
     lines[1] = F.concat(F.lit('title: "'), F.replace(title, F.lit('"'), F.lit('\\"')), F.lit('"'))
     return documents.select(name.alias("name"), F.concat_ws("\n", *lines).alias("content"))
 
@@ -61,6 +62,53 @@ def citations(documents: DataFrame, query: str, accessed: str) -> DataFrame:
     return documents.select("n", csl.alias("csl"), ris.alias("ris"))
 
 
+def graph_corpus(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """value: one JSON object a node and an edge, told apart by ``record``, for one text file."""
+    rows = [df.select(F.to_json(F.struct(F.lit(kind).alias("record"), *df.columns)).alias("value")) for kind, df in (("node", nodes), ("edge", edges))]
+    return rows[0].unionByName(rows[1])
+
+
+def markdown_files(documents: DataFrame, path: str) -> None:
+    """A Markdown file of each document (name, content) under ``path``, written where the rows are.
+
+    ``path`` is a folder that all executors reach; a name counts once.
+    """
+
+    def write(rows):
+        os.makedirs(path, exist_ok=True)
+        for r in rows:
+            target = os.path.join(path, f"{os.path.basename(r.name)}.md")
+            with open(f"{target}.part", "w", encoding="utf-8") as f:
+                f.write(r.content)
+            os.replace(f"{target}.part", target)  # a task that runs again writes the same file
+
+    documents.select("name", "content").foreachPartition(write)
+
+
+def migrate(spark, base: str, steps: list, target: int | None = None) -> DataFrame:
+    """A table at ``base`` brought to version ``target`` (the last, if none) by ``steps``, functions from table to table.
+
+    Version n is a table of its own made by step n of version n - 1 (step 1 gets None); versions that
+    are there are not made again, and an older target reads the older table.
+    """
+    target = len(steps) if target is None else target
+    current = None
+    for n, step in enumerate(steps[:target], 1):
+        path = f"{base}/v{n}"
+        try:
+            current = spark.read.parquet(path)
+        except Exception:  # not made yet
+            step(current).write.parquet(path)
+            current = spark.read.parquet(path)
+    return current
+
+
+def push(queue: DataFrame, requests: DataFrame, capacity: int) -> DataFrame:
+    """Requests (seq, ...) with pushed: in the order of seq as many as the queue has room for, given its rows."""
+    room = max(0, capacity - queue.count())
+    return grouped_positions(requests, [], [F.col("seq")], "_p").withColumn("pushed", F.col("_p") < room).drop("_p")
+
+
 def store_contents(contents: DataFrame, path: str) -> DataFrame:
     """Write contents (content binary) once each under their SHA-256, parted by its first two digits; returns what was new."""
     spark = contents.sparkSession

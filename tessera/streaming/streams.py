@@ -5,7 +5,9 @@ State is kept per key in the state store; time is the events' own, so a replay g
 
 from __future__ import annotations
 
+import atexit
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from typing import Any
 
@@ -13,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import shared_dir
+from tessera.session import remove, shared_dir
 
 EVENT = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -32,6 +34,7 @@ def replay(stream: DataFrame, mode: str = "append") -> DataFrame:
     """
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, base)
     writer = stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).outputMode(mode)
     if mode == "append":
         writer.format("parquet").option("path", f"{base}/rows").start().awaitTermination()
@@ -99,6 +102,8 @@ def frontier(stream: DataFrame, lease: float = 30.0, active: int = 3, attempts:
     add queues a request (again: the higher priority counts); next leases the first by priority and
     age unless ``active`` leases run; done ends one; fail queues it again with less priority, or ends
     it as DEAD after ``attempts``. A lease that has run out (its end at or before now) is queued again.
+    An ended request is forgotten, so the state holds what is open; to keep it from coming back put
+    ``distinct_events`` before.
     """
 
     def step(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -128,12 +133,96 @@ def frontier(stream: DataFrame, lease: float = 30.0, active: int = 3, attempts:
                 found[4] += 1
                 found[1], found[2] = ("DEAD", found[2]) if found[4] > attempts else ("QUEUED", found[2] - penalty)
             out.append((key[0], seq, action, found[0] if found else None, found[1] if found else "NONE", found[2] if found else None))
+            if found is not None and found[1] in ("DONE", "DEAD"):
+                del held[found[0]]
         state.update(([tuple(r) for r in held.values()],))
         yield pd.DataFrame(out, columns=["domain", "seq", "action", "request", "state", "priority"])
 
     return stream.groupBy("domain").applyInPandasWithState(step, LEASES, QUEUE, "append", "NoTimeout")
 
 
+RANKED = "run string, seq bigint, action string, url string, state string, priority double, attempt int, goals array<string>"
+CANDIDATES = "clock bigint, items array<struct<url:string,domain:string,goals:array<string>,priority:double,turn:bigint,state:string,attempt:int,expires:double>>"
+
+
+def ranked_frontier(stream: DataFrame, lease: float = 30.0, active: int = 3, attempts: int = 4, penalty: float = 0.10, floor: float = 0.05, capacity: int = 10_000) -> DataFrame:
+    """Decisions of a ranked queue per run from commands (run, seq, ts, action, url, domain, goal, priority).
+
+    add queues a candidate; for a known one it adds the goal and keeps the higher priority; beyond
+    ``capacity`` waiting ones it is REFUSED. next leases the first by priority, of equal ones the one
+    that came in first, passing over domains with ``active`` leases; if all are, the first of all.
+    A lease whose end is before now (not at it) is queued again. retry queues a candidate again with
+    less priority (not under ``floor``), or ends it as FAILED at ``attempts``; done and fail end it.
+    An ended candidate is forgotten, so the state holds at most ``capacity`` and the open leases.
+    """
+    waiting_states = ("QUEUED", "RETRY")
+
+    def step(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values(["ts", "seq"])
+        clock, old = state.get if state.exists else (0, [])
+        names = ("url", "domain", "goals", "priority", "turn", "state", "attempt", "expires")
+        held = {r[0]: dict(zip(names, r)) | {"goals": list(r[2])} for r in old}
+        out = []
+        for seq, ts, action, url, domain, goal, priority in zip(rows["seq"], rows["ts"], rows["action"], rows["url"], rows["domain"], rows["goal"], rows["priority"]):
+            now, clock = ts.timestamp(), clock + 1
+            found = held.get(url)
+            told = found["state"] if found else "NONE"
+            if action == "add":
+                if found is not None:
+                    if goal and goal not in found["goals"]:
+                        found["goals"].append(goal)
+                    if priority > found["priority"]:
+                        found["priority"] = float(priority)
+                        found["turn"] = clock if found["state"] in waiting_states else found["turn"]
+                elif sum(r["state"] in waiting_states for r in held.values()) >= capacity:
+                    told = "REFUSED"
+                else:
+                    found = held[url] = dict(zip(names, (url, domain, [goal] if goal else [], float(priority), clock, "QUEUED", 0, 0.0)))
+                    told = "QUEUED"
+            elif action == "next":
+                for r in held.values():
+                    if r["state"] == "LEASED" and r["expires"] < now:
+                        r["state"], r["expires"], r["turn"] = "QUEUED", 0.0, clock
+                leased = Counter(r["domain"] for r in held.values() if r["state"] == "LEASED")
+                order = sorted((r for r in held.values() if r["state"] in waiting_states), key=lambda r: (-r["priority"], r["turn"]))
+                found = next((r for r in order if leased[r["domain"]] < active), order[0] if order else None)
+                told = "NONE"
+                if found is not None:
+                    told = found["state"] = "LEASED"
+                    found["attempt"], found["expires"] = found["attempt"] + 1, now + lease
+            elif found is not None:
+                found["expires"] = 0.0
+                if action == "retry" and found["attempt"] < attempts:
+                    found["state"], found["priority"], found["turn"] = "RETRY", max(floor, found["priority"] - penalty), clock
+                    told = "RETRY"
+                else:
+                    told = "DONE" if action == "done" else "FAILED"
+                    del held[url]
+            out.append((key[0], seq, action, found["url"] if found else url, told, found and round(found["priority"], 6), found and found["attempt"], list(found["goals"]) if found else None))
+        state.update((clock, [tuple(r[n] for n in names) for r in held.values()]))
+        yield pd.DataFrame(out, columns=["run", "seq", "action", "url", "state", "priority", "attempt", "goals"])
+
+    return stream.groupBy("run").applyInPandasWithState(step, RANKED, CANDIDATES, "append", "NoTimeout")
+
+
+def near_duplicates_as_they_come(stream: DataFrame, path: str, distance: int = 3) -> None:
+    """Run ``stream`` (id bigint, text) and keep a table of clusters at ``path`` that each batch is joined to.
+
+    Version n of the table is ``path``/n: id, fingerprint, cluster of all rows up to batch n - 1.
+    """
+    from tessera.operators.dedup import incremental_clusters, simhash
+
+    spark = stream.sparkSession
+
+    def add(batch: DataFrame, number: int) -> None:
+        new = simhash(batch, "id")
+        known = spark.read.parquet(f"{path}/{number}") if number else spark.createDataFrame([], "id bigint, fingerprint bigint, cluster bigint")
+        incremental_clusters(known, new, distance).write.mode("overwrite").parquet(f"{path}/{number + 1}")
+
+    writer = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    writer.foreachBatch(add).start().awaitTermination()
+
+
 BUDGET = "pages bigint, bytes bigint"
 SPENT = "job string, seq bigint, admitted boolean, pages bigint, bytes bigint"
 

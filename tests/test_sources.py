@@ -41,6 +41,48 @@ def test_other_services(spark):
     assert [(r.url, r.provider_rank, r.source_type) for r in web] == [("https://arxiv.org/1", 2, "PRIMARY_RESEARCH")]
 
 
+def test_regional_and_web_pages(spark):
+    hal = {"response": {"docs": [{"uri_s": "https://hal.x/1", "title_s": ["T"], "abstract_s": ["A"], "producedDateY_i": 2020, "doiId_s": "10.1/a"}, {"uri_s": "https://hal.x/2"}, {"uri_s": ""}]}}
+    cis = {"articles": [{"link": "/article/n/1", "name": "", "annotation": "B", "year": None, "journal": "J"}, {"link": None}]}
+    rows = providers.regional(answers(spark, hal, cis, "bad")).orderBy(F.desc("authority_prior"), "provider_rank").collect()
+    assert [(r.url, r.title, r.snippet, r.authority_prior) for r in rows[:1]] == [("https://doi.org/10.1/a", "T", "[HAL EU Repository] A", 0.91)]
+    assert (rows[-1].url, rows[-1].title, rows[-1].snippet, rows[-1].authority_prior) == ("https://cyberleninka.ru/article/n/1", "Научная статья", "[J, ] B", 0.90)
+    assert {r.url for r in providers.regional(answers(spark, hal, cis), most=2).collect()} == {"https://doi.org/10.1/a", "https://hal.x/2"}
+    blocks = "<div class='result'><h2 class='result__title'><a href='//duckduckgo.com/l/?uddg=https%3A%2F%2Fa.x%2F1&x=1'>One <b>two</b></a></h2><a class='result__snippet' href='z'>First <b>text</b></a></div><div><a class='result__snippet'>No title</a></div><div><h2 class='result__title'><a href='https://b.y/'>B</a></h2><div class='result__snippet'>S</div></div>"
+    table = "<table><tr><td><a class='result-link' href='https://c.z/'>C</a></td></tr><tr><td class='result-snippet'>Text of c</td></tr><tr><td><a class='result-link' href='ftp://d'>D</a></td></tr></table>"
+    got = providers.web_results(answers(spark, blocks)).orderBy("provider_rank").collect()
+    assert [(r.url, r.title, r.snippet, r.provider_rank) for r in got] == [("https://a.x/1", "One two", "First text", 1), ("https://b.y/", "B", "S", 3)]
+    assert [(r.url, r.title, r.snippet, r.provider_rank) for r in providers.web_results(answers(spark, table, None)).collect()] == [("https://c.z/", "C", "Text of c", 1)]
+
+
+def test_image_answers(spark):
+    pages = {"1": {"title": "File:A_map.png", "imageinfo": [{"url": "https://u/a.png", "width": 900, "height": 600, "extmetadata": {"ImageDescription": {"value": "<b>Old map</b>"}, "Artist": {"value": "<i>N</i>"}}}]}, "2": {"title": "Maps", "thumbnail": {"source": "https://u/t.png", "width": 10, "height": 20}}, "3": {"title": "none"}}
+    rows = {r.url: r for r in providers.image_answers(answers(spark, {"query": {"pages": pages}}, "x")).collect()}
+    assert (rows["https://u/a.png"].caption, rows["https://u/a.png"].alt, rows["https://u/a.png"].author, rows["https://u/a.png"].license) == ("Old map", "A map.png", "N", "UNKNOWN_LICENSE")
+    assert rows["https://u/t.png"].caption == "Maps - Main Diagram/Photo" and len(rows) == 2
+
+
+def test_pool_falls_back(spark):
+    none = spark.createDataFrame([], "url string, pos int")
+    some = spark.createDataFrame([("u", 0)], "url string, pos int")
+    assert [r.url for r in providers.pool(none, none, "spare").collect()] == ["spare"]
+    assert [r.url for r in providers.pool(none, some, "spare").collect()] == ["u"]
+
+
+def test_tables_by_version_and_queue(spark, tmp_path):
+    steps = [lambda _: spark.range(3).toDF("id"), lambda t: t.withColumn("x", F.col("id") * 2)]
+    base = str(tmp_path / "t")
+    assert sinks.migrate(spark, base, steps).columns == ["id", "x"] and sinks.migrate(spark, base, steps, 1).columns == ["id"]
+    queue, new = spark.range(3), spark.createDataFrame([(i,) for i in range(5)], "seq int")
+    assert {r.seq: r.pushed for r in sinks.push(queue, new, 5).collect()} == {0: True, 1: True, 2: False, 3: False, 4: False}
+    sinks.markdown_files(spark.createDataFrame([("a", "# A"), ("b", "B")], "name string, content string"), str(tmp_path / "md"))
+    assert (tmp_path / "md" / "a.md").read_text() == "# A"
+    lines = tmp_path / "lines.json"
+    lines.write_text('{"id": "1"}\nnot json\n')
+    assert sorted((r.id, r._corrupt_record) for r in providers.json_lines(spark, str(lines), "id string").cache().collect() if r.id) == [("1", None)]
+    assert providers.json_lines(spark, str(lines), "id string").cache().where("_corrupt_record is not null").count() == 1
+
+
 def test_discover_keeps_the_first_of_each_address(spark):
     one = answers(spark, {"items": [{"html_url": "https://a.x/1", "full_name": "n"}, {"html_url": "https://b.y/2", "full_name": "m"}]})
     two = answers(spark, {"results": [{"url": "https://a.x/1", "title": "T"}, {"url": "https://sub.a.x/3", "title": "T"}]})
@@ -116,8 +158,12 @@ def test_media(spark):
     df = spark.createDataFrame([(1, "https://s.x/p/", bytearray(html)), (2, None, None)], "artifact_id bigint, url string, raw_content binary")
     rows = media.images(df).orderBy("position").collect()
     assert [(r.url, r.origin, r.width) for r in rows] == [("https://s.x/og.png", "meta", None), ("https://s.x/p/l.jpg", "img", 700), ("https://s.x/p/p.webp", "picture", None)]
-    scored = media.images(df).withColumn("score", media.image_score(F.col("alt"), F.lit("red map"), F.col("width"), F.col("height"), F.lit(0.9)))
-    assert [r.url for r in scored.where(media.accepted(F.col("url"), F.col("width"), F.col("height"), F.col("score"))).collect()] == ["https://s.x/p/l.jpg"]
+    pictures = media.images(df).select(F.lit("q").alias("query_id"), F.lit("red map").alias("query"), "url", "position", F.lit("").alias("caption"), "alt", F.lit("en.wikipedia.org").alias("source_domain"), F.lit(False).alias("primary"), "width", "height")
+    assert [(r.url, r.relevance, r.place) for r in media.ranked_images(pictures).collect()] == [("https://s.x/p/l.jpg", 1.0, 0)]
+    no_query = pictures.withColumn("query", F.lit(""))
+    assert [r.url for r in media.ranked_images(no_query).orderBy("place").collect()] == ["https://s.x/p/l.jpg", "https://s.x/p/p.webp", "https://s.x/og.png"]
+    kinds = spark.createDataFrame([(bytearray(b"\xff\xd8\xff\xe0"),), (bytearray(b"RIFF1234WEBP"),), (bytearray(b"%PDF-1.4"),), (bytearray(b"<html>"),), (None,)], "c binary").select(media.magic_kind(F.col("c")).alias("k")).collect()
+    assert [r.k for r in kinds] == ["jpg", "webp", "pdf", None, None]
     links = spark.createDataFrame([(1, "https://a/x.pdf?y"), (1, "https://arxiv.org/abs/7"), (1, "https://a/x")], "artifact_id bigint, url string")
     assert {r.url for r in media.document_files(links).collect()} == {"https://a/x.pdf?y", "https://arxiv.org/pdf/7"}
     cover = media.tiles(spark.createDataFrame([(1, 1000, 300), (2, 0, 5)], "id int, width int, height int")).collect()
