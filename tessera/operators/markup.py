@@ -269,4 +269,4 @@ def markdown(pages: DataFrame) -> DataFrame:
 
 def sitemap_urls(df: DataFrame) -> DataFrame:
     """url of each loc element of sitemaps (xml)."""
-    return df.select(F.explode(F.xpath("xml", F.lit("//*[local-name()='loc']/text()"))).alias("url")).where(F.col("url").startswith("http")).select(F.trim("url").alias("url"))
+    return df.select(F.explode(F.xpath("xml", F.lit("//*[local-name()='loc']/text()"))).alias("url")).select(F.trim("url").alias("url")).where(F.col("url").startswith("http"))

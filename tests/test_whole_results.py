@@ -6,7 +6,11 @@ import hashlib
 import math
 from collections import Counter
 
-from tessera.operators import graphs, retrieval
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.functions import text as T
+from tessera.operators import acquisition, graphs, metrics, retrieval
 from tessera.plans import catalog, ranking_queries, text_queries
 from tessera.plans import sql as S
 
@@ -53,3 +57,47 @@ def test_edited_copies_on_other_hosts_are_syndicated(spark, tmp_path):
     alone = "INDEPENDENT_CORROBORATION"
     assert got == {0: "PRIMARY_SOURCE", 1: "SYNDICATED_COPY", 2: alone, 3: alone, 4: alone, 5: "SAME_PUBLISHER"}
     assert catalog.QUERIES["independent_sources_copies"](spark, str(tmp_path)).first().independent_sources == 4
+
+
+def test_hashes_ignore_compatibility_forms(spark, tiny):
+    import re
+    import unicodedata
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").collect()}
+    docs_ = spark.createDataFrame([(1, "Ａｂｃ ﬁne"), (2, "abc fine"), (3, None), (4, "")], "doc_id bigint, text string")
+
+    def want(text):
+        plain = re.sub("\n+", "\n", re.sub("[ \t]+", " ", unicodedata.normalize("NFKC", text or "")))
+        return hashlib.sha256(re.sub(r"^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$", "", plain).lower().encode()).hexdigest()
+
+    got = {r.doc_id: r.content_hash for r in catalog.QUERIES["normalised_hashes"](spark, tiny).collect()}
+    assert got == {k: want(t) for k, t in docs.items()}
+    hashes = {r.doc_id: r.h for r in docs_.select("doc_id", T.content_hash(T.compatible(F.col("text"))).alias("h")).collect()}
+    assert hashes[1] == hashes[2] and hashes[3] == hashes[4]
+
+
+def test_links_to_follow(spark):
+    rows = [
+        ("p", "https://a.x/1", 0.5, False, False), ("p", "https://a.x/1#top", 0.9, False, False), ("p", "https://a.x/2", 0.9, False, False), ("p", "https://a.x/3", 0.95, True, False), ("p", "https://a.x/4", 0.95, False, True),
+        ("p", "https://a.x/file.pdf", 0.99, False, False), ("p", "https://a.x/login", 0.99, False, False), ("p", "https://a.x/", 0.99, False, False), ("p", "https://a.x/5", 0.1, False, False), ("q", "https://a.x/1", 0.1, False, False), ("q", None, 1.0, False, False),
+    ]
+    got = acquisition.expansion_links(spark.createDataFrame(rows, "page string, url string, score double, is_navigation boolean, is_footer boolean"), 2)
+    assert sorted((r.page, r.place, r.canonical) for r in got.collect()) == [("p", 0, "https://a.x/2"), ("p", 1, "https://a.x/1"), ("q", 0, "https://a.x/1")]
+
+
+def test_a_missing_capability_is_an_error():
+    assert metrics.require({"search": "enabled"}, "search") == "enabled"
+    for name in ("ocr", "unknown"):
+        with pytest.raises(metrics.CapabilityUnavailable):
+            metrics.require({"ocr": "disabled"}, name)
+
+
+def test_running_sums_of_a_hot_group(spark):
+    rows = [("hot", i, i % 7 if i % 5 else None) for i in range(3000)] + [("cold", 1, 5), (None, 1, 2)]
+    got = {(r.job, r.seq): (r.n, r.total, r.mean) for r in metrics.running_totals(spark.createDataFrame(rows, "job string, seq int, bytes int")).collect()}
+    total = known = 0
+    for n, (job, seq, b) in enumerate(rows[:3000], 1):
+        total, known = total + (b or 0), known + (b is not None)
+        assert got[job, seq] == (n, total if known else None, round(total / known, 6) if known else None)
+    assert got["cold", 1] == (1, 5, 5.0) and got[None, 1] == (1, 2, 2.0)
+    assert metrics.running_totals(spark.createDataFrame([], "job string, seq int, bytes int")).count() == 0
