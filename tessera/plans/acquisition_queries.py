@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from tessera.operators import acquisition, classify, metrics, ranking
 from tessera.plans import research
 from tessera.plans import sql as S
 from tessera.plans.ranking_queries import _HITS, hits
+from tessera.session import remove, shared_dir
 from tessera.sources import providers, sinks, table
 
 
@@ -70,13 +74,16 @@ def dataset_export(spark: SparkSession, d: str) -> DataFrame:
 
 def citation_export(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("int").alias("n"), "url", F.split("text", "\n")[0].alias("title"), F.col("text").alias("markdown"))
-    return sinks.citations(docs, "q", "2025-01-02")
+    csl = lambda name: F.get_json_object("csl", f"$.{name}")
+    return sinks.citations(docs, "q", "2025-01-02").select("n", F.md5("ris").alias("ris"), csl("id").alias("id"), F.md5(csl("title")).alias("title"), csl("container-title").alias("host"), csl("accessed.date-parts").alias("accessed"))
 
 
 def content_hashes(spark: SparkSession, d: str) -> DataFrame:
-    """What a content store would hold: each content once, by its hash and shard."""
-    rows = table(spark, d, "captured_artifacts").where("raw_content is not null").select(F.sha2("raw_content", 256).alias("content_hash"), F.length("raw_content").alias("bytes")).distinct()
-    return rows.groupBy(F.substring("content_hash", 1, 1).alias("shard")).agg(F.count("*").alias("contents"), F.sum("bytes").alias("bytes"))
+    """What a content store holds after captures were written to it: each content once, by its hash and shard."""
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    sinks.store_contents(table(spark, d, "captured_artifacts").select(F.col("raw_content").alias("content")), path)
+    return spark.read.parquet(path).groupBy(F.substring("prefix", 1, 1).alias("shard")).agg(F.count("*").alias("contents"), F.sum(F.length("content")).alias("bytes"))
 
 
 def extraction_quality(spark: SparkSession, d: str) -> DataFrame:
@@ -103,6 +110,8 @@ ORACLE = {
     "general_results": f"""with {_HITS} select id as query_id, query_id as goal_id, url, coalesce(title, '') as title, md5(substr(coalesce(text, ''), 1, 400)) as snippet, case when regexp_matches(url, '{"|".join(p.replace(".", "[.]") for p in providers.RESEARCH_PARTS)}') then 'PRIMARY_RESEARCH' else 'OFFICIAL_DOC' end as source_type, 1 as provider_rank from h where starts_with(url, 'http')""",
     "inverted_abstracts": f"""with {_HITS} select id as query_id, url, case when title <> '' then substr(title, 1, 350) else 'Published in 2020, Cited by ' || (length(text) % 200) || ' researchers.' end as snippet, case when contains(lower(title), 'review') then 'SYSTEMATIC_REVIEW' else 'PRIMARY_RESEARCH' end as source_type,
       case when length(text) % 200 > 150 then 0.99 when length(text) % 200 > 30 then 0.95 else 0.93 end::double as authority_prior from h where {_TITLES} and url <> ''""",
+    "citation_export": f"""with t as (select doc_id::int as n, url, {S.authority("coalesce(url, '')")} as net, case when string_split(text, chr(10))[1] <> '' then string_split(text, chr(10))[1] else 'Document ' || doc_id end as title, coalesce(text, '') as text, 'ref_' || case when length(doc_id::varchar) < 3 then lpad(doc_id::varchar, 3, '0') else substr(doc_id::varchar, 1, 3) end as id from documents)
+      select n, id, md5(title) as title, net as host, '[[2025,1,2]]' as accessed, md5('TY  - ELEC' || chr(10) || 'ID  - ' || id || chr(10) || 'TI  - ' || title || chr(10) || 'UR  - ' || coalesce(url, '') || chr(10) || 'PB  - ' || net || chr(10) || 'AB  - ' || replace(substr(text, 1, 600), chr(10), ' ') || chr(10) || 'Y2  - 2025/01/02' || chr(10) || 'KW  - q' || chr(10) || 'ER  - ') as ris from t""",
     "dataset_export": f"select chunk_id as id, md5({S.sanitised('text')}) as text, source_url, 'Global' as domain from rag_chunks",
     "content_hashes": "select substr(h, 1, 1) as shard, count(*) as contents, sum(n)::bigint as bytes from (select distinct sha256(raw_content) as h, octet_length(raw_content) as n from captured_artifacts where raw_content is not null) group by 1",
     "extraction_quality": """select content_id, round(0.3::double * (cast(starts_with(m, '# ') as int) + cast(t > 0 as int)) / 2 + 0.2::double * cast(t > 0 as int) + 0.2::double * greatest(0.1, least(1, length(m) / 50000.0::double)) + 0.15::double * cast(m <> '' as int) + 0.15::double * cast(starts_with(m, '# ') or t > 0 as int), 6) as score

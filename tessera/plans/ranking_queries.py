@@ -293,6 +293,12 @@ _RELATED = f"""l as (select doc_id as seq, {S.authority('url')} as domain, case
   m as (select *, min(seq) over (partition by domain) as d, min(seq) over (partition by hash) as hh, min(seq) over () as f from l),
   o as (select seq as source_id, domain, case when domain is not null and d < seq then d end as d, case when hash is not null and hh < seq then hh end as hh, seq = f as top from m),
   related as (select source_id, domain, case when d = least(d, hh) then 'SAME_PUBLISHER' when hh = least(d, hh) then 'DERIVED_MIRROR' when top then 'PRIMARY_SOURCE' else 'INDEPENDENT_CORROBORATION' end as relation from o)"""
+_CLUSTERED = f"""s as materialized ({S.simhash("documents", "doc_id", S.tokens("text"))}), p as (select a.id as x, b.id as y from s a join s b on a.id <> b.id and a.u <> 0 and b.u <> 0 and bit_count(xor(a.u, b.u)) <= 3),
+  g(id, seen) as (select id, id from s union select g.id, p.y from g join p on g.seen = p.x), w as (select id, min(seen) as cluster, count(*) as size from g group by id),
+  l as (select doc_id as seq, {S.authority('url')} as domain, case when text is not null then sha256(text) end as hash, case when size > 1 then cluster end as c from documents left join w on doc_id = id),
+  m as (select *, min(seq) over (partition by domain) as d, min(seq) over (partition by hash) as hh, min(seq) over (partition by c) as cc, min(seq) over () as f from l),
+  o as (select seq as source_id, domain, case when domain is not null and d < seq then d end as d, case when hash is not null and hh < seq then hh end as hh, case when c is not null and cc < seq then cc end as cc, seq = f as top from m),
+  related as (select source_id, domain, case when d = least(d, hh, cc) then 'SAME_PUBLISHER' when hh = least(d, hh, cc) then 'DERIVED_MIRROR' when cc = least(d, hh, cc) then 'SYNDICATED_COPY' when top then 'PRIMARY_SOURCE' else 'INDEPENDENT_CORROBORATION' end as relation from o)"""
 _CLASS = f"""case when {S.any_of(f"lower({S.path('url')})", ranking.NAVIGATION_PATHS)} then 'navigation' when source_type in ({S.quoted(ranking.SECONDARY_TYPES)}) then 'secondary' when {S.authority('url')} in ({S.quoted(ranking.PREPRINT_HOSTS)}) then 'preprint'
   when source_type in ({S.quoted(ranking.OFFICIAL_TYPES)}) then 'official' when source_type = 'SOURCE_CODE' then 'dataset' when {S.any_of("lower(coalesce(title, ''))", ranking.SECONDARY_TITLES)} then 'secondary' else 'unknown' end"""
 _DENSITY = "least(0.2::double, 0.05::double * (" + " + ".join(f"cast(regexp_matches(coalesce(text, ''), '{p}') as int)" for p in ranking.EMPIRICAL_PATTERNS) + "))"
@@ -321,6 +327,13 @@ ORACLE = {
       union all select 'UNRESOLVED_CONTRADICTION', r.g, r.s, 0.95::double, r.s || ' meta-analysis systematic review clinical evidence' from st join o using (claim_id) where status = 'DISPUTED'""",
     "evidence_match": f"""with {_HITS}, m as (select id, lower(coalesce(text, '')) as low, list_distinct({S.tokens('title')}) as c, list_distinct({S.tokens('text')}) as e from h), n as (select *, len(list_intersect(c, e)) / greatest(len(c), 1) as o, {S.any_of('low', evidence.CONTRADICTION_MARKERS)} as a, {S.any_of('low', evidence.QUALIFICATION_MARKERS)} as p from m)
       select id, case when a then 'CONTRADICTS' when p then 'QUALIFIES' else 'SUPPORTS' end as relation, round(case when a then 0.85 when p then 0.75 when o >= 0.3 then least(1, 0.6::double + o * 0.4::double) else 0.5 end, 6) as strength from n""",
+    "budget_admission": """with recursive r as (select user_id::varchar as job, event_id as seq, (event_id % 100)::bigint as bytes, event_id % 5 as depth, row_number() over (partition by user_id order by event_id) as k from events),
+      f as (select job, seq, k, reason, case when reason is null then 1 else 0 end::bigint as n, case when reason is null then bytes else 0 end::bigint as used from (select *, case when depth > 3 then 'DEPTH' when bytes > 1500 then 'BYTES' end as reason from r where k = 1)
+        union all select job, seq, k, reason, n + case when reason is null then 1 else 0 end, used + case when reason is null then bytes else 0 end
+        from (select r.*, f.n, f.used, case when r.depth > 3 then 'DEPTH' when f.n + 1 > 40 then 'PAGES' when f.used + r.bytes > 1500 then 'BYTES' end as reason from f join r on r.job = f.job and r.k = f.k + 1))
+      select job, seq, reason is null as admitted, reason from f""",
+    "lineage_copies": f"with recursive {_CLUSTERED} select source_id, relation from related",
+    "independent_sources_copies": f"with recursive {_CLUSTERED} select count(distinct case when relation in ('PRIMARY_SOURCE', 'INDEPENDENT_CORROBORATION') then domain end) as independent_sources from related",
     "lineage": f"with {_RELATED} select source_id, relation from related",
     "independent_sources": f"with {_RELATED} select count(distinct case when relation in ('PRIMARY_SOURCE', 'INDEPENDENT_CORROBORATION') then domain end) as independent_sources from related",
     "source_quality": f"""with {_HITS}, s as (select url, {S.authority('url')} as domain, {_CLASS} as cls, score, case when coalesce(text, '') = '' then 0 else greatest(1, cast(ceil({S.word_count('text')} / 250) as bigint)) end as n, {S.any_of("lower(coalesce(title, ''))", evidence.REVIEW_TITLES)} as rev from h),

@@ -41,5 +41,9 @@ QUERIES = {f.__name__: f for f in (stream_totals, stream_distinct, stream_rate_l
 
 ORACLE = {
     "stream_totals": "select event_type, count(*) as n, count(*) filter (event_type = 'error') as errors from events group by event_type",
+    "stream_budgets": """with recursive r as (select user_id::varchar as job, event_id as seq, (event_id % 100)::bigint as bytes, row_number() over (partition by user_id order by ts, event_id) as k from events),
+      f as (select job, seq, k, bytes <= 1500 as ok, case when bytes <= 1500 then 1 else 0 end::bigint as n, case when bytes <= 1500 then bytes else 0 end::bigint as used from r where k = 1
+        union all select job, seq, k, ok, n + case when ok then 1 else 0 end, used + case when ok then bytes else 0 end from (select r.*, f.n, f.used, f.n + 1 <= 40 and f.used + r.bytes <= 1500 as ok from f join r on r.job = f.job and r.k = f.k + 1))
+      select job, seq, ok as admitted from f""",
     "stream_distinct": "select distinct event_id, event_type from events",
 }

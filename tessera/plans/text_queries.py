@@ -162,7 +162,36 @@ _PAIRS = f"select a.id as id_a, b.id as id_b, bit_count(xor(a.u, b.u)) as distan
 
 _SHINGLES = S.simhash("documents", "doc_id", "case when len(w) < 2 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end", f"(select *, list_filter({S.tokens('text')}, lambda t: length(t) > 1) as w from documents)")
 
+_NODES = f"""b as (select doc_id::varchar as doc_id, {S.sanitised("string_split(text, chr(10))[1]")} as title, coalesce(url, '') as url, 'prov_' || replace(case when {S.authority("coalesce(url, '')")} <> '' then {S.authority("coalesce(url, '')")} else 'unknown' end, '.', '_') as provenance, {S.sanitised("text")} as t from documents where text is not null),
+    p as (select doc_id, provenance, unnest(l) as q, unnest(range(len(l))) as i from (select *, list_filter(list_transform(string_split_regex(t, '\\n[\\s\\x0B]*\\n'), lambda x: {S.trimmed_ascii("x")}), lambda x: x <> '') as l from b)),
+    r as (select *, starts_with(q, '#') as head, substr(sha256(q), 1, 12) as digest from p where {S.word_count("q")} >= 4),
+    e as (select *, case when head then 'claim:' || doc_id || ':h_' else 'evidence:' || doc_id || ':p_' end || i || '_' || digest as node_id from r),
+    nodes as (select 'doc:' || doc_id as node_id, 'DOCUMENT' as kind, case when title <> '' then title else 'Document ' || url end as text, 1.0::double as belief, 0.9::double as quality, provenance from b
+      union all select node_id, case when head then 'PROPOSITION' else 'EVIDENCE' end, case when head then regexp_replace(regexp_replace(q, '^#+', ''), '^ +| +$', '', 'g') else q end, case when head then 0.95 else 0.90 end, case when head then 0.9 else 0.85 end, provenance from e)"""
+_CLEAN = r"regexp_replace(regexp_replace(array_to_string(list_transform(string_split_regex(replace(coalesce(clean_markdown, ''), chr(160), ' '), '\r\n|\n|\r'), lambda s: regexp_replace(s, '^[ \t]+|[ \t]+$', '', 'g')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^[\s\x0B]+|[\s\x0B]+$', '', 'g')"
+_TRIM = "regexp_replace(s, '^ +| +$', '', 'g')"
+
+
+def _stem(token: str, text: str) -> str:
+    stem = f"case when length({token}) >= 6 then substr({token}, 1, length({token}) - 2) else substr({token}, 1, length({token}) - 1) end"
+    return f"(contains({text}, {token}) or (length({token}) >= 4 and length({stem}) >= 3 and contains({text}, {stem})))"
+
+
 ORACLE = {
+    "markdown_cleaning": f"""with c as (select distinct content_id, {_CLEAN} as clean from extracted_content)
+        select content_id, md5(clean) as clean, md5(array_to_string(list_filter(string_split(clean, chr(10)), lambda s: not (regexp_matches({_TRIM}, '^[*\\-]?[\\s\\x0B]*\\[[^\\]]*\\]\\((/|#)[^)]*\\)$') and length({_TRIM}) < 35)), chr(10))) as fit from c""",
+    "kg_nodes": f"with {_NODES} select node_id, kind, md5(text) as text, belief, quality, provenance from nodes",
+    "kg_edges": f"with {_NODES} select 'doc:' || doc_id as from_node, node_id as to_node, case when head then 'derived_from' else 'evidence_for' end as relation from e",
+    "kg_search": f"""with {_NODES}, q as (select query_id, list_distinct(string_split(lower(query), ' ')) as words from (values {", ".join(f"({i}, '{q}')" for i, q in enumerate(S.QUERIES))}) v(query_id, query))
+        select * from (select query_id, node_id, len(list_filter(words, lambda w: contains(lower(text), w))) as matched from nodes cross join q) where matched > 0""",
+    "cosine_centre": """with p as (select label, i, avg(round(v::double, 6)) as m from (select label, unnest(embedding) as v, unnest(range(len(embedding))) as i from embeddings) group by all), c as (select label, list(m order by i) as centre from p group by label)
+        select vec_id, label, round(greatest(0, least(1, list_cosine_similarity(list_transform(embedding, lambda x: x::double), centre))), 4) as similarity from embeddings join c using (label)""",
+    "document_relevance": f"""with d as (select doc_id, lower(coalesce(text, '')) as text, lower(coalesce(string_split(text, chr(10))[1], '')) as title, {S.tokens(f"[{S.quoted(S.QUERIES)}][doc_id % {len(S.QUERIES)} + 1]")} as q, lower([{S.quoted(S.ENTITIES)}][doc_id % {len(S.QUERIES)} + 1]) as e from documents),
+        a as (select *, list_filter(q, lambda t: length(t) > 2) as asked from d),
+        s as (select *, len(list_filter(asked, lambda t: {_stem("t", "text")})) / greatest(len(asked), 1) as cov, least(0.15::double, 0.05::double * len(list_filter(asked, lambda t: {_stem("t", "title")}))) as bonus, cast({_stem("e", "text")} or {_stem("e", "title")} as int) as ent,
+          0.5::double + case when len(list_filter(regexp_extract_all(text, '\\d+\\.\\d+|[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_matches(x, '^\\d+(\\.\\d+)?$'))) > 3 then 0.25 else 0 end + case when {S.any_of("text", classify.EVIDENCE_MARKERS)} then 0.25 else 0 end as dense from a),
+        r as (select doc_id, case when length({S.trimmed("text")}) < 50 then 0.0::double else least(1.0::double, round(0.45::double * cov + 0.35::double * ent + 0.15::double * dense + 0.05::double * (bonus / 0.15::double), 4)) end as relevance from s)
+        select doc_id, relevance, case when relevance >= 0.65 then 'HIGH' when relevance >= 0.35 then 'MEDIUM' when relevance >= 0.15 then 'LOW' else 'OFF_TOPIC' end as tier, relevance >= 0.15 as accepted from r""",
     "near_dup_12": f"""with s as ({_SHINGLES}), p as (select a.id as x, b.id as y from s a join s b on a.id < b.id and a.u <> 0 and b.u <> 0 and bit_count(xor(a.u, b.u)) <= 12),
         e as (select x as id, y as other from p union all select y, x from p)
         select s.id, count(other) as n_near, case when min(other) < s.id then min(other) end as near_dup_of from s left join e on s.id = e.id group by s.id""",

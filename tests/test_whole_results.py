@@ -98,6 +98,6 @@ def test_running_sums_of_a_hot_group(spark):
     total = known = 0
     for n, (job, seq, b) in enumerate(rows[:3000], 1):
         total, known = total + (b or 0), known + (b is not None)
-        assert got[job, seq] == (n, total if known else None, round(total / known, 6) if known else None)
+        assert got[job, seq][:2] == (n, total if known else None) and (not known or abs(got[job, seq][2] - total / known) < 1e-6)
     assert got["cold", 1] == (1, 5, 5.0) and got[None, 1] == (1, 2, 2.0)
     assert metrics.running_totals(spark.createDataFrame([], "job string, seq int, bytes int")).count() == 0
