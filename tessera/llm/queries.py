@@ -164,7 +164,25 @@ ranked as (select *, row_number() over (partition by query_id, site order by cas
 """
 _TOKENS = "greatest(1, cast(floor(1.3 * len(regexp_extract_all(%s, '\\S+'))) as bigint), cast(floor(length(%s) / 3.5) as bigint))"
 
+_PAIRS = """
+texts as (select distinct tbl, id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from (select 'rag_chunks' as tbl, chunk_id as id, text from rag_chunks union all select 'structured_chunks', chunk_id, text from structured_chunks) where id is not null and text is not null),
+triples as (select distinct tbl, id, unnest(list_transform(range(1, len(w) - 1), lambda i: hash(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) as t from texts where len(w) >= 3),
+sizes as (select tbl, id, count(*) as n from triples group by all),
+shared as (select a.tbl, a.id as chunk_a, b.id as chunk_b, count(*) as n from triples a join triples b on a.tbl = b.tbl and a.t = b.t and a.id < b.id group by all),
+pairs as (select s.tbl, chunk_a, chunk_b from shared s join sizes a on a.tbl = s.tbl and a.id = chunk_a join sizes b on b.tbl = s.tbl and b.id = chunk_b where s.n >= 0.6::double * (a.n + b.n - s.n))"""
+_REPEATED = f"""lines as (select distinct {_SITE % "source_url"} as site, chunk_id, unnest(range(len(l))) as line_no, unnest(l) as raw from (select source_url, chunk_id, string_split(text, chr(10)) as l from rag_chunks)),
+      normal as (select site, chunk_id, line_no, regexp_replace(trim(regexp_replace(lower(raw), '[\\s\\p{{Z}}]+', ' ', 'g')), '\\d+', '0', 'g') as line from lines),
+      often as (select site, line from normal where line <> '' group by site, line having count(distinct chunk_id) >= 6),
+      found as (select distinct chunk_id, line_no from normal join often using (site, line))"""
+
 ORACLE = {
+    "p3_found": f"with {_PAIRS} select * from pairs",
+    "p3_groups": f"""with recursive {_PAIRS}, both_ as (select tbl, chunk_a as a, chunk_b as b from pairs union all select tbl, chunk_b, chunk_a from pairs),
+      r(tbl, id, seen) as (select tbl, id, id from sizes union select r.tbl, r.id, e.b from r join both_ e on e.tbl = r.tbl and e.a = r.seen),
+      d as (select tbl, a as id, count(*) as links from both_ group by all)
+      select r.tbl, r.id, min(seen) as "group", coalesce(max(links), 0) as links from r left join d on d.tbl = r.tbl and d.id = r.id group by r.tbl, r.id""",
+    "p6_texts": f"""with {_REPEATED}, one as (select chunk_id, max(text) as text from rag_chunks group by chunk_id), gone as (select chunk_id, list(line_no) as g from found group by chunk_id)
+      select chunk_id, case when text is not null then array_to_string(list_transform(list_filter(range(len(string_split(text, chr(10)))), lambda i: not coalesce(list_contains(g, i), false)), lambda i: string_split(text, chr(10))[i + 1]), chr(10)) end as text from one left join gone using (chunk_id)""",
     "p1_found": _RANKED + "select query_id, id from ranked where place >= cap",
     "p1_ranked": _RANKED + "select query_id, id, site, score, authority_score, place, cap, coalesce(place < cap, true) as kept from ranked",
     "p5_found": f"""
@@ -180,9 +198,5 @@ ORACLE = {
       where {_TOKENS % ("text", "text")} > limit_tokens""",
     "p8_decoded": "select doc_id, coalesce(text, '') as text from documents",
     "p9_checked": "select item_type as container_type, (select count(*) from documents) as documents, 0 as torn, 0 as overfull from size_limits where item_type like 'container_%'",
-    "p6_found": f"""
-      with lines as (select distinct {_SITE % "source_url"} as site, chunk_id, unnest(range(len(l))) as line_no, unnest(l) as raw from (select source_url, chunk_id, string_split(text, chr(10)) as l from rag_chunks)),
-      normal as (select site, chunk_id, line_no, regexp_replace(trim(regexp_replace(lower(raw), '[\\s\\p{{Z}}]+', ' ', 'g')), '\\d+', '0', 'g') as line from lines),
-      often as (select site, line from normal where line <> '' group by site, line having count(distinct chunk_id) >= 6)
-      select distinct chunk_id, line_no from normal join often using (site, line)""",
+    "p6_found": f"with {_REPEATED} select chunk_id, line_no from found",
 }
