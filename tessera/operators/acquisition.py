@@ -37,15 +37,17 @@ def needs_browser(mode: Column, js_score: Column, block_score: Column, screensho
 TIERS = ("api", "browser", "http", "cache")
 
 
-def best_capture(captures: DataFrame) -> DataFrame:
-    """One capture of each address (canonical_url): with content before without, the higher tier, the newest.
+def best_capture(captures: DataFrame, columns: tuple[str, ...] = ("artifact_id", "strategy_used")) -> DataFrame:
+    """canonical_url and ``columns`` of one capture of each address: with content before without, the higher tier, the newest.
 
     A content is a text that isn't blank. Rows without an address are dropped; unknown tiers come last.
+    Texts are looked at where they are and don't take part in the aggregation, unless asked for.
     """
     tier = F.coalesce(F.array_position(F.array(*[F.lit(t) for t in TIERS]), F.col("strategy_used")), F.lit(0))
-    rows = captures.where("canonical_url is not null").withColumn("_empty", F.coalesce(F.trim("text_content") == "", F.lit(True)).cast("int")).withColumn("_tier", F.when(tier == 0, len(TIERS) + 1).otherwise(tier))
-    rows = rows.withColumn("_age", -F.coalesce(F.unix_micros("captured_at"), F.lit(0)))
-    return first_by(rows, ["canonical_url"], ["_empty", "_tier", "_age", "artifact_id"]).drop("_empty", "_tier", "_age")
+    empty = F.coalesce(F.trim("text_content") == "", F.lit(True)).cast("int")
+    order = {"_empty": empty, "_tier": F.when(tier == 0, len(TIERS) + 1).otherwise(tier), "_age": -F.coalesce(F.unix_micros("captured_at"), F.lit(0)), "_id": F.col("artifact_id")}
+    rows = captures.where("canonical_url is not null").select("canonical_url", *columns, *[c.alias(n) for n, c in order.items()])
+    return first_by(rows, ["canonical_url"], list(order)).drop(*order)
 
 
 def capped(df: DataFrame, page: str, order: list[Column], per_page: int = 3, per_run: int = 20) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions import text as T
 from tessera.functions import vectors as V
@@ -80,11 +84,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, most: int = 10) -> DataFrame
     ``queries`` is a small stated set (query_id, embedding) against all rows; each task keeps the
     best ``most`` of its rows for each query in an aggregation with a partial step before the shuffle.
     """
-    import pandas as pd
-    from collections.abc import Iterator
-
-    import numpy as np
-
     asked = [(r.query_id, r.embedding) for r in queries.select("query_id", "embedding").collect()]
     names = [q for q, _ in asked]
     matrix = np.array([e for _, e in asked], np.float64).reshape(len(asked), -1)
@@ -112,20 +111,104 @@ def nearest(vectors: DataFrame, queries: DataFrame, most: int = 10) -> DataFrame
     return ranked.where(F.col("rank") < most).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), (F.col("rank") + 1).alias("rank"))
 
 
+MOST_QUERIES = 10_000  # of a search; their vectors go to every task
+
+
+class _Hashed:
+    """Vectors of texts given as word lists: dense ones (counts by bucket at length one) and sparse ones (weights by bucket)."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+
+    def hashes(self, words: list[str]) -> np.ndarray:
+        import hashlib
+
+        if len(self.known) > 500_000:
+            self.known.clear()
+        for w in words:
+            if w not in self.known:
+                self.known[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+        return np.array([self.known[w] for w in words], np.int64)
+
+    def _counts(self, lists) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """The different words; row, word and count of each pair of a row and a word."""
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        pairs, n = np.unique(rows * max(1, len(words)) + coded.indices.to_numpy(), return_counts=True)
+        return words, pairs // max(1, len(words)), pairs % max(1, len(words)), n
+
+    def dense(self, lists) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, bucket and value of each bucket in use."""
+        words, rows, at, n = self._counts(lists)
+        cells, where = np.unique(rows * DIMENSIONS + (self.hashes(words) % DIMENSIONS)[at], return_inverse=True)
+        total = np.bincount(where, n, len(cells))
+        rows = cells // DIMENSIONS
+        norm = np.sqrt(np.bincount(rows, total**2, len(lists)))
+        return rows, cells % DIMENSIONS, total / norm[rows]
+
+    def sparse(self, lists) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        words, rows, at, n = self._counts(lists)
+        more = np.array([1.5 if any(c in "-_.0123456789" for c in w) else 1.0 for w in words])
+        value = np.round((1 + (n - 1) * 0.2) * more[at], 3) if len(words) else np.zeros(0)
+        cells, where = np.unique(rows * SPARSE + (self.hashes(words) % SPARSE)[at], return_inverse=True)
+        best = np.zeros(len(cells))
+        np.maximum.at(best, where, value)
+        return cells // SPARSE, cells % SPARSE, best
+
+
 def branch_scores(passages: DataFrame, queries: DataFrame, most: int = 60) -> DataFrame:
     """query_id, id, branch, score: dense and sparse matches of queries (query_id, query) among passages (id, text).
 
-    Both are inner products over hashed buckets, so they are joins on the bucket; products are added
-    per (query, passage) before the best ``most`` of each branch are kept.
+    ``queries`` is a short stated list (at most MOST_QUERIES, more are an error) that goes to every
+    task; passages are read once where they are, and each task keeps the best ``most`` of its rows for
+    each query and branch, so nothing of the passages is shuffled but these.
     """
-    out = None
-    for branch, make in (("dense", pseudo_vectors), ("sparse", sparse_vectors)):
-        rows = make(passages.select("id", "text"))
-        asked = make(queries.select(F.col("query_id").alias("id"), F.col("query").alias("text"))).select(F.col("id").alias("query_id"), "bucket", F.col("value").alias("q"))
-        score = rows.join(asked, "bucket").groupBy("query_id", "id").agg(F.round(F.sum(F.col("value") * F.col("q")), 4).alias("score"))
-        placed = grouped_positions(score, ["query_id"], [F.desc("score"), F.asc("id")], "_p").where(F.col("_p") < most).select("query_id", "id", F.lit(branch).alias("branch"), "score")
-        out = placed if out is None else out.unionByName(placed)
-    return out
+    lower = F.lower(F.coalesce("text", F.lit("")))
+    listed = lambda df, key: df.select(F.col(key), T.words(lower).alias("w"), F.filter(F.regexp_extract_all(lower, F.lit("[a-zA-Z0-9_.-]+"), F.lit(0)), lambda t: F.length(t) > 1).alias("t"))
+    asked = listed(queries.select("query_id", F.col("query").alias("text")), "query_id").limit(MOST_QUERIES + 1).toArrow()
+    if asked.num_rows > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries")
+    names = asked.column("query_id").to_pylist()
+    made = _Hashed()
+    vectors = {}
+    for branch, column in (("dense", "w"), ("sparse", "t")):
+        lists = asked.column(column).combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        rows, buckets, values = getattr(made, branch)(lists)
+        own, at = np.unique(buckets, return_inverse=True)
+        table = np.zeros((len(own), len(names)))
+        table[at, rows] = values
+        vectors[branch] = (own, table)
+    shared = passages.sparkSession.sparkContext.broadcast(vectors)
+    kind = {f.name: f.dataType.simpleString() for f in passages.schema}["id"]
+    key = {f.name: f.dataType.simpleString() for f in queries.schema}["query_id"]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = _Hashed()
+        held: dict[tuple[str, int], list[tuple[float, object]]] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                ids = part.column(0).to_pylist()
+                for branch, column in (("dense", 1), ("sparse", 2)):
+                    own, table = shared.value[branch]
+                    rows, buckets, values = getattr(made, branch)(part.column(column))
+                    place = np.searchsorted(own, buckets)
+                    hit = (place < len(own)) & (own[np.minimum(place, len(own) - 1)] == buckets) if len(own) else np.zeros(len(buckets), bool)
+                    for q in range(table.shape[1] if hit.any() else 0):
+                        score = np.bincount(rows[hit], values[hit] * table[place[hit], q], len(ids))
+                        found = [(-round(float(score[i]), 4), ids[i]) for i in np.flatnonzero(score)]
+                        if found:
+                            held[branch, q] = sorted(held.get((branch, q), []) + found)[:most]
+        out = [(names[q], i, branch, -s) for (branch, q), rows in held.items() for s, i in rows]
+        columns = list(zip(*out)) if out else [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, arrow)], names=["query_id", "id", "branch", "score"])
+
+    arrow = [to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(passages.schema["id"].dataType), pa.string(), pa.float64()]
+    found = listed(passages, "id").mapInArrow(best, f"query_id {key}, id {kind}, branch string, score double")
+    placed = grouped_positions(found, ["query_id", "branch"], [F.desc("score"), F.asc("id")], "_p")
+    return placed.where(F.col("_p") < most).select("query_id", "id", "branch", "score")
 
 
 def search_passages(passages: DataFrame, queries: DataFrame, most: int = 10, per_domain: int = 2) -> DataFrame:

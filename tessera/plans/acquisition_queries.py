@@ -17,7 +17,7 @@ from tessera.sources import providers, sinks, table
 
 
 def best_capture(spark: SparkSession, d: str) -> DataFrame:
-    return acquisition.best_capture(table(spark, d, "captured_artifacts")).select("canonical_url", "artifact_id", "strategy_used")
+    return acquisition.best_capture(table(spark, d, "captured_artifacts"))
 
 
 def escalation(spark: SparkSession, d: str) -> DataFrame:

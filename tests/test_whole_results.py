@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
+import re
 from collections import Counter
 
 import pytest
@@ -101,3 +103,36 @@ def test_running_sums_of_a_hot_group(spark):
         assert got[job, seq][:2] == (n, total if known else None) and (not known or abs(got[job, seq][2] - total / known) < 1e-6)
     assert got["cold", 1] == (1, 5, 5.0) and got[None, 1] == (1, 2, 2.0)
     assert metrics.running_totals(spark.createDataFrame([], "job string, seq int, bytes int")).count() == 0
+
+
+def test_search_scores_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)] + ["Alpha", "x-1", "été", "."]
+    texts = [(f"p{i}", " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))) for i in range(120)] + [("n", None), ("e", ""), ("t", "Alpha x-1"), ("u", "Alpha x-1")]
+    asked = [(0, "alpha x-1 été"), (1, "w1 w2 w2"), (2, ""), (3, None)]
+    df, queries = spark.createDataFrame(texts, "id string, text string").repartition(5), spark.createDataFrame(asked, "query_id int, query string")
+
+    def dense(text):
+        n = Counter(int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % retrieval.DIMENSIONS for w in (text or "").lower().split())
+        size = math.sqrt(sum(v * v for v in n.values())) or 1
+        return {k: v / size for k, v in n.items()}
+
+    def sparse(text):
+        out = {}
+        for w, n in Counter(t for t in re.findall(r"[a-zA-Z0-9_.-]+", (text or "").lower()) if len(t) > 1).items():
+            k = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % retrieval.SPARSE
+            out[k] = max(out.get(k, 0), round((1 + (n - 1) * 0.2) * (1.5 if re.search("[-_.0-9]", w) else 1), 3))
+        return out
+
+    want = set()
+    for branch, make in (("dense", dense), ("sparse", sparse)):
+        for q, query in asked:
+            a = make(query)
+            rows = [(-round(sum(v * a[k] for k, v in make(t).items() if k in a), 4), i) for i, t in texts if set(make(t)) & set(a)]
+            want |= {(q, i, branch, -s) for s, i in sorted(rows)[:7]}
+    got = retrieval.branch_scores(df, queries, 7).collect()
+    assert {(r.query_id, r.id, r.branch, round(r.score, 4)) for r in got} == want and len(got) == len(want)
+    assert retrieval.branch_scores(df.where("false"), queries).count() == 0 and retrieval.branch_scores(df, queries.where("false")).count() == 0
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 3)
+    with pytest.raises(ValueError):
+        retrieval.branch_scores(df, queries)
