@@ -15,9 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
+
 _CHARSET = re.compile(rb"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 _NO_END = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _ENDS = {"li": ("li",), "p": ("p",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}
+_PARAGRAPHS = ("p", "li", "td", "article", "section")
+_ASIDE = ("nav", "aside", "footer", "header", "form", "noscript", "iframe")
+CONTEXT = 250  # characters of a link's paragraph
 _SKIPPED_SCHEMES = ("javascript:", "mailto:", "tel:", "#")
 
 
@@ -72,8 +77,11 @@ def walk(html: str, reader) -> None:
 class _Links:
     def __init__(self, base: str) -> None:
         self.base, self.rows, self.seen, self.heading, self.position, self.now = base, [], set(), "", 0, None
+        self.blocks: list[list[str]] = []  # text so far of the open elements that count as a link's paragraph
 
     def start(self, tag, attrs, above):
+        if tag in _PARAGRAPHS:
+            self.blocks.append([""])
         if tag in ("h1", "h2", "h3", "h4"):
             self.heading = ""
         if tag == "a" and "href" in attrs:
@@ -88,7 +96,7 @@ class _Links:
             self.seen.add(full)
             near = above[-5:]
             says = lambda t, *words: any(tag_ == t or any(w in a.get("class", "").lower() or w in a.get("id", "").lower() for w in words) for tag_, a in near)
-            self.now = [full, "", self.position, self.heading.strip(), says("nav", "nav", "menu", "header") or any(t == "header" for t, _ in near), says("footer", "footer"), says("aside", "sidebar")]
+            self.now = [full, "", self.position, self.heading.strip(), says("nav", "nav", "menu", "header") or any(t == "header" for t, _ in near), says("footer", "footer"), says("aside", "sidebar"), self.blocks[-1] if self.blocks else [""]]
             self.rows.append(self.now)
 
     def text(self, data, above):
@@ -96,10 +104,15 @@ class _Links:
             self.now[1] += data
         if above and above[-1][0] in ("h1", "h2", "h3", "h4"):
             self.heading += data
+        for block in self.blocks:
+            if len(block[0]) < 20 * CONTEXT:
+                block[0] += data
 
     def end(self, tag, attrs, above):
         if tag == "a":
             self.now = None
+        elif tag in _PARAGRAPHS and self.blocks:
+            self.blocks.pop()
 
 
 class _Tables:
@@ -147,8 +160,14 @@ def grid(rows: list[list[list]]) -> tuple[list[str], list[list[str]]]:
 
 
 class _Markdown:
-    def __init__(self) -> None:
-        self.lines, self.held, self.mark = [], "", ""
+    """Markdown of a page; with ``within`` only of what is inside such an element and outside page furniture."""
+
+    def __init__(self, within: str | None = None) -> None:
+        self.lines, self.held, self.mark, self.within = [], "", "", within
+
+    def wanted(self, above) -> bool:
+        tags = [t for t, _ in above]
+        return self.within is None or self.within in tags and not any(t in _ASIDE for t in tags)
 
     def flush(self):
         text = " ".join(self.held.split())
@@ -169,11 +188,11 @@ class _Markdown:
             self.held += "**"
         elif tag in ("i", "em"):
             self.held += "*"
-        elif tag == "a" and attrs.get("href"):
+        elif tag == "a" and attrs.get("href") and self.wanted(above):
             self.held += "["
 
     def text(self, data, above):
-        if not any(t in ("head", "script", "style") for t, _ in above):
+        if not any(t in ("head", "script", "style") for t, _ in above) and self.wanted(above):
             self.held += data
 
     def end(self, tag, attrs, above):
@@ -181,7 +200,7 @@ class _Markdown:
             self.held += "**"
         elif tag in ("i", "em"):
             self.held += "*"
-        elif tag == "a" and attrs.get("href"):
+        elif tag == "a" and attrs.get("href") and self.wanted(above):
             self.held += f"]({attrs['href']})"
         elif tag in ("p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "section", "article"):
             self.flush()
@@ -197,18 +216,19 @@ def _each(df: DataFrame, columns: list[str], make, schema: str) -> DataFrame:
     return df.select(*columns).mapInPandas(run, schema)
 
 
-LINKS = "artifact_id bigint, url string, anchor string, position int, heading string, is_navigation boolean, is_footer boolean, is_sidebar boolean"
+LINKS = "artifact_id bigint, url string, anchor string, position int, heading string, is_navigation boolean, is_footer boolean, is_sidebar boolean, paragraph string"
 TABLES = "artifact_id bigint, table_index int, headers array<string>, rows array<array<string>>, markdown string, json string, csv string"
 
 
 def links(pages: DataFrame) -> DataFrame:
     """The links of pages (artifact_id, url, raw_content) in order, each absolute address once a page, with the
-    last heading before it and the zone of the five elements above it. Null content gives none."""
+    last heading before it, the zone of the five elements above it, and the start of the text of the
+    nearest paragraph, list item, cell, article or section around it. Null content gives none."""
 
     def make(key, base, raw):
         reader = _Links(base)
         walk(decoded(raw), reader)
-        return [(key, u, " ".join(a.split()), p, h, n, f, s) for u, a, p, h, n, f, s in reader.rows]
+        return [(key, u, " ".join(a.split()), p, h, n, f, s, " ".join(b[0].split())[:CONTEXT]) for u, a, p, h, n, f, s, b in reader.rows]
 
     return _each(pages, ["artifact_id", "url", "raw_content"], make, LINKS)
 
@@ -255,8 +275,10 @@ def tables(pages: DataFrame) -> DataFrame:
     return _each(pages, ["artifact_id", "raw_content"], make, TABLES)
 
 
-def to_markdown(html: str) -> str:
-    reader = _Markdown()
+def to_markdown(html: str, main: bool = False) -> str:
+    """The page as Markdown; with ``main`` of its main, else its article, else its body without navigation and the like."""
+    low = html.lower()
+    reader = _Markdown(next((t for t in ("main", "article") if f"<{t}" in low), "body" if "<body" in low else None) if main else None)
     walk(html, reader)
     reader.flush()
     return "\n\n".join(reader.lines)
@@ -267,6 +289,13 @@ def markdown(pages: DataFrame) -> DataFrame:
     return _each(pages, ["artifact_id", "raw_content"], lambda key, raw: [(key, to_markdown(decoded(raw)))], "artifact_id bigint, markdown string")
 
 
+def markdown_forms(pages: DataFrame) -> DataFrame:
+    """artifact_id and three forms of each page: raw (all of it), clean (the main part), fit (without lone short links)."""
+    rows = _each(pages, ["artifact_id", "raw_content"], lambda key, raw: [(key, to_markdown(decoded(raw)), to_markdown(decoded(raw), main=True))], "artifact_id bigint, raw string, clean string")
+    rows = rows.select("artifact_id", T.clean_markdown(F.col("raw")).alias("raw"), T.clean_markdown(F.col("clean")).alias("clean"))
+    return rows.withColumn("fit", T.clean_markdown(T.fit_markdown(F.col("clean"))))
+
+
 def sitemap_urls(df: DataFrame) -> DataFrame:
     """url of each loc element of sitemaps (xml)."""
     return df.select(F.explode(F.xpath("xml", F.lit("//*[local-name()='loc']/text()"))).alias("url")).select(F.trim("url").alias("url")).where(F.col("url").startswith("http"))

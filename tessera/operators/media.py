@@ -80,12 +80,15 @@ def images(pages: DataFrame) -> DataFrame:
     return _each(pages, ["artifact_id", "url", "raw_content"], make, IMAGES)
 
 
-def document_files(links: DataFrame) -> DataFrame:
-    """artifact_id and url of links (artifact_id, url) to documents, with the PDF that an abstract's address implies."""
+def document_files(links: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """artifact_id and url of documents: of links (artifact_id, url) with a document's ending, and the PDFs that
+    addresses imply, of links and of ``pages`` (artifact_id, url): a preprint's abstract, an archived article's number."""
     url = F.lower("url")
     plain = links.where(url.rlike("(" + "|".join(e.replace(".", "\\.") for e in DOCUMENT_ENDS) + r")([?#]|$)")).select("artifact_id", "url")
-    paper = links.where(F.contains(url, F.lit("arxiv.org/abs/"))).select("artifact_id", F.replace("url", F.lit("/abs/"), F.lit("/pdf/")).alias("url"))
-    return plain.unionByName(paper).distinct()
+    places = links.select("artifact_id", "url") if pages is None else links.select("artifact_id", "url").unionByName(pages.select("artifact_id", "url"))
+    paper = places.withColumn("n", F.regexp_extract("url", r"(?i)arxiv\.org/(?:abs|html)/(\d[\w.]*)", 1)).where("n <> ''").select("artifact_id", F.concat(F.lit("https://arxiv.org/pdf/"), "n", F.lit(".pdf")).alias("url"))
+    archived = places.withColumn("n", F.upper(F.regexp_extract("url", r"(?i)\b(PMC\d+)", 1))).where("n <> ''").select("artifact_id", F.concat(F.lit("https://europepmc.org/backend/ptpmcrender.fcgi?accid="), "n", F.lit("&blobtype=pdf")).alias("url"))
+    return plain.unionByName(paper).unionByName(archived).distinct()
 
 
 def image_relevance(df: DataFrame) -> DataFrame:

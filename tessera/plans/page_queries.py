@@ -72,6 +72,18 @@ def html_markdown(spark: SparkSession, d: str) -> DataFrame:
     return markup.markdown(_pages(spark, d).select("artifact_id", "raw_content"))
 
 
+def markdown_forms(spark: SparkSession, d: str) -> DataFrame:
+    rows = markup.markdown_forms(_pages(spark, d).select("artifact_id", "raw_content"))
+    return rows.select("artifact_id", F.length("raw").alias("raw"), F.length("clean").alias("clean"), F.length("fit").alias("fit"))
+
+
+def document_links(spark: SparkSession, d: str) -> DataFrame:
+    """Documents' addresses as links, some given an ending, an abstract or an article's number."""
+    n = F.col("doc_id")
+    url = F.when(n % 4 == 0, F.concat("url", F.lit("/file.PDF?x=1"))).when(n % 4 == 1, F.concat(F.lit("https://arxiv.org/abs/"), n + 1000, F.lit(".5"))).when(n % 4 == 2, F.concat(F.lit("https://x.example/PMC"), n)).otherwise(F.col("url"))
+    return media.document_files(table(spark, d, "documents").where("url is not null").select(n.alias("artifact_id"), url.alias("url")))
+
+
 def media_names(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "rag_chunks").select("chunk_id", "source_url", "title").distinct()
     return rows.select("chunk_id", "source_url", media.media_name(F.col("source_url"), F.col("title")).alias("file"))
@@ -83,7 +95,7 @@ def picture_tiles(spark: SparkSession, d: str) -> DataFrame:
     return media.tiles(_pages(spark, d).select(n.alias("id"), (F.pmod(n * 37, F.lit(1500)) + 200).cast("int").alias("width"), (F.pmod(n * 91, F.lit(2500)) + 100).cast("int").alias("height")).distinct())
 
 
-QUERIES = {f.__name__: f for f in (url_canonical, url_policy, url_dedup, blocked_addresses, document_type, acquisition_quality, page_intelligence, strategy, html_links, html_tables, html_markdown, media_names, picture_tiles)}
+QUERIES = {f.__name__: f for f in (url_canonical, url_policy, url_dedup, blocked_addresses, document_type, acquisition_quality, page_intelligence, strategy, html_links, html_tables, html_markdown, markdown_forms, document_links, media_names, picture_tiles)}
 
 _P = S.path("url")
 _WAY = f"case when regexp_replace(lower({_P}), '/+$', '') = '' then '/' else regexp_replace(lower({_P}), '/+$', '') end"
@@ -103,6 +115,8 @@ _URL = f"""select artifact_id, url, captured_at, scheme || '://' || net || way |
    select *, array_to_string(list_filter(list_transform(range(1, len(parts) + 1), lambda i: case when parts[i] = '' and i > 1 and i < len(parts) then chr(1) else parts[i] end), lambda s: s <> chr(1)), '/') as w from ({_CANONICAL})))"""
 
 ORACLE = {
+    "document_links": """select doc_id as artifact_id, case doc_id % 4 when 0 then url || '/file.PDF?x=1' when 1 then 'https://arxiv.org/pdf/' || (doc_id + 1000) || '.5.pdf' else 'https://europepmc.org/backend/ptpmcrender.fcgi?accid=PMC' || doc_id || '&blobtype=pdf' end as url from documents where url is not null and doc_id % 4 < 3
+      union select doc_id, url from documents where doc_id % 4 = 3 and regexp_matches(lower(url), '\\.(pdf|docx|xlsx|pptx|csv|zip)([?#]|$)')""",
     # The addresses of the tables have no escapes, so decoding and encoding change nothing here; tests hold those cases.
     "url_canonical": f"select artifact_id, url, canonical, {S.authority('url')} as domain, {S.host('url')} as host from ({_URL})",
     "url_policy": f"""with u as (select artifact_id, url, {S.scheme("url")} as scheme, {_WAY} as way, lower({S.query("url")}) as q, lower({_P}) as p from captured_artifacts)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -392,6 +393,36 @@ def query_terms(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("query_id", "query", research.translated(F.col("query"), [("and", "und"), ("of", "von"), ("in", "im")]).alias("translated"))
 
 
+def query_plans(spark: SparkSession, d: str) -> DataFrame:
+    """The requests that each search query leads to: services in the order of their use, per goal."""
+    rows = table(spark, d, "search_queries").where("query is not null").select("query_id", "query").distinct()
+
+    def plan(parts):
+        for part in parts:
+            out = []
+            for key, text in zip(part["query_id"], part["query"]):
+                targets = research.goals(text)
+                asked = research.variants(text, targets)
+                for goal in targets:
+                    out += [(key, goal.goal_id, place, *r) for place, r in enumerate(research.plan_requests(text, goal, asked))]
+            yield pd.DataFrame(out, columns=["query_id", "goal_id", "place", "service", "query", "results", "language"])
+
+    return rows.mapInPandas(plan, "query_id string, goal_id string, place int, service string, query string, results int, language string")
+
+
+def query_goals(spark: SparkSession, d: str) -> DataFrame:
+    """How many goals a query is taken apart into, of texts made into comparisons and disputes."""
+    n = F.length("query")
+    text = F.concat(F.col("query"), F.when(n % 3 == 0, " vs other things").otherwise(""), F.when(n % 2 == 0, " side effect").otherwise(""))
+    rows = table(spark, d, "search_queries").where("query is not null").select("query_id", text.alias("query")).distinct()
+
+    def count(parts):
+        for part in parts:
+            yield pd.DataFrame({"query_id": part["query_id"], "goals": [len(research.goals(q)) for q in part["query"]]})
+
+    return rows.mapInPandas(count, "query_id string, goals int")
+
+
 def query_tokens(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "search_queries").select("query_id", "query").distinct()
     return rows.select("query_id", F.array_join(V.query_tokens(F.col("query")), " ").alias("tokens"))
@@ -403,7 +434,7 @@ QUERIES = {
         crossref_results, semantic_scholar_results, arxiv_results, europe_pmc_results, pubmed_results, wikipedia_results, github_results, regional_results, web_page_results, image_archive_results, discovery_report, diverse_seeds, seed_pool,
         open_access_rescue, sitemap_pages, pdf_heads, stored_contents, vector_upsert, manifest_counts, rejection_lines, context_passages, linked_notes, graph_corpus_lines, table_versions, queue_capacity, sealed_archive, robots_rules, image_choice,
         media_accepted, backend_eligibility, benchmark_gate, authority_scores, retry_waits, canonical_links, redirect_targets, identifiers, idempotency_keys, normalised_hashes, wide_vectors, tile_directions, scope_filter, link_choice, latency_samples,
-        activity_ratios, rejection_histogram, trace_of, late_subscriber, early_stop, full_budget, graph_answers, query_terms, query_tokens,
+        activity_ratios, rejection_histogram, trace_of, late_subscriber, early_stop, full_budget, graph_answers, query_terms, query_plans, query_goals, query_tokens,
     )
 }
 
@@ -493,6 +524,9 @@ ORACLE = {
     "trace_of": "select user_id::varchar as entity_id, event_type, event_id as seq from events where user_id = 7 and event_type = 'click'",
     "late_subscriber": "select user_id::varchar as job, event_id as seq, row_number() over (partition by user_id order by event_id) - 1 as place from (select *, row_number() over (partition by user_id order by event_id desc) as k from events) where k <= 4",
     "early_stop": "select run, seq, place from (select user_id::varchar as run, event_id as seq, row_number() over (partition by user_id order by event_id) - 1 as place from events where event_type <> 'error') where place < 3",
+    "query_goals": f"""with t as (select distinct query_id, query || case when length(query) % 3 = 0 then ' vs other things' else '' end || case when length(query) % 2 = 0 then ' side effect' else '' end as q from search_queries where query is not null)
+      select query_id, 1 + case when ({S.any_of("lower(q)", research.COMPARED)}) and regexp_matches(' ' || q || ' ', '(?i)[^\\p{{L}}\\p{{N}}_](vs|versus|против|и)[^\\p{{L}}\\p{{N}}_]') then 2 else 0 end + case when {S.any_of("lower(q)", research.DISPUTE_CUES)} then 1 else 0 end
+        + len(list_distinct(list_transform(regexp_extract_all(q, '(?i)(?:ГОСТ|ISO|RFC|IEEE)[\\s]*[\\d.-]+(?::\\d+)?'), lambda x: lower(x)))) as goals from t""",
     "query_terms": "select distinct query_id, query, replace(replace(replace(query, 'and', 'und'), 'of', 'von'), 'in', 'im') as translated from search_queries",
     "query_tokens": f"select distinct query_id, array_to_string(list_filter({S.tokens('query')}, lambda t: length(t) > 2), ' ') as tokens from search_queries",
     "full_budget": """with recursive r as (select user_id::varchar as job, event_id as seq, (event_id % 100)::bigint as bytes, event_id % 5 as depth, (event_id % 7)::double as sec, event_id % 4 = 0 as visual, (event_id % 30)::bigint as tok, row_number() over (partition by user_id order by event_id) as k from events),

@@ -232,3 +232,18 @@ def test_nearest_equals_brute_force(spark):
     q = rows[3][1]
     cos = lambda v: max(0.0, sum(a * b for a, b in zip(q, v)) / (sum(a * a for a in q) * sum(b * b for b in v)) ** 0.5)
     assert got == [i for i, v in sorted(((i, v) for i, v in rows if v and len(v) == 8), key=lambda r: (-round(cos(r[1]), 9), r[0]))[:5]]
+
+
+def test_forms_of_a_page(spark):
+    html = b"<html><head><title>t</title></head><body><nav><a href='/'>Home</a></nav><main><h1>Title</h1><p>Some <b>text</b> with <a href='/x'>a link</a> in it.</p><p><a href='/y'>More</a></p><aside>Ads</aside></main><footer>End</footer></body></html>"
+    rows = {r.artifact_id: r for r in markup.markdown_forms(spark.createDataFrame([(1, bytearray(html)), (2, None)], "artifact_id bigint, raw_content binary")).collect()}
+    assert "Home" in rows[1].raw and "End" in rows[1].raw and rows[1].clean == "# Title\n\nSome **text** with [a link](/x) in it.\n\n[More](/y)"
+    assert rows[1].fit == "# Title\n\nSome **text** with [a link](/x) in it." and (rows[2].raw, rows[2].clean, rows[2].fit) == ("", "", "")
+    links = markup.links(spark.createDataFrame([(1, "https://a.x/", bytearray(html))], "artifact_id bigint, url string, raw_content binary")).orderBy("position").collect()
+    assert [(r.url, r.heading, r.paragraph) for r in links] == [("https://a.x/", "", ""), ("https://a.x/x", "Title", "Some text with a link in it."), ("https://a.x/y", "Title", "More")]
+
+
+def test_table_forms(spark):
+    html = b"<table><tr><th>A</th><th>A</th><th></th></tr><tr><td>1</td><td>x, y</td><td>2</td></tr></table><table><tr><td>p</td><td>q</td></tr></table>"
+    one, two = markup.tables(spark.createDataFrame([(1, bytearray(html))], "artifact_id bigint, raw_content binary")).orderBy("table_index").collect()
+    assert one.json == '[{"A": "1", "A_2": "x, y", "col": "2"}]' and one.csv == 'A,A,\r\n1,"x, y",2\r\n' and two.json == '[{"col_1": "p", "col_2": "q"}]'

@@ -143,11 +143,22 @@ def test_research(spark):
     assert q.quoted == ["exact phrase"] and "UF_DRAW_2512" in q.identifiers and q.languages == ["en", "ru"] and "ABC" in q.text
     asked = "SLA vs DLP printing"
     targets = research.goals(asked)
-    assert len(targets) >= 3
+    assert [g.question for g in targets] == ["Answer primary research question: SLA vs DLP printing", "Investigate characteristics and properties of SLA", "Investigate characteristics and properties of DLP printing"]
+    assert targets[0].depends == () and targets[2].depends == ("g1",) and targets[0].required_types == research.PLAIN_EVIDENCE
     made = research.variants(asked, targets)
-    assert len(made) <= 16 and len({(v.query.lower(), v.language) for v in made}) == len(made)
-    plan = research.plan_requests("insulin trial", targets[0], made)
-    assert len(plan) == 8 and plan[0][0] == "pubmed" and len({s for s, _, _ in plan}) == 8
+    assert [(v.query, v.kind) for v in made] == [(asked, "SEMANTIC"), (f"{asked} {research.STUDIES}", "PRIMARY_SOURCE")]  # the other goals ask the same
+    disputed = research.goals("risk of metformin for diabetes per ISO 9001")
+    assert [g.importance for g in disputed] == [1.0, 0.9, 0.9] and disputed[0].required_types == research.MEDICAL_EVIDENCE and "ISO 9001" in disputed[2].question
+    software = research.goals("python sdk")[0]
+    assert software.required_types == research.SOFTWARE_EVIDENCE
+    russian = research.variants("лазерная резка титана", research.goals("лазерная резка титана"))
+    assert [v.language for v in russian] == ["ru", "en", "en"] and "titanium alloy" in russian[1].query
+    plan = research.plan_requests("insulin trial", disputed[0], [research.Variant("insulin trial", "g1")])
+    assert [r[0] for r in plan] == ["pubmed", "europe_pmc", "semantic_scholar", "openalex", "crossref", "arxiv", "regional", "general"] and plan[0][2] == 12
+    hinted = research.plan_requests("a", research.Goal("g1", "q", 1.0), [research.Variant("a", "g1", service="regional"), research.Variant("b", "g1", service="regional")], pool=4)
+    assert [r[0] for r in hinted[:2]] == ["regional", "semantic_scholar"] and len(hinted) == 8 and hinted[0][2] == 5
+    assert "github" in [r[0] for r in research.plan_requests("x", software, [research.Variant("x", "g1")], most=9)]
+    assert [v.query for v in research.followups(["  maps ", "abc", "карты", "late"], "q")] == ["q maps", "q карты"]
     df = spark.createDataFrame([("metformin 10.1234/x",), (None,)], "t string").select(research.entity_column(F.col("t")).alias("e"))
     assert [[(x.kind, x.name) for x in r.e] for r in df.collect()] == [[("DOI", "10.1234/x"), ("VERSION", "10.1234"), ("CHEMICAL", "metformin")], []]
     assert spark.range(1).select(research.translated(F.lit("a b"), [("a", "x"), ("b", "y")]).alias("t")).first().t == "x y"
@@ -164,8 +175,9 @@ def test_media(spark):
     assert [r.url for r in media.ranked_images(no_query).orderBy("place").collect()] == ["https://s.x/p/l.jpg", "https://s.x/p/p.webp", "https://s.x/og.png"]
     kinds = spark.createDataFrame([(bytearray(b"\xff\xd8\xff\xe0"),), (bytearray(b"RIFF1234WEBP"),), (bytearray(b"%PDF-1.4"),), (bytearray(b"<html>"),), (None,)], "c binary").select(media.magic_kind(F.col("c")).alias("k")).collect()
     assert [r.k for r in kinds] == ["jpg", "webp", "pdf", None, None]
-    links = spark.createDataFrame([(1, "https://a/x.pdf?y"), (1, "https://arxiv.org/abs/7"), (1, "https://a/x")], "artifact_id bigint, url string")
-    assert {r.url for r in media.document_files(links).collect()} == {"https://a/x.pdf?y", "https://arxiv.org/pdf/7"}
+    links = spark.createDataFrame([(1, "https://a/x.pdf?y"), (1, "https://arxiv.org/abs/7.1v2"), (1, "https://a/x")], "artifact_id bigint, url string")
+    pages = spark.createDataFrame([(2, "https://x/articles/pmc123/"), (3, None)], "artifact_id bigint, url string")
+    assert {(r.artifact_id, r.url) for r in media.document_files(links, pages).collect()} == {(1, "https://a/x.pdf?y"), (1, "https://arxiv.org/pdf/7.1v2.pdf"), (2, "https://europepmc.org/backend/ptpmcrender.fcgi?accid=PMC123&blobtype=pdf")}
     cover = media.tiles(spark.createDataFrame([(1, 1000, 300), (2, 0, 5)], "id int, width int, height int")).collect()
     assert {(r.x, r.tile_width) for r in cover} == {(0, 512), (448, 512), (896, 104)} and {r.tile_height for r in cover} == {300}
     assert spark.range(1).select(media.media_name(F.lit("https://a/b.PNG?x"), F.lit("A b")).alias("n")).first().n.startswith("a-b_")
