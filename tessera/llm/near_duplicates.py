@@ -35,6 +35,7 @@ CHAIN = 4  # segments of the longest chain that the index looks at
 SLACK = 3.5
 #: Texts of one key that are compared in one task; a key with more is cut into blocks.
 BLOCK = 2_000
+AT_ONCE = 2_000  # texts fingerprinted together, below 2 ** 11
 _WORD = re.compile(r"[^\W_]+")
 PRINTS = "tbl string, id string, same bigint, size int, print binary, " + ", ".join(f"s{k} bigint" for k in range(SHORT))
 KEYS = "no bigint, key bigint"
@@ -96,12 +97,12 @@ def fingerprints(texts: list[str | None], known: _Words) -> tuple[np.ndarray, np
         at = ends[:-1] - back
         inside[at[at < len(t)]] = False
     t = t[inside]
-    owner = np.repeat(np.arange(len(own)), sizes[own] - 2)
-    order = np.lexsort((t, owner))
-    t, owner = t[order], owner[order]
-    new = np.ones(len(t), bool)
-    new[1:] = (t[1:] != t[:-1]) | (owner[1:] != owner[:-1])
-    t, owner = t[new], owner[new]
+    # One number holds the text (11 bits) and the triple's hash (53 bits), so that one sort finds the distinct ones.
+    packed = np.sort(np.repeat(np.arange(len(own), dtype=np.uint64), sizes[own] - 2) << np.uint64(53) | t >> np.uint64(11))
+    new = np.ones(len(packed), bool)
+    new[1:] = packed[1:] != packed[:-1]
+    packed = packed[new]
+    owner, t = (packed >> np.uint64(53)).astype(np.int64), _mix(packed & np.uint64((1 << 53) - 1))
     starts = np.searchsorted(owner, np.arange(len(own)))
     same = _mix(np.add.reduceat(_mix(t ^ np.uint64(0x5851F42D4C957F2D)), starts)).view(np.int64)
     low = (t >> np.uint64(16)).astype(np.uint32)
@@ -168,8 +169,8 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _Words()
     for batch in batches:
         texts = batch.column(2).to_pylist()
-        for at in range(0, len(texts), 2000):
-            own, same, size, values = fingerprints(texts[at : at + 2000], known)
+        for at in range(0, len(texts), AT_ONCE):
+            own, same, size, values = fingerprints(texts[at : at + AT_ONCE], known)
             take, short = pa.array(own + at), shortened(values)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(take), batch.column(1).take(take), pa.array(same), pa.array(size), _fixed(values), *(pa.array(short[:, k]) for k in range(SHORT))],
