@@ -226,3 +226,8 @@ def recommended_strategy(js_score: Column, api_score: Column, threshold: float =
     return F.when(api_score >= 0.7, "api").when(js_score >= threshold, "browser").otherwise("http")
 
 
+
+
+def recommended_cost(strategy: Column) -> Column:
+    """Estimated cost of a recommended strategy: 1 for plain HTTP, 10 for the others."""
+    return F.when(strategy == "http", 1.0).otherwise(10.0)

@@ -56,6 +56,11 @@ def claim_status(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     return out.withColumn("clamped", F.least(F.lit(1.0), "confidence"))
 
 
+def contradictions(status: DataFrame) -> DataFrame:
+    """claim_id, status, contradicts of the claims that are disputed or have evidence against them."""
+    return status.where("status = 'DISPUTED' or contradicts > 0").select("claim_id", "status", "contradicts")
+
+
 def goal_coverage(goals: DataFrame, claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """goal_id, claims_count, independent_sources, missing_types, coverage, is_sufficient.
 

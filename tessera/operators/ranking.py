@@ -161,6 +161,21 @@ def rank_pool(df: DataFrame, depth: int = 0) -> DataFrame:
     return grouped_positions(rows, [], [F.desc("final_score"), F.desc("canonical")], "rank").withColumn("rank", F.col("rank") + 1)
 
 
+def filter_hits(df: DataFrame, wanted: dict[str, str] | None) -> DataFrame:
+    """Hits (source_type, goal_ids, url) of a source type, a goal_id and a domain (as part of the address); other keys pass."""
+    tests = {"source_type": lambda v: F.col("source_type") == v, "goal_id": lambda v: F.array_contains("goal_ids", v), "domain": lambda v: F.contains("url", F.lit(v))}
+    for key, value in (wanted or {}).items():
+        df = df.where(tests[key](value)) if key in tests else df
+    return df
+
+
+def filter_payload(df: DataFrame, wanted: dict[str, object] | None) -> DataFrame:
+    """Rows whose columns equal all values that aren't null; plain comparisons, which the scan takes over."""
+    for key, value in (wanted or {}).items():
+        df = df.where(F.col(key) == value) if value is not None else df
+    return df
+
+
 def fuse(hits: DataFrame, weights: dict[str, float] | None = None, k: int = RRF_K, most: int = 20) -> DataFrame:
     """Reciprocal rank fusion of rows (query_id, id, branch, score): the first ``most`` of each query.
 

@@ -57,7 +57,8 @@ def page_intelligence(spark: SparkSession, d: str) -> DataFrame:
 
 def strategy(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("page_intelligence")
-    return _pages(spark, d).select("artifact_id", classify.recommended_strategy(p["js_dependency_score"], p["api_score"]).alias("strategy"))
+    rows = _pages(spark, d).select("artifact_id", classify.recommended_strategy(p["js_dependency_score"], p["api_score"]).alias("strategy"))
+    return rows.withColumn("cost", classify.recommended_cost(F.col("strategy")))
 
 
 def html_links(spark: SparkSession, d: str) -> DataFrame:
@@ -143,7 +144,7 @@ ORACLE = {
       select artifact_id, round(greatest(0, least(1, 1.0::double - case when failed then 0.6::double else 0 end - case when notice then 0.5::double else 0 end - case when shell then 0.4::double else 0 end - case when thin then 0.3::double else 0 end)), 3) as score,
         round(least(case when failed then 0.0::double else 1.0 end, case when shell then 0.3::double else 1.0 end, case when thin then greatest(0.1::double, size / 100.0::double) else 1.0 end), 3) as completeness, refused or notice as blocked, shell as likely_unrendered,
         case when refused or notice then 'chromium' when shell or thin then 'servo' end as suggested_escalation from f""",
-    "strategy": "select artifact_id, case when page_intelligence.api_score >= 0.7 then 'api' when page_intelligence.js_dependency_score >= 0.70 then 'browser' else 'http' end as strategy from captured_artifacts",
+    "strategy": "select artifact_id, case when page_intelligence.api_score >= 0.7 then 'api' when page_intelligence.js_dependency_score >= 0.70 then 'browser' else 'http' end as strategy, case when page_intelligence.api_score >= 0.7 or page_intelligence.js_dependency_score >= 0.70 then 10.0 else 1.0 end::double as cost from captured_artifacts",
 }
 _NUM = lambda c, x: f"case when {c} then {x}::double else 0 end"
 _FRAMED = " or ".join(S.any_of("low", m) for m in classify.FRAMEWORKS.values())

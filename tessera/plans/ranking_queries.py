@@ -50,8 +50,16 @@ def mmr_select(spark: SparkSession, d: str) -> DataFrame:
 
 
 def filtered_hits(spark: SparkSession, d: str) -> DataFrame:
-    rows = hits(spark, d).where((F.col("source_type") == "OFFICIAL_DOC") & F.array_contains("goal_ids", "g1"))
-    return rows.select("id", "query_id")
+    return ranking.filter_hits(hits(spark, d), {"source_type": "OFFICIAL_DOC", "goal_id": "g1", "unknown": "x"}).select("id", "query_id")
+
+
+def payload_hits(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "retrieval_hits").select("id", "source_type", "query_id", "chunk_id")
+    return ranking.filter_payload(rows, {"source_type": "OFFICIAL_DOC", "query_id": None}).select("id", "chunk_id").distinct()
+
+
+def contradictions(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.contradictions(evidence.claim_status(*_statements(spark, d)))
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -257,7 +265,7 @@ def r1_search_passages(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        rrf_fusion, weighted_rrf, rerank, late_interaction, mmr_select, filtered_hits, candidate_merge, pool_rank, authority_join, source_classes, information_gain, claim_rows, claim_status, goal_coverage,
+        rrf_fusion, weighted_rrf, rerank, late_interaction, mmr_select, filtered_hits, payload_hits, contradictions, candidate_merge, pool_rank, authority_join, source_classes, information_gain, claim_rows, claim_status, goal_coverage,
         research_progress, research_gaps, evidence_match, lineage, independent_sources, lineage_copies, independent_sources_copies, source_quality, ir_metrics, source_diversity, domain_stats, latency_ewma, provider_health, telemetry_summary, run_rates,
         running_totals, budget_admission, domain_turns, link_expansion, r1_search_passages,
     )
@@ -311,6 +319,8 @@ ORACLE = {
       + case when contains(lower(coalesce(text, '')), lower(query)) then 0.2::double else 0 end + {_DENSITY}) * (0.8::double + 0.2::double * coalesce(authority_score, 0.5)), 4))) as rerank_score from j""",
     "late_interaction": f"""with {_ASKED}, w as (select query_id, id, fusion_score, {S.words("lower(query)")} as qw, list_slice({S.words("lower(coalesce(text, ''))")}, 1, 100) as dw from j)
       select query_id, id, round(cast(0.5::double * case when len(qw) > 0 and len(dw) > 0 then list_sum(list_transform(qw, lambda x: case when list_contains(dw, x) then 1.0::double when len(list_filter(dw, lambda y: contains(y, x) or contains(x, y))) > 0 then 0.5::double else 0 end)) / len(qw) else 0 end + 0.5::double * fusion_score as decimal(18, 10)), 4)::double as late_score from w""",
+    "contradictions": f"with {_STATEMENTS}, {_STATUS} select claim_id, status, contradicts from st where status = 'DISPUTED' or contradicts > 0",
+    "payload_hits": "select distinct id, chunk_id from retrieval_hits where source_type = 'OFFICIAL_DOC'",
     "filtered_hits": f"with {_HITS} select id, query_id from h where source_type = 'OFFICIAL_DOC' and list_contains(goal_ids, 'g1')",
     "authority_join": f"""with p as (select distinct {S.authority('url')} as domain, 'WIKI' as source_type from captured_artifacts) select domain, source_type, case when domain is null then 0.75 when domain = 'open.bocor.example' then 0.95 when domain = 'lab.example' then 0.85 when domain = 'example' then 0.6
       when domain like '%.example' then 0.6 else 0.75 end::double as authority from p""",

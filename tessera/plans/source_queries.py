@@ -21,7 +21,7 @@ from tessera.plans import research, text_queries
 from tessera.plans import sql as S
 from tessera.plans.ranking_queries import _CALLS, _HITS, _calls, hits
 from tessera.session import remove, shared_dir
-from tessera.sources import providers, sinks, table
+from tessera.sources import pdf, providers, sinks, table
 
 
 def _folder(spark: SparkSession) -> str:
@@ -167,6 +167,14 @@ def pdf_heads(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("artifact_id", acquisition.is_pdf(F.col("c")).alias("pdf"), media.magic_kind(F.col("c")).alias("kind"))
 
 
+def pdf_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents' letters and digits put into PDF files of one page and read back."""
+    plain = F.regexp_replace("text", "[^A-Za-z0-9 ]", "")
+    head = "%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [3 0 R] >> endobj\n3 0 obj << /Type /Page /Parent 2 0 R /Contents 4 0 R >> endobj\n4 0 obj << >> stream\nBT ("
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.encode(F.concat(F.lit(head), plain, F.lit(") Tj ET\nendstream endobj\n")), "UTF-8").alias("content"))
+    return pdf.pdf_texts(rows).select("id", F.md5("text").alias("text"))
+
+
 # --- sinks --------------------------------------------------------------------------------------
 
 
@@ -432,7 +440,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         crossref_results, semantic_scholar_results, arxiv_results, europe_pmc_results, pubmed_results, wikipedia_results, github_results, regional_results, web_page_results, image_archive_results, discovery_report, diverse_seeds, seed_pool,
-        open_access_rescue, sitemap_pages, pdf_heads, stored_contents, vector_upsert, manifest_counts, rejection_lines, context_passages, linked_notes, graph_corpus_lines, table_versions, queue_capacity, sealed_archive, robots_rules, image_choice,
+        open_access_rescue, sitemap_pages, pdf_heads, pdf_documents, stored_contents, vector_upsert, manifest_counts, rejection_lines, context_passages, linked_notes, graph_corpus_lines, table_versions, queue_capacity, sealed_archive, robots_rules, image_choice,
         media_accepted, backend_eligibility, benchmark_gate, authority_scores, retry_waits, canonical_links, redirect_targets, identifiers, idempotency_keys, normalised_hashes, wide_vectors, tile_directions, scope_filter, link_choice, latency_samples,
         activity_ratios, rejection_histogram, trace_of, late_subscriber, early_stop, full_budget, graph_answers, query_terms, query_plans, query_goals, query_tokens,
     )
@@ -487,6 +495,7 @@ ORACLE = {
       select doc_id, coalesce(case when doc_id % 4 = 0 then 'https://land.example/' || doc_id end, u) as rescue_url from documents left join n on lower(string_split(text, chr(10))[1]) = t""",
     "sitemap_pages": "select regexp_replace(url, '[&<>]', '_', 'g') as url, 2 * count(*) as n from documents where starts_with(url, 'http') group by 1",
     "pdf_heads": "select distinct artifact_id, artifact_id % 3 = 0 and artifact_id % 2 = 0 as pdf, case when artifact_id % 3 = 0 and artifact_id % 2 = 0 then 'pdf' end as kind from captured_artifacts",
+    "pdf_documents": """with p as (select doc_id as id, regexp_replace(regexp_replace(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g'), ' +', ' ', 'g'), '^ | $', '', 'g') as t from documents) select id, md5(case when t <> '' then '## Page 1' || chr(10) || chr(10) || t else '' end) as text from p""",
     "stored_contents": "select distinct sha256(raw_content) as content_hash, octet_length(raw_content) as bytes, true as whole from captured_artifacts where raw_content is not null",
     "vector_upsert": "select id, coalesce(max(epoch_us(retrieved_at)), min(epoch_us(retrieved_at))) as at, case when max(retrieved_at) is null then 'old' else 'new' end as v from retrieval_hits where id not in (select id from retrieval_hits where source_type = 'WIKI' and id is not null) group by id",
     "manifest_counts": f"""with p as (select doc_id, unnest(string_split_regex({S.sanitised('text')}, '\\n[\\s\\x0B]*\\n')) as q from documents where text is not null), e as (select count(*) as n from p where {S.word_count('q')} >= 4)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import media
 from tessera.plans import research
-from tessera.sources import providers, sinks
+from tessera.sources import pdf, providers, sinks
 
 ANSWERS = "query_id string, goal_id string, body string"
 
@@ -189,3 +189,28 @@ def test_robots_and_addresses(spark):
     assert {(r.host, r.path): r.allowed for r in media.robots_allowed(urls, rules).collect()} == {("h", "/a/b"): False, ("h", "/a/public/x"): True, ("h", "/z"): True, ("other", "/a"): True}
     ips = spark.createDataFrame([("::1",), ("::ffff:10.0.0.1",), ("2606:4700::1111",), ("8.8.8.8",), ("x",), (None,)], "a string")
     assert [r.b for r in ips.select(media.blocked_ip(F.col("a")).alias("b")).collect()] == [True, True, False, False, None, None]
+
+
+def _pdf(pages, deflate):
+    """A small PDF: a catalogue, a page tree, a page and a content stream each."""
+    import zlib
+
+    kids = " ".join(f"{10 + 2 * k} 0 R" for k in range(len(pages)))
+    out = [b"%PDF-1.4", b"1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj", f"2 0 obj << /Type /Pages /Kids [{kids}] /Count {len(pages)} >> endobj".encode()]
+    out.append(b"3 0 obj << /Type /Font /ToUnicode 4 0 R >> endobj")
+    table = b"2 beginbfchar <0001> <0416> <0103> <0438> endbfchar 1 beginbfrange <0201> <0203> <0061> endbfrange"
+    out.append(b"4 0 obj << /Length 9 >> stream\n" + table + b"\nendstream endobj")
+    for k in reversed(range(len(pages))):
+        body = zlib.compress(pages[k]) if deflate else pages[k]
+        out.append(f"{10 + 2 * k} 0 obj << /Type /Page /Parent 2 0 R /Resources << /Font << /F1 3 0 R >> >> /Contents {11 + 2 * k} 0 R >> endobj".encode())
+        out.append(f"{11 + 2 * k} 0 obj << /Length {len(body)}{' /Filter /FlateDecode' if deflate else ''} >> stream\n".encode() + body + b"\nendstream endobj")
+    return b"\n".join(out) + b"\n%%EOF"
+
+
+def test_pdf_texts(spark):
+    pages = [b"BT /F2 12 Tf 10 700 Td (Hello \\(old\\) wor) Tj [(ld) -300 (again)] TJ 0 -14 Td (Line two\\056) Tj ET", b"q Q", b"BT /F1 9 Tf <000101030201> Tj T* <02020203> Tj ET"]
+    want = "## Page 1\n\nHello (old) world again\nLine two.\n\n## Page 3\n\nЖиa\nbc"
+    rows = [(1, bytearray(_pdf(pages, False))), (2, bytearray(_pdf(pages, True))), (3, bytearray(b"<html>")), (4, None), (5, bytearray(b"%PDF-1.4 broken")), (6, bytearray(_pdf(pages, True)[:200]))]
+    got = {r.id: r.text for r in pdf.pdf_texts(spark.createDataFrame(rows, "id bigint, content binary")).collect()}
+    assert got == {1: want, 2: want, 3: "", 4: "", 5: "", 6: ""}
+    assert pdf.pdf_text(_pdf(pages, True), pages=1, page_chars=5) == "## Page 1\n\nHello"
