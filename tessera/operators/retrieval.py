@@ -78,15 +78,31 @@ def sparse_vectors(df: DataFrame, id_column: str = "id", buckets: int = SPARSE)
     return counts.groupBy("id", V.bucket(F.col("w"), buckets).alias("bucket")).agg(F.max(value).alias("value"))
 
 
+QUERY_BLOCK = 4_096  # queries that go to the tasks together
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, most: int = 10) -> DataFrame:
     """query_id, vec_id, similarity, rank: the nearest vectors of each query by cosine, exactly.
 
-    ``queries`` is a small stated set (query_id, embedding) against all rows; each task keeps the
-    best ``most`` of its rows for each query in an aggregation with a partial step before the shuffle.
+    ``queries`` is a stated set (query_id, embedding; all of one length) against all rows, taken in blocks of about
+    QUERY_BLOCK; a block's result is written before the next is read. Each task keeps the best
+    ``most`` of its rows for each query of the block, and only these are shuffled.
     """
-    asked = [(r.query_id, r.embedding) for r in queries.select("query_id", "embedding").collect()]
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    found = None
+    for k in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+        one = _nearest_block(vectors, part, most)
+        one = one if blocks == 1 else materialise(one)
+        found = one if found is None else found.unionByName(one)
+    ranked = grouped_positions(found, ["query_id"], [F.desc("similarity"), F.asc("vec_id")], "rank")
+    return ranked.where(F.col("rank") < most).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), (F.col("rank") + 1).alias("rank"))
+
+
+def _nearest_block(vectors: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    asked = [(r.query_id, r.embedding) for r in queries.where("embedding is not null").select("query_id", "embedding").collect()]  # one block
     names = [q for q, _ in asked]
-    matrix = np.array([e for _, e in asked], np.float64).reshape(len(asked), -1)
+    matrix = np.array([e for _, e in asked], np.float64) if asked else np.zeros((0, 1))
     norm = np.linalg.norm(matrix, axis=1)
 
     def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,19 +112,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, most: int = 10) -> DataFrame
             if part.empty or not len(matrix):
                 continue
             rows = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-            size = np.outer(norm, np.linalg.norm(rows, axis=1))
-            near = np.clip(np.divide(matrix @ rows.T, size, out=np.zeros_like(size), where=size > 0), 0, 1)
-            found = pd.DataFrame({"query_id": np.repeat(names, len(rows)), "vec_id": np.tile(part["vec_id"].to_numpy(), len(names)), "similarity": near.ravel()})
-            held = found if held is None else pd.concat([held, found])
-            held = held.sort_values(["query_id", "similarity", "vec_id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(most)
+            for at in range(0, len(rows), 256):
+                some, keys = rows[at : at + 256], part["vec_id"].to_numpy()[at : at + 256]
+                size = np.outer(norm, np.linalg.norm(some, axis=1))
+                near = np.clip(np.divide(matrix @ some.T, size, out=np.zeros_like(size), where=size > 0), 0, 1)
+                found = pd.DataFrame({"query_id": np.repeat(names, len(some)), "vec_id": np.tile(keys, len(names)), "similarity": near.ravel()})
+                held = found if held is None else pd.concat([held, found])
+                held = held.sort_values(["query_id", "similarity", "vec_id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(most)
         if held is not None:
             yield held
 
     kind = {f.name: f.dataType.simpleString() for f in vectors.schema}["vec_id"]
     key = {f.name: f.dataType.simpleString() for f in queries.schema}["query_id"]
-    found = vectors.select("vec_id", "embedding").mapInPandas(best, f"query_id {key}, vec_id {kind}, similarity double")
-    ranked = grouped_positions(found, ["query_id"], [F.desc("similarity"), F.asc("vec_id")], "rank")
-    return ranked.where(F.col("rank") < most).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), (F.col("rank") + 1).alias("rank"))
+    return vectors.select("vec_id", "embedding").mapInPandas(best, f"query_id {key}, vec_id {kind}, similarity double")
 
 
 MOST_QUERIES = 10_000  # of a search; their vectors go to every task

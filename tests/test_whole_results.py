@@ -136,3 +136,15 @@ def test_search_scores_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "MOST_QUERIES", 3)
     with pytest.raises(ValueError):
         retrieval.branch_scores(df, queries)
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(90)] + [(90, None), (91, [0.0] * 4), (92, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    asked = df.where("vec_id % 9 = 0 and vec_id < 90").select(F.col("vec_id").alias("query_id"), "embedding")
+    whole = {tuple(r) for r in retrieval.nearest(df, asked, 5).collect()}
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    assert {tuple(r) for r in retrieval.nearest(df, asked, 5).collect()} == whole and len(whole) == 50
+    assert all((q, q) in {(r[0], r[1]) for r in whole} for q in range(0, 90, 9))
+    assert retrieval.nearest(df, asked.where("false")).count() == 0
