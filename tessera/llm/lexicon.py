@@ -51,7 +51,7 @@ FURNITURE_STARTS = {
 
 #: Patterns anywhere in a line that only furniture has.
 FURNITURE_ANYWHERE = (
-    r"^© ?0", r"all rights reserved\.?$", r"is published by the .* foundation", r"est édité par la fondation", r"wird von der .* herausgegeben", r"es una publicación de la fundación", r"издаётся фондом", r"может? ?гут? не совпадать с мнением редакции",
+    r"^© ?0", r"all rights reserved\.?$",
     r"^[^.!?]{2,60} 0[.,]0[.,]0( ·|$)", r"^[^.]{1,40}\| 0 ?(min|мин)", r"(für tägliche neuigkeiten|chaque jour|cada día|каждый день)$", r"(in your inbox|einzutragen|, um .{2,60} zu erhalten|pour recevoir .{2,60}|para recibir .{2,60}|чтобы получать .{2,60})$", r"^(home|accueil|startseite|inicio|início|главная|首页) ?[/>»›] ",
 )
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.urls import host
 from tessera.llm import lexicon
+from tessera.operators.markup import decoded
 from tessera.session import materialise
 
 CONTENT, FURNITURE = 0, 1
@@ -32,7 +33,6 @@ CLEAR = 1.5  # tag-path score of a line from which words are learnt
 WORDS = 0.6  # weight of the words beside tag paths
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*>|<!--.*?-->|([^<]+)", re.S)
 _SKIPPED = re.compile(r"<(script|style|template)\b.*?</\1\s*>", re.I | re.S)
-_CHARSET = re.compile(rb"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _BLOCKS = frozenset("p li h1 h2 h3 h4 h5 h6 div td th tr table ul ol section article aside nav footer header main blockquote pre dd dt figcaption body title noscript option button form".split())
 _CLOSED_BY = {"p": frozenset("p li h1 h2 h3 h4 h5 h6 table ul ol div".split()), "li": frozenset(("li",)), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "tr": frozenset(("tr",))}
@@ -119,14 +119,6 @@ class Block:
         self.heading = self.leaf in _HEADINGS or self.leaf == "title"
 
 
-def decode(raw: bytes) -> str:
-    found = _CHARSET.search(raw)
-    try:
-        return raw.decode(found[1].decode("ascii", "replace") if found else "utf-8", "replace")
-    except LookupError:
-        return raw.decode("utf-8", "replace")
-
-
 def blocks(markup: str) -> list[Block]:
     """Text blocks of a page in order, each with its root-to-leaf tag path; cells of a row are joined.
 
@@ -349,7 +341,7 @@ def _structure(text: str, raw: bytes | None) -> list[tuple[float, tuple] | None]
     lines = [squeezed(x) for x in text.split("\n")]
     if not raw:
         return [None] * len(lines)
-    found = blocks(decode(raw))
+    found = blocks(decoded(raw))
     scores = path_scores(found)
     at: dict[str, list[int]] = {}
     for k, b in enumerate(found):

@@ -23,6 +23,7 @@ BUCKETS = 1 << 14
 DENSE = 10
 ROUNDS = 120
 PENALTIES = (1e-4, 1e-3, 1e-2)
+DOUBT = 1.0  # log odds
 _PLACE = re.compile(lexicon.PLACEHOLDER)
 _WORD = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]+")
 _SPLIT = re.compile(r"(?<=[.!?…。！？])\s*|\n")
@@ -211,10 +212,20 @@ def fit_pages(pages: DataFrame, most: int = SAMPLE) -> Model | None:
 
 
 def is_shell(main: str, model: Model | None) -> bool:
-    """Whether the body of a page is no article. An empty body is none; without a model the weak label decides."""
+    """Whether the body of a page is no article. An empty body is none; without a model the weak label decides.
+
+    Where the model is in doubt (log odds within DOUBT of even) the weak label counts as one more
+    piece of evidence of that size.
+    """
     if not main.strip():
         return False
-    return model.score(main) > 0.5 if model else weak_label(main, None) == 1
+    if model is None:
+        return weak_label(main, None) == 1
+    p = model.score(main)
+    odds = math.log(p / (1 - p))
+    if abs(odds) < DOUBT:
+        odds += {0: -DOUBT, 1: DOUBT, None: 0.0}[weak_label(main, None)]
+    return odds > 0
 
 
 def shell_pages(pages: DataFrame, model: Model | None) -> DataFrame:

@@ -271,7 +271,7 @@ def test_words_are_learnt_from_tag_paths(spark, monkeypatch):
 
 
 def test_charset_after_a_long_preamble():
-    assert pages.decode(b"<!-- " + b"x" * 5000 + "--><meta charset='cp1251'><p>год".encode("cp1251")).endswith("год")
+    assert pages.decoded(b"<!-- " + b"x" * 5000 + "--><meta charset='cp1251'><p>год".encode("cp1251")).endswith("год")
 
 
 # --- 5 ----------------------------------------------------------------------------------------
