@@ -45,7 +45,8 @@ def query_graph(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     Matching is on equal tokens, so nodes and queries are joined by key and not each with each.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(V.query_tokens(F.col("query")))).alias("token"))
-    held = nodes.select("node_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
+    wanted = F.broadcast(asked.agg(F.collect_set("token").alias("wanted")))  # one row: the tokens of a short list of queries
+    held = nodes.join(wanted).select("node_id", F.explode(F.array_intersect(T.tokens(F.col("text")), "wanted")).alias("token"))
     return asked.join(held, "token").groupBy("query_id", "node_id").agg(F.count("*").alias("matched"))
 
 

@@ -319,6 +319,12 @@ ORACLE = {
       + case when contains(lower(coalesce(text, '')), lower(query)) then 0.2::double else 0 end + {_DENSITY}) * (0.8::double + 0.2::double * coalesce(authority_score, 0.5)), 4))) as rerank_score from j""",
     "late_interaction": f"""with {_ASKED}, w as (select query_id, id, fusion_score, {S.words("lower(query)")} as qw, list_slice({S.words("lower(coalesce(text, ''))")}, 1, 100) as dw from j)
       select query_id, id, round(cast(0.5::double * case when len(qw) > 0 and len(dw) > 0 then list_sum(list_transform(qw, lambda x: case when list_contains(dw, x) then 1.0::double when len(list_filter(dw, lambda y: contains(y, x) or contains(x, y))) > 0 then 0.5::double else 0 end)) / len(qw) else 0 end + 0.5::double * fusion_score as decimal(18, 10)), 4)::double as late_score from w""",
+    "candidate_merge": f"""with {_HITS}, c as (select ('0x' || substr(md5(id), 1, 12))::bigint as seq, url, regexp_replace(coalesce(title, ''), '^ +| +$', '', 'g') as tt, length(regexp_replace(substr(text, 1, 200), '^ +| +$', '', 'g')) as chars, coalesce(metadata['retriever'], 'none') as provider, source_type, case when authority_score between 0 and 1 then authority_score else 0.5::double end as prior, goal_ids, query_id from h where url is not null),
+      u as ({S.canonical_rows("select * from c")}),
+      p as (select canonical, string_agg(provider, ',' order by a) as providers from (select canonical, provider, min(seq) as a from u group by all) group by canonical),
+      g as (select canonical, string_agg(v, ',' order by a) as goal_ids from (select canonical, v, min(struct_pack(s := seq, i := i)) as a from (select canonical, seq, unnest(goal_ids) as v, unnest(range(len(goal_ids))) as i from u) where v is not null group by canonical, v) group by canonical),
+      m as (select canonical, arg_max(tt, struct_pack(n := length(tt), s := -seq)) as title, max(chars) as snippet_chars, min(seq % 7 + 1) as provider_rank, arg_min_null(source_type, seq) as source_type, max(prior) as authority_prior, count(distinct query_id) as variants from u group by canonical)
+      select m.canonical, {S.authority("m.canonical")} as domain, title, coalesce(snippet_chars, 0) as snippet_chars, provider_rank, source_type, authority_prior, providers, coalesce(goal_ids, '') as goal_ids, variants from m left join p using (canonical) left join g using (canonical)""",
     "contradictions": f"with {_STATEMENTS}, {_STATUS} select claim_id, status, contradicts from st where status = 'DISPUTED' or contradicts > 0",
     "payload_hits": "select distinct id, chunk_id from retrieval_hits where source_type = 'OFFICIAL_DOC'",
     "filtered_hits": f"with {_HITS} select id, query_id from h where source_type = 'OFFICIAL_DOC' and list_contains(goal_ids, 'g1')",

@@ -73,3 +73,15 @@ def query(url: str) -> str:
 
 def quoted(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
+
+
+def canonical_rows(source: str) -> str:
+    """The rows of ``source`` with canonical, the address ``url`` in its one form (for addresses without escapes)."""
+    from tessera.functions import urls as U
+
+    return f"""select * exclude (scheme0, net0, parts, params, scheme, net, w, way, q), scheme || '://' || net || way || case when q <> '' then '?' || q else '' end as canonical from (
+  select *, case when w = '' then '/' else w end as way, array_to_string(list_sort(list_transform(list_filter(params, lambda p: not list_contains([{quoted(U.TRACKING_PARAMETERS)}], lower(string_split(p, '=')[1]))), lambda p: case when contains(p, '=') then p else p || '=' end)), '&') as q from (
+   select *, array_to_string(list_filter(list_transform(range(1, len(parts) + 1), lambda i: case when parts[i] = '' and i > 1 and i < len(parts) then chr(1) else parts[i] end), lambda x: x <> chr(1)), '/') as w from (
+    select *, case when scheme = 'http' then regexp_replace(net0, ':80$', '') when scheme = 'https' then regexp_replace(net0, ':443$', '') else net0 end as net from (
+     select *, case when scheme0 = 'http' and net0 in ({quoted(U.HTTPS_HOSTS)}) then 'https' else scheme0 end as scheme from (
+      select *, {scheme("trim(url)")} as scheme0, {authority("trim(url)")} as net0, string_split(replace({path("trim(url)")}, '%2f', '%2F'), '/') as parts, list_filter(string_split({query("trim(url)")}, '&'), lambda p: p <> '') as params from ({source}))))))"""
