@@ -31,6 +31,7 @@ SAMPLE = 2000
 BUCKETS, ROUNDS, PENALTY = 1 << 16, 60, 1e-6
 CLEAR = 1.5  # tag-path score of a line from which words are learnt
 WORDS = 0.6  # weight of the words beside tag paths
+SURE = -1 - 4 * WORDS  # a tag-path score below this can't be turned by the words' 4 and the host's 1
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*>|<!--.*?-->|([^<]+)", re.S)
 _SKIPPED = re.compile(r"<(script|style|template)\b.*?</\1\s*>", re.I | re.S)
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -314,10 +315,10 @@ def train(sample: list[tuple[str, bytes | None, str | None]]) -> LineModel | Non
         if not text or not raw:
             continue
         out = xxhash.xxh32_intdigest((site or "").encode()) % 5 == 0
-        for line, score in zip(text.split("\n"), structure(text, raw)):
-            if score is not None and abs(score) >= CLEAR and (squeeze := squeezed(line)):
-                lines.append(squeeze)
-                y.append(score > 0)
+        for line, found in zip(*_structure(text, raw)):
+            if found is not None and abs(found[0]) >= CLEAR:
+                lines.append(line)
+                y.append(found[0] > 0)
                 held.append(out)
     y, held = np.array(y, float), np.array(held, bool)
     if not len(y) or y.min() == y.max():
@@ -334,13 +335,14 @@ def train(sample: list[tuple[str, bytes | None, str | None]]) -> LineModel | Non
 
 def structure(text: str, raw: bytes | None) -> list[float | None]:
     """Tag-path score of each line of ``text``; None for blank lines and those not found in the markup."""
-    return [x and x[0] for x in _structure(text, raw)]
+    return [x and x[0] for x in _structure(text, raw)[1]]
 
 
-def _structure(text: str, raw: bytes | None) -> list[tuple[float, tuple] | None]:
+def _structure(text: str, raw: bytes | None) -> tuple[list[str], list[tuple[float, tuple] | None]]:
+    """The lines, squeezed, and the score and tag path of each."""
     lines = [squeezed(x) for x in text.split("\n")]
     if not raw:
-        return [None] * len(lines)
+        return lines, [None] * len(lines)
     found = blocks(decoded(raw))
     scores = path_scores(found)
     at: dict[str, list[int]] = {}
@@ -356,7 +358,7 @@ def _structure(text: str, raw: bytes | None) -> list[tuple[float, tuple] | None]
             places.pop(0)  # the title stands in the head and again in the body
         k = places.pop(0) if len(places) > 1 else places[0]
         out.append((scores[k], found[k].path))
-    return out
+    return lines, out
 
 
 def _signed(x: int) -> int:
@@ -389,8 +391,8 @@ def scored_lines(pages: DataFrame, model: LineModel | None, shells=None) -> Data
                 for key, text, raw, site, page in zip(*(c[at : at + 200] for c in columns)):
                     if shells is not None and is_shell(body(text), shells):
                         continue
-                    for k, (line, found) in enumerate(zip(text.split("\n"), _structure(text, raw))):
-                        if line := squeezed(line):
+                    for k, (line, found) in enumerate(zip(*_structure(text, raw))):
+                        if line:
                             ids.append(key)
                             where.append(page)
                             numbers.append(k)
@@ -401,8 +403,10 @@ def scored_lines(pages: DataFrame, model: LineModel | None, shells=None) -> Data
                             places.append(_signed(xxhash.xxh64_intdigest(f"{seed}\t{'/'.join(found[1])}".encode())) if found else None)
                 if not ids:
                     continue
-                words = np.clip(model.scores(texts, known), -4, 4) if model else np.zeros(len(texts))
-                tag = np.array(tags)
+                tag, words = np.array(tags), np.zeros(len(texts))
+                open_ = np.flatnonzero(~(tag < SURE))
+                if model:
+                    words[open_] = np.clip(model.scores([texts[k] for k in open_], known), -4, 4)
                 score = np.where(np.isnan(tag), words, np.nan_to_num(tag) + WORDS * words)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(where, pa.int64()), pa.array(numbers, pa.int32()), pa.array(np.array(lines, np.uint64).view(np.int64)), pa.array(places, pa.int64()), pa.array(score)],
