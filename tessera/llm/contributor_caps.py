@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions.urls import host
 from tessera.operators.positions import grouped_positions
 
+SALTS = 16  # parts of a query in the join with its limit
+
 
 def newest_hits(hits: DataFrame) -> DataFrame:
     """One row per id, that with the newest ``retrieved_at`` (null is oldest).
@@ -35,7 +37,9 @@ def rank_hits(hits: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFra
     sized = hits.groupBy("query_id").agg(F.count("*").alias("n")).join(limits, "query_id")
     share = F.greatest(F.floor(F.col("share") * F.col("n")), F.lit(1))
     caps = sized.select("query_id", F.coalesce(F.col("per_domain").cast("long"), share).alias("cap"))
-    hits = hits.join(sites, "chunk_id", "left").join(caps, "query_id", "left")
+    caps = caps.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = hits.join(sites, "chunk_id", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    hits = hits.join(caps, ["query_id", "salt"], "left")  # a query with very many hits is joined in parts
     good = F.when(F.col("authority_score").between(0, 1), F.col("authority_score"))
     rows = hits.select("query_id", "id", F.coalesce("chunk_site", host(F.col("url"))).alias("site"), "score", "authority_score", good.alias("good"), "cap")
     order = [F.col("good").desc_nulls_last(), F.col("score").desc_nulls_last(), F.col("id").asc_nulls_last()]
