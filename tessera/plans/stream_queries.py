@@ -41,6 +41,11 @@ QUERIES = {f.__name__: f for f in (stream_totals, stream_distinct, stream_rate_l
 
 ORACLE = {
     "stream_totals": "select event_type, count(*) as n, count(*) filter (event_type = 'error') as errors from events group by event_type",
+    "stream_rate_limits": """with recursive r as (select user_id::varchar as host, event_id, epoch_us(ts) / 1e6 as now, event_type = 'error' as bad, row_number() over (partition by user_id order by ts, event_id) as k from events),
+      f as (select host, event_id, k, now, 3.0::double as tokens, case when bad then 1.0 else 2.0 end::double as rate, 0.0::double as wait from r where k = 1
+        union all select host, event_id, k, now, case when a >= 1 then a - 1 else a end, case when bad then greatest(0.5::double, rate / 2) else least(2.0::double, rate * 1.05::double) end, case when a >= 1 then 0 else (1 - a) / rate end
+        from (select r.*, f.rate, least(4.0::double, f.tokens + greatest(0.0::double, r.now - f.now) * f.rate) as a from f join r on r.host = f.host and r.k = f.k + 1))
+      select host, event_id, round(rate, 6) as rps, round(wait, 6) as wait from f""",
     "stream_budgets": """with recursive r as (select user_id::varchar as job, event_id as seq, (event_id % 100)::bigint as bytes, row_number() over (partition by user_id order by ts, event_id) as k from events),
       f as (select job, seq, k, bytes <= 1500 as ok, case when bytes <= 1500 then 1 else 0 end::bigint as n, case when bytes <= 1500 then bytes else 0 end::bigint as used from r where k = 1
         union all select job, seq, k, ok, n + case when ok then 1 else 0 end, used + case when ok then bytes else 0 end from (select r.*, f.n, f.used, f.n + 1 <= 40 and f.used + r.bytes <= 1500 as ok from f join r on r.job = f.job and r.k = f.k + 1))
