@@ -301,6 +301,26 @@ _RELATED = f"""l as (select doc_id as seq, {S.authority('url')} as domain, case
   m as (select *, min(seq) over (partition by domain) as d, min(seq) over (partition by hash) as hh, min(seq) over () as f from l),
   o as (select seq as source_id, domain, case when domain is not null and d < seq then d end as d, case when hash is not null and hh < seq then hh end as hh, seq = f as top from m),
   related as (select source_id, domain, case when d = least(d, hh) then 'SAME_PUBLISHER' when hh = least(d, hh) then 'DERIVED_MIRROR' when top then 'PRIMARY_SOURCE' else 'INDEPENDENT_CORROBORATION' end as relation from o)"""
+_MERGED = f"""{_HITS}, c as (select ('0x' || substr(md5(id), 1, 12))::bigint as seq, url, regexp_replace(coalesce(title, ''), '^ +| +$', '', 'g') as tt, regexp_replace(coalesce(substr(text, 1, 200), ''), '^ +| +$', '', 'g') as ss, coalesce(metadata['retriever'], 'none') as provider, source_type, case when authority_score between 0 and 1 then authority_score else 0.5::double end as prior, goal_ids, query_id from h where url is not null),
+      u as ({S.canonical_rows("select * from c")}),
+      p as (select canonical, string_agg(provider, ',' order by a) as providers, count(*) as np from (select canonical, provider, min(seq) as a from u group by all) group by canonical),
+      g as (select canonical, string_agg(v, ',' order by a) as goal_ids from (select canonical, v, min(struct_pack(s := seq, i := i)) as a from (select canonical, seq, unnest(goal_ids) as v, unnest(range(len(goal_ids))) as i from u) where v is not null group by canonical, v) group by canonical),
+      m as (select canonical, arg_max(tt, struct_pack(n := length(tt), s := -seq)) as title, arg_max(ss, struct_pack(n := length(ss), s := -seq)) as snippet, min(seq % 7 + 1) as provider_rank, arg_min_null(source_type, seq) as source_type, arg_min_null(url, seq) as url, max(prior) as authority_prior, count(distinct query_id) as variants, min(seq) as seq from u group by canonical),
+      merged as (select m.*, {S.authority("m.canonical")} as domain, providers, np, coalesce(goal_ids, '') as goal_ids from m left join p using (canonical) left join g using (canonical))"""
+_ASKED = [t for t in S.QUERIES[0].lower().split() if len(t) > 2]
+_MET = lambda c: f"len(list_filter([{S.quoted(_ASKED)}], lambda t: contains(lower({c}), t))) / {len(_ASKED)}::double"
+_TYPES = "case " + " ".join(f"when source_type = '{k}' then {v}" for k, v in ranking.TYPE_AUTHORITY.items()) + " else 0.50 end::double"
+_COUNTS = "select id, cast(('0x' || substr(md5(w), 1, 8))::bigint % 384 as int) as bucket, count(*)::double as n"
+#: No address of the tables lies under a listed domain, so the authority is that of the type.
+_POOL = f"""with {_MERGED},
+      v as ({_COUNTS} from (select canonical as id, unnest({S.words("lower(title || '. ' || snippet)")}) as w from merged) group by all), vn as (select id, sqrt(sum(n * n)) as norm from v group by id),
+      a as ({_COUNTS} from (select 0 as id, unnest({S.words(f"lower('{S.QUERIES[0]}')")}) as w) group by all), an as (select sqrt(sum(n * n)) as norm from a),
+      near as (select v.id, {S.half_up("least(1.0::double, sum(v.n / vn.norm * (a.n / an.norm)))", 4)} as semantic from v join vn on v.id = vn.id join a using (bucket) cross join an group by v.id),
+      s as (select merged.*, coalesce(semantic, 0) as semantic, {_TYPES} as authority, least(1.0::double, {S.half_up(f"{_MET('title')} * 0.35::double + {_MET('snippet')} * 0.20::double + {_MET('url')} * 0.15::double + greatest(0.0::double, (6 - least(provider_rank, 5)) * 0.02::double) + case when np > 1 then 0.10::double * (np - 1) else 0.0::double end", 4)}) as lexical,
+        greatest(0.2::double, 1.0::double - 0.2::double * greatest(0, 2025 - (seq % 40 + 1990))) as freshness, case when lower(url) like '%.pdf' or contains(lower(url), '/pdf') then 1.2 else 1.0 end::double as cost,
+        case when np > 1 then least(1.0::double, (np - 1) * 0.5::double) else 0.0::double end as agreement, greatest(0.0::double, 0.10::double - 0.03::double * (row_number() over (partition by domain order by seq) - 1)) as diversity from merged left join near on merged.canonical = near.id),
+      f as (select *, greatest(0.0::double, least(1.0::double, {S.half_up(f"({S.half_up('0.35::double * lexical', 4)} + {S.half_up('0.25::double * semantic', 4)} + {S.half_up('0.25::double * authority', 4)} + {S.half_up('0.10::double * freshness', 4)} + {S.half_up('0.05::double * agreement', 4)} + {S.half_up('diversity', 4)}) / (0.8::double + 0.2::double * cost)", 4)})) as final_score from s)
+      select canonical, lexical, authority, round(freshness, 6) as freshness, cost, agreement, round(diversity, 6) as diversity, final_score, row_number() over (order by final_score desc, canonical desc) as rank from f"""
 _CLUSTERED = f"""s as materialized ({S.simhash("documents", "doc_id", S.tokens("text"))}), p as (select a.id as x, b.id as y from s a join s b on a.id <> b.id and a.u <> 0 and b.u <> 0 and bit_count(xor(a.u, b.u)) <= 3),
   g(id, seen) as (select id, id from s union select g.id, p.y from g join p on g.seen = p.x), w as (select id, min(seen) as cluster, count(*) as size from g group by id),
   l as (select doc_id as seq, {S.authority('url')} as domain, case when text is not null then sha256(text) end as hash, case when size > 1 then cluster end as c from documents left join w on doc_id = id),
@@ -319,12 +339,8 @@ ORACLE = {
       + case when contains(lower(coalesce(text, '')), lower(query)) then 0.2::double else 0 end + {_DENSITY}) * (0.8::double + 0.2::double * coalesce(authority_score, 0.5)), 4))) as rerank_score from j""",
     "late_interaction": f"""with {_ASKED}, w as (select query_id, id, fusion_score, {S.words("lower(query)")} as qw, list_slice({S.words("lower(coalesce(text, ''))")}, 1, 100) as dw from j)
       select query_id, id, round(cast(0.5::double * case when len(qw) > 0 and len(dw) > 0 then list_sum(list_transform(qw, lambda x: case when list_contains(dw, x) then 1.0::double when len(list_filter(dw, lambda y: contains(y, x) or contains(x, y))) > 0 then 0.5::double else 0 end)) / len(qw) else 0 end + 0.5::double * fusion_score as decimal(18, 10)), 4)::double as late_score from w""",
-    "candidate_merge": f"""with {_HITS}, c as (select ('0x' || substr(md5(id), 1, 12))::bigint as seq, url, regexp_replace(coalesce(title, ''), '^ +| +$', '', 'g') as tt, length(regexp_replace(substr(text, 1, 200), '^ +| +$', '', 'g')) as chars, coalesce(metadata['retriever'], 'none') as provider, source_type, case when authority_score between 0 and 1 then authority_score else 0.5::double end as prior, goal_ids, query_id from h where url is not null),
-      u as ({S.canonical_rows("select * from c")}),
-      p as (select canonical, string_agg(provider, ',' order by a) as providers from (select canonical, provider, min(seq) as a from u group by all) group by canonical),
-      g as (select canonical, string_agg(v, ',' order by a) as goal_ids from (select canonical, v, min(struct_pack(s := seq, i := i)) as a from (select canonical, seq, unnest(goal_ids) as v, unnest(range(len(goal_ids))) as i from u) where v is not null group by canonical, v) group by canonical),
-      m as (select canonical, arg_max(tt, struct_pack(n := length(tt), s := -seq)) as title, max(chars) as snippet_chars, min(seq % 7 + 1) as provider_rank, arg_min_null(source_type, seq) as source_type, max(prior) as authority_prior, count(distinct query_id) as variants from u group by canonical)
-      select m.canonical, {S.authority("m.canonical")} as domain, title, coalesce(snippet_chars, 0) as snippet_chars, provider_rank, source_type, authority_prior, providers, coalesce(goal_ids, '') as goal_ids, variants from m left join p using (canonical) left join g using (canonical)""",
+    "candidate_merge": f"with {_MERGED} select canonical, domain, title, length(snippet) as snippet_chars, provider_rank, source_type, authority_prior, providers, goal_ids, variants from merged",
+    "pool_rank": _POOL,
     "contradictions": f"with {_STATEMENTS}, {_STATUS} select claim_id, status, contradicts from st where status = 'DISPUTED' or contradicts > 0",
     "payload_hits": "select distinct id, chunk_id from retrieval_hits where source_type = 'OFFICIAL_DOC'",
     "filtered_hits": f"with {_HITS} select id, query_id from h where source_type = 'OFFICIAL_DOC' and list_contains(goal_ids, 'g1')",

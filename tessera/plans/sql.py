@@ -85,3 +85,8 @@ def canonical_rows(source: str) -> str:
     select *, case when scheme = 'http' then regexp_replace(net0, ':80$', '') when scheme = 'https' then regexp_replace(net0, ':443$', '') else net0 end as net from (
      select *, case when scheme0 = 'http' and net0 in ({quoted(U.HTTPS_HOSTS)}) then 'https' else scheme0 end as scheme from (
       select *, {scheme("trim(url)")} as scheme0, {authority("trim(url)")} as net0, string_split(replace({path("trim(url)")}, '%2f', '%2F'), '/') as parts, list_filter(string_split({query("trim(url)")}, '&'), lambda p: p <> '') as params from ({source}))))))"""
+
+
+def half_up(x: str, places: int) -> str:
+    """A double rounded half up by its shortest decimal form, as the engine rounds."""
+    return f"round(cast(cast({x} as varchar) as decimal(38, 20)), {places})::double"
