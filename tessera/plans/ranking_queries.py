@@ -307,8 +307,8 @@ _MERGED = f"""{_HITS}, c as (select ('0x' || substr(md5(id), 1, 12))::bigint as
       g as (select canonical, string_agg(v, ',' order by a) as goal_ids from (select canonical, v, min(struct_pack(s := seq, i := i)) as a from (select canonical, seq, unnest(goal_ids) as v, unnest(range(len(goal_ids))) as i from u) where v is not null group by canonical, v) group by canonical),
       m as (select canonical, arg_max(tt, struct_pack(n := length(tt), s := -seq)) as title, arg_max(ss, struct_pack(n := length(ss), s := -seq)) as snippet, min(seq % 7 + 1) as provider_rank, arg_min_null(source_type, seq) as source_type, arg_min_null(url, seq) as url, max(prior) as authority_prior, count(distinct query_id) as variants, min(seq) as seq from u group by canonical),
       merged as (select m.*, {S.authority("m.canonical")} as domain, providers, np, coalesce(goal_ids, '') as goal_ids from m left join p using (canonical) left join g using (canonical))"""
-_ASKED = [t for t in S.QUERIES[0].lower().split() if len(t) > 2]
-_MET = lambda c: f"len(list_filter([{S.quoted(_ASKED)}], lambda t: contains(lower({c}), t))) / {len(_ASKED)}::double"
+_POOL_TOKENS = [t for t in S.QUERIES[0].lower().split() if len(t) > 2]
+_MET = lambda c: f"len(list_filter([{S.quoted(_POOL_TOKENS)}], lambda t: contains(lower({c}), t))) / {len(_POOL_TOKENS)}::double"
 _TYPES = "case " + " ".join(f"when source_type = '{k}' then {v}" for k, v in ranking.TYPE_AUTHORITY.items()) + " else 0.50 end::double"
 _COUNTS = "select id, cast(('0x' || substr(md5(w), 1, 8))::bigint % 384 as int) as bucket, count(*)::double as n"
 #: No address of the tables lies under a listed domain, so the authority is that of the type.
