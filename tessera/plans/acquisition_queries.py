@@ -96,7 +96,13 @@ def extraction_quality(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (best_capture, escalation, page_caps, strategy_states, cheapest_backend, general_results, inverted_abstracts, query_entities, dataset_export, citation_export, content_hashes, extraction_quality)}
 
 _TITLES = "h.title is not null and h.url is not null"
+#: Word boundaries know all letters in the engine and ASCII ones in the SQL, so other letters become one.
+_LETTERED = "regexp_replace(regexp_replace(text, '[^\\p{L}\\p{N}\\x00-\\x7F]', ' ', 'g'), '[^\\x00-\\x7F]', 'q', 'g')"
+_KINDS = " union all ".join(f"select doc_id, '{kind}' as kind, unnest(list_distinct(regexp_extract_all({_LETTERED if kind != 'STANDARD' else 'text'}, '{pattern}'))) as name from documents" for kind, pattern in research.PATTERNS.items())
+_TERMS = " union all ".join(f"select doc_id, '{kind}', '{name}' from documents where contains(lower(text), '{name}')" for kind, names in research.TERMS.items() for name in names)
+
 ORACLE = {
+    "query_entities": f"select kind, count(*) as n, count(distinct doc_id) as documents from ({_KINDS} union all {_TERMS}) group by kind",
     "best_capture": f"""select canonical_url, artifact_id, strategy_used from (select *, row_number() over (partition by canonical_url order by coalesce(regexp_replace(text_content, '^ +| +$', '', 'g') = '', true), coalesce(list_position([{S.quoted(acquisition.TIERS)}], strategy_used), {len(acquisition.TIERS) + 1}), coalesce(epoch_us(captured_at), 0) desc, artifact_id) as k
       from captured_artifacts where canonical_url is not null) where k = 1""",
     "escalation": """with c as (select *, page_intelligence as p from captured_artifacts) select artifact_id, case when coalesce(p.content_quality, 0) >= 0.85 then strategy_used when strategy_used = 'cache' then 'http' when strategy_used = 'http' then case when coalesce(p.api_score > 0, false) then 'api' else 'browser' end
