@@ -111,6 +111,8 @@ def fingerprints(texts: list[str | None], known: _Words) -> tuple[np.ndarray, np
     for k, (a, b) in enumerate(zip(*_hashes())):
         np.bitwise_xor(low, b, out=x)
         np.multiply(x, a, out=x)
+        np.bitwise_xor(x, x >> np.uint32(15), out=x)  # products alone leave the minima dependent on each other
+        np.multiply(x, np.uint32(0x2C1B3C6D), out=x)
         np.minimum.reduceat(x, starts, out=least[k])
     values = (least * np.uint32(0x9E3779B1)) >> np.uint32(16)
     return own, same, np.diff(starts, append=len(t)).astype(np.int32), np.ascontiguousarray(values.astype(np.uint16).T)
