@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +20,8 @@ from tessera.llm.shells import Model, body, is_shell
 from tessera.session import materialise
 
 LANGS = lexicon.LANGUAGES
-#: Most texts in the training sample (a documented bound; every text is scored).
-SAMPLE = 3000
-PASSES = 2  # times the sample is labelled anew by its own model
+BUCKETS = 1 << 18  # of hashed words, so that a model of any table has one size
+PASSES = 2  # times the texts are labelled anew by their own model
 LEAST_CHARACTERS = 40
 LEAST_WORDS = 4  # known words that a line needs to count as prose
 HOST_WEIGHT, SUFFIX_WEIGHT = 8.0, 20.0  # pseudo-counts that hold a host to its suffix, a suffix to the whole
@@ -31,6 +30,7 @@ LABEL_TRUST = 0.85
 #: log of the share of foreign passages in a text. A line costs no more than its own likelihood ratio.
 FOREIGN, WORD = 0.75, 6
 _TOKEN = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]+")
+_SILENT = re.compile("[\u00ad\u200b\ufeff]")  # signs that folding leaves out
 _LINK = re.compile(r"^\s*(https?://|www\.|doi:|\[\d+\])")
 _MARGIN = 3.0  # nats by which a foreign line must beat the main language
 RECORDS = "tbl string, rec_id bigint, host string, suffix string, label string, markup string, counts array<double>, likelihood array<double>, words double, lines array<struct<line_no:int,lang:int,margin:double>>, shell boolean"
@@ -44,75 +44,169 @@ def _folds() -> dict[int, str]:
         plain = "".join(x for x in unicodedata.normalize("NFD", chr(c)) if not unicodedata.combining(x))
         if plain != chr(c):
             out[c] = plain
-    return out | {0x451: "е", 0x439: "и", 0xDF: "ss", 0xAD: "", 0x200B: "", 0xFEFF: ""}
+    return out | {0x451: "е", 0x439: "и", 0xDF: "ss"}
 
 
 def tokens(text: str) -> list[str]:
+    """The words of a text in lower case; ``_Buckets`` folds their letters, once for each different word."""
     low = text.lower()
-    return _TOKEN.findall(low if low.isascii() else low.translate(_folds()))
+    return _TOKEN.findall(low if low.isascii() else _SILENT.sub("", low))
+
+
+class _Buckets(dict):
+    """The bucket of each word seen, by its folded letters; forgets all when it grows too large."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = b = xxhash.xxh32_intdigest(word.translate(_folds()).encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
+        return b
+
+
+@lru_cache(1)
+def _buckets() -> _Buckets:
+    return _Buckets()
+
+
+def encode(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words of all lines in a row, and how many each line has."""
+    found = [tokens(x) for x in lines]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter(map(_buckets().__getitem__, chain.from_iterable(found)), np.int64, int(sizes.sum())), sizes
+
+
+def _sums(table: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sum of the rows of ``table`` that each line's words have."""
+    ends = np.cumsum(sizes)
+    sums = np.vstack([np.zeros((1, table.shape[1])), np.cumsum(table[ids], axis=0, dtype=np.float64)])
+    return sums[ends] - sums[ends - sizes]
 
 
 class Likelihoods:
-    """Log-likelihood of each known word under each language."""
+    """Log-likelihood of each known word under each language, by the bucket of the word."""
 
-    def __init__(self, words: dict[str, int], table: np.ndarray) -> None:
-        self.words, self.table = words, np.vstack([table, np.zeros((1, len(LANGS)))])
+    def __init__(self, table: np.ndarray, known: np.ndarray) -> None:
+        self.table, self.known = table, known
 
     def lines(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sum of the log-likelihoods of each line (one row a line), and its known words."""
-        found = [tokens(x) for x in lines]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        none = len(self.words)
-        get = self.words.get
-        ids = np.fromiter((get(t, none) for line in found for t in line), np.int64, int(sizes.sum()))
+        ids, sizes = encode(lines)
         ends = np.cumsum(sizes)
-        sums = np.vstack([np.zeros((1, len(LANGS))), np.cumsum(self.table[ids], axis=0)])
-        known = np.concatenate([[0], np.cumsum(ids != none)])
-        return sums[ends] - sums[ends - sizes], known[ends] - known[ends - sizes]
+        known = np.concatenate([[0], np.cumsum(self.known[ids])])
+        return _sums(self.table, ids, sizes), known[ends] - known[ends - sizes]
+
+
+@lru_cache(1)
+def _seeds() -> np.ndarray:
+    """Which buckets the function words of each language have."""
+    out = np.zeros((BUCKETS, len(LANGS)))
+    for k, lang in enumerate(LANGS):
+        out[encode(lexicon.FUNCTION_WORDS[lang])[0], k] = 1
+    return out
 
 
-def learn(sample: list[tuple[str, str | None]]) -> Likelihoods:
-    """Word likelihoods from texts with labels that may be wrong or missing.
+def paragraphs(text: str | None) -> list[str]:
+    return [p for p in (text or "").split("\n") if len(p) >= LEAST_CHARACTERS]
 
-    Fixed function words seed the counts; then the paragraphs of the sample are labelled by the model
-    so far and counted, PASSES times. Declared labels only break ties in the first pass.
+
+def labelled(ids: np.ndarray, sizes: np.ndarray, declared: np.ndarray, model: Likelihoods | None) -> np.ndarray:
+    """The language of each paragraph by the model so far (by the function words without one), -1 where it is open.
+
+    ``declared`` is the language that the record's label names, else -1; it only breaks ties without a model.
+    """
+    if not len(sizes):
+        return np.zeros(0, np.int64)
+    if model is None:
+        scores = _sums(_seeds(), ids, sizes) / (1 + 0.02 * _seeds().sum(axis=0)) + 0.5 * (declared[:, None] == np.arange(len(LANGS)))
+        second, best = np.partition(scores, -2, axis=1)[:, -2:].T
+        clear = (best >= 1) & (second <= 0.7 * best)
+    else:
+        scores = _sums(model.table, ids, sizes)
+        second, best = np.partition(scores, -2, axis=1)[:, -2:].T
+        clear = second <= best - _MARGIN
+    return np.where(clear, scores.argmax(axis=1), -1)
+
+
+def cells(ids: np.ndarray, sizes: np.ndarray, langs: np.ndarray) -> np.ndarray:
+    """Number of each word's cell (language, bucket), for the paragraphs whose language is known."""
+    each = np.repeat(langs, sizes)
+    return (each * BUCKETS + ids)[each >= 0]
+
+
+def _passes(count: Callable[[Likelihoods | None], np.ndarray]) -> Likelihoods:
+    """A model from ``count``: words by language and bucket, of paragraphs labelled by the model so far.
+
+    Fixed function words seed the counts; then the paragraphs are labelled by the model so far and
+    counted, PASSES times.
     """
-    seeds = {lang: {f for w in words for f in tokens(w)} for lang, words in lexicon.FUNCTION_WORDS.items()}
-    parts = [(Counter(tokens(p)), label) for text, label in sample for p in (text or "").split("\n") if len(p) >= LEAST_CHARACTERS]
     model = None
     for _ in range(PASSES + 1):
-        counts = [Counter() for _ in LANGS]
-        for k, lang in enumerate(LANGS):
-            counts[k].update({w: 5 for w in seeds[lang]})
-        for words, label in parts:
-            if model is None:
-                scores = [sum(n for w, n in words.items() if w in seeds[lang]) / (1 + 0.02 * len(seeds[lang])) + (0.5 if label == lang else 0) for lang in LANGS]
-                best = max(scores)
-                if best < 1 or sorted(scores)[-2] > 0.7 * best:
-                    continue
-                k = scores.index(best)
-            else:
-                total = np.zeros(len(LANGS))
-                for w, n in words.items():
-                    if (at := model.words.get(w)) is not None:
-                        total += n * model.table[at]
-                k = int(total.argmax())
-                if np.partition(total, -2)[-2] > total[k] - _MARGIN:
-                    continue
-            counts[k].update(words)
-        every = Counter()
-        for c in counts:
-            every.update(c)
-        words = {w: i for i, w in enumerate(sorted(w for w, n in every.items() if n >= 3))}
-        table = np.empty((len(words), len(LANGS)))
-        for k, c in enumerate(counts):
-            total = sum(c.values()) + 0.3 * len(words)
-            table[:, k] = [np.log((c[w] + 0.3) / total) for w in words]
-        table -= table.mean(axis=1, keepdims=True)
-        model = Likelihoods(words, np.clip(table, -6, 6))
+        counts = count(model).reshape(len(LANGS), BUCKETS).T + 5 * _seeds()
+        known = counts.sum(axis=1) >= 3
+        own = counts[known]
+        table = np.zeros((BUCKETS, len(LANGS)), np.float32)
+        own = np.log((own + 0.3) / (counts.sum(axis=0) + 0.3 * len(own)))
+        table[known] = np.clip(own - own.mean(axis=1, keepdims=True), -6, 6)
+        model = Likelihoods(table, known)
     return model
 
 
+def learn(rows: list[tuple[str, str | None]]) -> Likelihoods:
+    """Word likelihoods from a list of texts with labels that may be wrong or missing; ``fit`` does the same for tables."""
+    split = [(paragraphs(text), LANGS.index(label) if label in LANGS else -1) for text, label in rows]
+    ids, sizes = encode([p for own, _ in split for p in own])
+    declared = np.array([k for own, k in split for _ in own], np.int64)
+    return _passes(lambda model: np.bincount(cells(ids, sizes, labelled(ids, sizes, declared, model)), minlength=len(LANGS) * BUCKETS))
+
+
+def fit(texts: DataFrame) -> Likelihoods:
+    """Word likelihoods from all rows of ``texts`` (text, label), whose labels may be wrong or missing.
+
+    The paragraphs' words are hashed once; each pass adds its tasks' counts by grouped aggregation. The
+    driver gets a count for each language and bucket, however many rows there are.
+    """
+    spark = texts.sparkSession
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                own = [paragraphs(t) for t in part.column(0).to_pylist()]
+                ids, sizes = encode([p for x in own for p in x])
+                rows = np.concatenate([[0], np.cumsum([len(x) for x in own])])  # first paragraph of each row
+                words = np.concatenate([[0], np.cumsum(sizes)])[rows]
+                lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(v, pa.int32())) for o, v in ((words, ids), (rows, sizes))]
+                yield pa.RecordBatch.from_arrays([*lists, part.column(1)], names=["ids", "sizes", "label"])
+
+    label = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in LANGS]), label_language(F.col("label"))).cast("int") - 1, F.lit(-1))
+    words = materialise(texts.where("text is not null").select("text", label.alias("label")).mapInArrow(read, "ids array<int>, sizes array<int>, label int"))
+
+    def count(model: Likelihoods | None) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(LANGS) * BUCKETS, np.int64)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    ids, sizes = (part.column(c).flatten().to_numpy().astype(np.int64) for c in (0, 1))
+                    declared = np.repeat(part.column(2).to_numpy(), part.column(1).value_lengths().to_numpy())
+                    found, n = np.unique(cells(ids, sizes, labelled(ids, sizes, declared, shared.value)), return_counts=True)
+                    total[found] += n
+            found = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found])], names=["cell", "n"])
+
+        counts = words.mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        shared.destroy()
+        total = np.zeros(len(LANGS) * BUCKETS, np.int64)
+        total[counts["cell"].to_numpy()] = counts["n"].to_numpy()
+        return total
+
+    return _passes(count)
+
+
 @lru_cache(1)
 def _names() -> dict[str, str]:
     return {name: lang for lang, names in lexicon.LABEL_NAMES.items() for name in names}
@@ -125,13 +219,6 @@ def label_language(label: Column) -> Column:
     return F.coalesce(F.try_element_at(names, plain), F.try_element_at(names, F.regexp_extract(plain, r"^([a-z]{2,3})[-_]", 1)))
 
 
-def sample_texts(texts: DataFrame, most: int = SAMPLE) -> list[tuple[str, str | None]]:
-    """At most ``most`` rows (text, label) of ``texts`` (tbl, rec_id, text, label), chosen by a hash of the id."""
-    step = max(1, texts.count() // most)
-    rows = texts.where((F.pmod(F.xxhash64("tbl", "rec_id"), F.lit(step)) == 0) & F.col("text").isNotNull())
-    return [tuple(r) for r in rows.select("text", label_language(F.col("label"))).limit(most).collect()]
-
-
 def read_records(texts: DataFrame, model: Likelihoods, shells: Model | None) -> DataFrame:
     """Text evidence of each record: characters by language, log-likelihood of the text under each main
     language, known words, and lines that may be foreign.

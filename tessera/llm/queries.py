@@ -35,7 +35,7 @@ def _labelled_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_languages(spark: SparkSession, d: str) -> DataFrame:
     texts = _labelled_texts(spark, d)
-    return languages.languages(texts, languages.learn(languages.sample_texts(texts)), shells.fit_pages(_pages(spark, d)))
+    return languages.languages(texts, languages.fit(texts), shells.fit_pages(_pages(spark, d)))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

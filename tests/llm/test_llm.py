@@ -107,6 +107,22 @@ def test_languages(spark):
     assert languages.languages(spark.createDataFrame([], LABELLED), model, None).count() == 0
 
 
+def test_language_models_read_every_row(spark):
+    """Words of single rows among more than any sample had: counts of a table equal those of the whole list."""
+    texts = list(SENTENCES.items())
+    rows = [(k, texts[k % 7][1] + f" qqq{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k // 100 % 10]}{'abcdefghij'[k // 1000]}" * 3, texts[k % 7][0]) for k in range(6500)] + [(None, None, "en"), (6501, "short", None), (6501, " \n", None)]
+    table = spark.createDataFrame([("documents", k, x, label) for k, x, label in rows], "tbl string, rec_id bigint, text string, label string").repartition(5)
+    got, want = languages.fit(table), languages.learn([(x, label) for _, x, label in rows])
+    assert (got.known == want.known).all() and (got.table == want.table).all()
+    own = {languages.encode([x.split()[-1]])[0][0] for _, x, _ in rows[:6500]}
+    assert got.known[list(own)].all() and len(own) > 6300  # of 6,500 words a few share a bucket
+
+
+def test_words_are_folded():
+    a, b = (languages.encode([x])[0].tolist() for x in ("Été ЁЖ naïve Straße so\u00adft", "ete еж naive strasse soft"))
+    assert a == b and len(a) == 5
+
+
 @pytest.mark.parametrize(("label", "want"), [("FR", "fr"), ("fra", "fr"), ("fr-CA", "fr"), ("en_GB", "en"), ("deutsch", "de"), ("Русский", "ru"), (" es ", "es"), ("und", None), ("unknown", None), ("", None), (None, None)])
 def test_labels(spark, label, want):
     assert spark.createDataFrame([(label,)], "x string").select(languages.label_language(F.col("x")).alias("y")).first().y == want
