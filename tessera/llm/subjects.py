@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,36 @@ PARTITIONS = 4  # of the sample, whose size is bounded; scoring runs on all part
 TEACHING = ((25, 0.5, 0.5), (25, 0.0, 0.4), (25, -1.0, 0.3))
 SHARE = 0.2
 SURE = 0.75  # share of a document's characters that its first subject needs to be learnt from
-_SENTENCE = re.compile(r"(?<=[^\sA-ZА-ЯЁ][.!?…])\s+|(?<=[。！？])|\n+")
+#: A sign that ends a sentence and the space after it, or line ends; found by its first sign, of which texts have few.
+_END = re.compile(r"[.!?…。！？\n](?:(?<=[^\sA-ZА-ЯЁ][.!?…])\s+|(?<=\n)\n*|(?<=[。！？]))")
 _TOKEN = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]+")
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+NUL = "\0"  # between texts that are read in a row
+
+
+@lru_cache(2)
+def _tokens(beyond: bool) -> re.Pattern:
+    """``_TOKEN`` or NUL. Unless signs ``beyond`` the first plane matter, its letters are listed, which is found faster."""
+    if beyond:
+        return re.compile(f"{_TOKEN.pattern}|{NUL}")
+    runs: list[list[int]] = []
+    for c in range(0x10000):
+        if _TOKEN.match(chr(c)) and not "㐀" <= chr(c) <= "鿿":
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    return re.compile(f"[㐀-鿿{NUL}]|[{''.join(f'{chr(a)}-{chr(b)}' for a, b in runs)}]+")
 
 
 def sentences(text: str) -> list[str]:
-    return [s for s in _SENTENCE.split(text) if s and not s.isspace()]
+    out, at = [], 0
+    for end in _END.finditer(text):
+        i = end.start()
+        out.append(text[at : i if text[i] == "\n" else i + 1])
+        at = end.end()
+    out.append(text[at:])
+    return [s for s in out if s and not s.isspace()]
 
 
 def parts(word: str) -> list[int]:
@@ -51,10 +76,11 @@ def parts(word: str) -> list[int]:
 
 
 class Vocabulary(dict):
-    """A number for each word seen, with the buckets of each; forgets all when it grows too large."""
+    """A number for each word seen, with the buckets of each; forgets all when it grows too large. NUL is 0."""
 
     def __init__(self) -> None:
-        self.buckets: list[list[int]] = []
+        super().__init__({NUL: 0})
+        self.buckets: list[list[int]] = [[]]
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self.buckets)
@@ -63,14 +89,21 @@ class Vocabulary(dict):
 
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts in a row, and where each text ends."""
-        found = [_TOKEN.findall(t.lower()) for t in texts]
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
-        return np.fromiter((self[w] for x in found for w in x), np.int64, int(ends[-1]) if len(ends) else 0), ends
+        if not texts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        row = NUL.join(texts)
+        if row.count(NUL) >= len(texts):
+            row = NUL.join(t.replace(NUL, " ") for t in texts)
+        row = row.lower()
+        found = _tokens(_BEYOND.search(row) is not None).findall(row)
+        numbers = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        breaks = np.flatnonzero(numbers == 0)
+        return numbers[numbers != 0], np.append(breaks, len(numbers)) - np.arange(len(texts))
 
     def forget(self, most: int = 300_000) -> bool:
         if len(self) > most:
             self.clear()
-            self.buckets = []
+            self.__init__()
             return True
         return False
 
@@ -95,6 +128,16 @@ def encode(texts: list[str], words: Vocabulary) -> tuple[np.ndarray, np.ndarray]
     return np.fromiter((i for x in rows for i in x), np.int64, int(sizes[-1])), sizes[ends]
 
 
+def _sums(rows: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sum of the rows of each text, in double precision; ``ends`` says where each text ends."""
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    some = starts < ends
+    out = np.zeros((len(ends), rows.shape[1]))
+    if some.any():
+        out[some] = np.add.reduceat(rows, starts[some], axis=0, dtype=np.float64)
+    return out
+
+
 @dataclass
 class Model:
     subjects: list[str]
@@ -105,9 +148,7 @@ class Model:
         return Reader(self)
 
     def scores(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        sizes = np.diff(ends, prepend=0)
-        sums = np.vstack([np.zeros((1, self.table.shape[1])), np.cumsum(self.table[ids], axis=0, dtype=np.float64)])
-        return (sums[ends] - sums[ends - sizes]) / np.maximum(sizes, 1)[:, None] + self.bias
+        return _sums(self.table.take(ids, axis=0), ends) / np.maximum(np.diff(ends, prepend=0), 1)[:, None] + self.bias
 
 
 class Reader:
@@ -116,39 +157,37 @@ class Reader:
     def __init__(self, model: Model) -> None:
         self.model, self.words = model, Vocabulary()
         k = model.table.shape[1]
-        self.sums, self.sizes, self.first = np.zeros((0, k), np.float32), np.zeros(0), np.zeros(0, np.int64)
+        self.sums, self.sizes, self.first = np.zeros((1, k), np.float32), np.zeros(1), np.zeros(1, np.int64)  # NUL's
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.words.forget():
-            self.sums, self.sizes, self.first = self.sums[:0], self.sizes[:0], self.first[:0]
+            self.sums, self.sizes, self.first = self.sums[:1], self.sizes[:1], self.first[:1]
         numbers, ends = self.words.numbers(texts)
         new = self.words.buckets[len(self.sizes) :]
         if new:
             table = self.model.table
-            self.sums = np.vstack([self.sums, np.array([table[b].sum(axis=0) for b in new])])
-            self.sizes = np.concatenate([self.sizes, [float(len(b)) for b in new]])
+            sizes = np.fromiter(map(len, new), np.int64, len(new))
+            own = np.fromiter((i for b in new for i in b), np.int64, int(sizes.sum()))
+            self.sums = np.vstack([self.sums, np.add.reduceat(table.take(own, axis=0), np.cumsum(sizes) - sizes, axis=0)])
+            self.sizes = np.concatenate([self.sizes, sizes])
             self.first = np.concatenate([self.first, [b[0] for b in new]])
         pair, has = pairs(self.first[numbers], ends)
-        each = self.sums[numbers] + self.model.table[pair] * has[:, None]
-        size = self.sizes[numbers] + has
-        k = each.shape[1]
-        total = np.vstack([np.zeros((1, k)), np.cumsum(each, axis=0, dtype=np.float64)])
-        count = np.concatenate([[0], np.cumsum(size)])
-        starts = np.concatenate([[0], ends[:-1]])
-        return (total[ends] - total[starts]) / np.maximum(count[ends] - count[starts], 1)[:, None] + self.model.bias
+        each = self.model.table.take(pair, axis=0)
+        each[~has] = 0
+        each += self.sums.take(numbers, axis=0)
+        size = _sums((self.sizes.take(numbers) + has)[:, None], ends)
+        return _sums(each, ends) / np.maximum(size, 1) + self.model.bias
 
 
 def _gradient(ids: np.ndarray, ends: np.ndarray, y: np.ndarray, e: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     sizes = np.diff(ends, prepend=0)
-    owner = np.repeat(np.arange(len(ends)), sizes)
     inverse = 1 / np.maximum(sizes, 1)
-    sums = np.vstack([np.zeros((1, e.shape[1])), np.cumsum(e[ids], axis=0, dtype=np.float64)])
-    mean = (sums[ends] - sums[ends - sizes]) * inverse[:, None]
+    mean = _sums(e.take(ids, axis=0), ends) * inverse[:, None]
     z = mean @ w + b
     p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     g = p - y
     back = (g @ w.T) * inverse[:, None]
-    grad_e = np.stack([np.bincount(ids, back[owner, k], BUCKETS) for k in range(e.shape[1])], axis=1)
+    grad_e = np.stack([np.bincount(ids, np.repeat(x, sizes), BUCKETS) for x in np.ascontiguousarray(back.T)], axis=1)
     loss = -float(np.sum(y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9)))
     return grad_e, mean.T @ g, g.sum(axis=0), loss
 
@@ -178,9 +217,11 @@ def train(rows: DataFrame, subjects: list[str], rounds: int = ROUNDS, start: lis
                 for i, s, label in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                     ids.append(i.values.to_numpy())
                     sizes += np.diff(s, prepend=0).tolist()
-                    y += [np.isin(np.arange(k), label)] * len(s)
-                target = np.array(y, float)
-                parts = _gradient(np.concatenate(ids), np.cumsum(sizes), target, *shared.value)
+                    own = np.zeros(k)
+                    own[label] = 1
+                    y += [own] * len(s)
+                target = np.array(y)
+                parts = _gradient(np.concatenate(ids).astype(np.int64), np.cumsum(sizes), target, *shared.value)
                 n += len(y)
                 total = parts if total is None else tuple(a + c for a, c in zip(total, parts))
             if total is not None:
@@ -245,6 +286,24 @@ def shares(scores: np.ndarray, chars: np.ndarray) -> np.ndarray:
     return out / out.sum()
 
 
+def shares_of(scores: np.ndarray, chars: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``shares`` of many documents, a row each; ``sizes`` says how many sentences (one at least) each has."""
+    k = scores.shape[1]
+    starts = np.cumsum(sizes) - sizes
+    held = np.clip(scores, -2, 4)
+    before, after = np.roll(held, 1, axis=0), np.roll(held, -1, axis=0)
+    before[starts] = held[starts]
+    after[starts + sizes - 1] = held[starts + sizes - 1]
+    smooth = 0.25 * before + 0.5 * held + 0.25 * after
+    best = smooth.argmax(axis=1)
+    sure = smooth.max(axis=1) > 0
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    out = np.bincount((owner * k + best)[sure], chars[sure], len(sizes) * k).reshape(-1, k)
+    open_ = np.flatnonzero(~out.any(axis=1))
+    out[open_, np.add.reduceat(held * chars[:, None], starts, axis=0)[open_].argmax(axis=1)] = 1
+    return out / out.sum(axis=1, keepdims=True)
+
+
 def _taught(rows: DataFrame, model: Model, clear: float, least: float) -> DataFrame:
     """The documents that the model is sure of, with its own label; a hand label must agree.
 
@@ -319,25 +378,22 @@ def subject_shares(docs: DataFrame, model: Model | None) -> DataFrame:
         model = shared.value
         reader = model.reader() if model else None
         for batch in batches:
-            keys, names, found = [], [], []
+            keys, which, found = [], [], []
             texts = batch.column(1).to_pylist()
             for at in range(0, len(texts), 200):
                 own = [sentences(t) for t in texts[at : at + 200]]
-                flat = [s for x in own for s in x]
-                if not flat or reader is None:
+                some = [i for i, x in enumerate(own) if any(map(_TOKEN.search, x))]
+                if not some or reader is None:
                     continue
-                scores, chars = reader.scores(flat), np.array([len(s) for s in flat])
-                k = 0
-                for key, x in zip(batch.column(0).slice(at, 200).to_pylist(), own):
-                    part = slice(k, k + len(x))
-                    k += len(x)
-                    if x and any(map(_TOKEN.search, x)):
-                        share = shares(scores[part], chars[part])
-                        for j in np.flatnonzero(share):
-                            keys.append(key)
-                            names.append(model.subjects[j])
-                            found.append(float(share[j]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names, pa.string()), pa.array(found, pa.float64())], names=["doc_id", "subject", "share"])
+                flat = [s for i in some for s in own[i]]
+                out = shares_of(reader.scores(flat), np.array([len(s) for s in flat]), np.array([len(own[i]) for i in some]))
+                i, j = np.nonzero(out)
+                keys.append(batch.column(0).take(pa.array(np.array(some)[i] + at)))
+                which.append(j)
+                found.append(out[i, j])
+            if keys:
+                names = pa.array(model.subjects, pa.string()).take(pa.array(np.concatenate(which)))
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(keys), names, pa.array(np.concatenate(found))], names=["doc_id", "subject", "share"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     return rows.mapInArrow(run, SHARES)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -467,3 +468,45 @@ def test_subjects_on_held_out_documents(spark):
     empty = spark.createDataFrame([], "doc_id bigint, subject string")
     assert subjects.fit(d, empty, spark.createDataFrame([("law",)], "subject string")) is None
     assert subjects.subject_shares(d, None).count() == 0
+
+
+def test_scoring_in_rows_equals_single_texts():
+    """Sentences, tokens, scores and shares of many texts in a row, against one text at a time by the plain expressions."""
+    split = re.compile(r"(?<=[^\sA-ZА-ЯЁ][.!?…])\s+|(?<=[。！？])|\n+")
+    rng = random.Random(8)
+    word = lambda: rng.choice(["Haus", "ёлка", "naïve", "x½", "ΣΑΣ", "中文", "𐐀b", "a\0b", "Dr", "…", "12", "İ", "_", "longerword"])
+    texts = ["".join(word() + rng.choice([" ", ". ", ".", "!\n ", "\n\n", "。", "。\n", "Q. ", "…\t"]) for _ in range(rng.randrange(1, 12))) for _ in range(400)]
+    own = [subjects.sentences(t) for t in texts]
+    assert own == [[s for s in split.split(t) if s and not s.isspace()] for t in texts]
+    flat = [s for x in own for s in x]
+    words = subjects.Vocabulary()
+    numbers, ends = words.numbers(flat)
+    names = {n: w for w, n in words.items()}
+    assert [[names[n] for n in x] for x in np.split(numbers, ends[:-1])] == [subjects._TOKEN.findall(s.lower()) for s in flat]
+    random_ = np.random.RandomState(2)
+    model = subjects.Model(["a", "b", "c"], random_.normal(0, 1, (subjects.BUCKETS, 3)).astype(np.float32), np.full(3, -0.5))
+    scores = model.reader().scores(flat)
+    assert np.allclose(scores, model.scores(*subjects.encode(flat, subjects.Vocabulary())), atol=1e-5)
+    sizes, chars = np.array([len(x) for x in own]), np.array([len(s) for s in flat])
+    some = sizes > 0
+    got = iter(subjects.shares_of(scores, chars, sizes[some]))
+    for s, c in zip(np.split(scores, np.cumsum(sizes)[:-1]), np.split(chars, np.cumsum(sizes)[:-1])):
+        assert not len(c) or (next(got) == subjects.shares(s, c)).all()
+
+
+def test_texts_are_searched_once_in_a_row(monkeypatch):
+    """Not once for each sentence."""
+    calls = []
+
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern = pattern
+
+        def findall(self, text):
+            calls.append(len(text))
+            return self.pattern.findall(text)
+
+    plain = subjects._tokens(False)
+    monkeypatch.setattr(subjects, "_tokens", lambda beyond: Counted(plain))
+    numbers, ends = subjects.Vocabulary().numbers(["one two", "", "three"] * 100)
+    assert len(calls) == 1 and len(numbers) == 300 and len(ends) == 300
