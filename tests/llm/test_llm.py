@@ -117,6 +117,7 @@ def test_language_models_read_every_row(spark):
     assert (got.known == want.known).all() and (got.table == want.table).all()
     own = {languages.encode([x.split()[-1]])[0][0] for _, x, _ in rows[:6500]}
     assert got.known[list(own)].all() and len(own) > 6300  # of 6,500 words a few share a bucket
+    assert languages.fit(table.where("rec_id < 0")).known.sum() == languages.learn([]).known.sum()  # no rows: the function words alone
 
 
 def test_words_are_folded():
